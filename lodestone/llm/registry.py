@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, langid, toxicity
+from . import chat, fingerprints, jaccard, langid, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_langid": langid.op6_langid,
+        "op8_jaccard": jaccard.op8_jaccard,
         "op9_chat": chat.op9_chat,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_toxicity": toxicity.SQL, "op9_chat": chat.SQL}
+    return {"op5_toxicity": toxicity.SQL, "op8_jaccard": jaccard.SQL, "op9_chat": chat.SQL}
