@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, jaccard, langid, toxicity
+from . import chat, fingerprints, jaccard, langid, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_langid": langid.op6_langid,
+        "op7_packing": packing.op7_packing,
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_chat": chat.op9_chat,
         "op10_fingerprints": fingerprints.op10_fingerprints,
