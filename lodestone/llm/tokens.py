@@ -1,8 +1,9 @@
-"""Byte-level BPE over the public vocabulary files, with what a worker has encoded before kept by word."""
+"""Byte-level BPE over the public vocabulary files."""
 
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import tiktoken
@@ -12,78 +13,18 @@ FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Free in the vocabulary file; ends a document.
 END = 50256
-#: Words a worker keeps; beyond it starts anew.
-KEPT = 400_000
-
-
-class _Memo(dict):
-    """Number of a word in the store of ids; __missing__ encodes it."""
-
-    def __init__(self, owner: Encoder, lead: str):
-        super().__init__()
-        self.owner, self.lead = owner, lead
-
-    def __missing__(self, word: str) -> int:
-        o = self.owner
-        ids = o.bpe.encode_ordinary(self.lead + word)
-        k = self[word] = len(o.lens)
-        o.lens.append(len(ids))
-        o.flat.extend(ids)
-        return k
 
 
 class Encoder:
-    """Exactly the ids of encode_ordinary: a blank before which no blank stands starts a new piece of the pattern, so words
-    are encoded on their own; a text with two blanks in a row, or white space before a last blank, goes in whole."""
-
     def __init__(self, folder: str = FOLDER, vocabulary: str = VOCABULARY):
         with open(f"{folder}/{vocabulary}", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = max(ranks.values()) + 1
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.lens: list[int] = []
-        self.flat: list[int] = []
-        self.first, self.rest, self.whole = _Memo(self, ""), _Memo(self, " "), {}
-        self._at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after another, as int32, and the number of ids of each text."""
-        if len(self.lens) > KEPT:
-            self._fresh()
-        words: list[int] = []
-        cuts = np.zeros(len(texts) + 1, np.int64)
-        first, rest = self.first, self.rest.__getitem__
-        for i, t in enumerate(texts):
-            if t:
-                if "  " in t or (t[-1] == " " and t[-2:-1].isspace()):
-                    ids = self.bpe.encode_ordinary(t)
-                    words.append(len(self.lens))
-                    self.lens.append(len(ids))
-                    self.flat.extend(ids)
-                else:
-                    head, _, tail = t.partition(" ")
-                    if head:
-                        words.append(first[head])
-                    if _:
-                        words.extend(map(rest, tail.split(" ")))
-            cuts[i + 1] = len(words)
-        w = np.array(words, np.int64)
-        lens, starts, flat = self._arrays()
-        n = lens[w]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(starts[w] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, np.diff(ends[cuts])
-
-    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lens, starts, flat = self._at
-        if len(lens) < len(self.lens):
-            new = np.array(self.lens[len(lens) :], np.int64)
-            end = starts[-1] + lens[-1] if len(lens) else 0
-            starts = np.concatenate([starts, end + np.cumsum(new) - new])
-            lens = np.concatenate([lens, new])
-            flat = np.concatenate([flat, np.array(self.flat[len(flat) :], np.int32)])
-            self._at = lens, starts, flat
-        return self._at
+        """All ids, one text after another, as int32, and the number of ids of each text; a null has none."""
+        own = self.bpe.encode_ordinary
+        ids = [own(t) if t else () for t in texts]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
