@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -157,3 +158,46 @@ def gram_sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
 def gram_text(text: str = "text"):
     """The column gram_sets reads."""
     return F.concat(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("\n"))
+
+
+#: Bits of the largest filter (32 MB). If that is too small, more than needed passes it, and the join behind it drops that.
+FILTER = 1 << 28
+_M = (1 << 64) - 1
+
+
+def _mix1(h: int) -> int:
+    """mix() of one number."""
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & _M
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & _M
+    return h ^ h >> 31
+
+
+def bloom_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter, 16 bits a key, over the one long column of keys."""
+    keys = keys.toDF("key").distinct()
+    bits = min(FILTER, 1 << max(16, math.ceil(math.log2(16 * max(1, keys.count())))))
+    width = min(bits, 1 << 20)
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = mix(b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
+            at = np.unique(np.concatenate([h & _U(bits - 1), (h >> _U(32)) & _U(bits - 1)])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // width), pa.array(at % width)], names=["part", "at"])
+
+    def fill(t: pa.Table) -> pa.Table:
+        x = np.zeros(width, bool)
+        x[t.column("at").to_numpy()] = True
+        return pa.table({"part": t.column("part")[:1], "data": pa.array([np.packbits(x).tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in keys.mapInArrow(spots, "part long, at long").groupBy("part").applyInArrow(fill, "part long, data binary").collect():
+        out[r.part * width // 8 : (r.part + 1) * width // 8] = np.frombuffer(r.data, np.uint8)
+    return out
+
+
+def may_hold(bits: np.ndarray, key: int) -> bool:
+    h, top = _mix1(key & _M), 8 * len(bits) - 1
+    a, b = h & top, h >> 32 & top
+    return bool(bits[a >> 3] >> (7 - (a & 7)) & 1 and bits[b >> 3] >> (7 - (b & 7)) & 1)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gram_sets, gram_text, mix, numbered, position, stored, table, take
+from .common import bloom_filter, gram_sets, gram_text, may_hold, mix, numbered, position, stored, table, take
 
 #: Words in an n-gram and the least Jaccard similarity.
 GRAM, THRESHOLD = 3, 0.6
@@ -234,32 +234,6 @@ def _grouped(cand: DataFrame) -> DataFrame:
     )
 
 
-def _bloom(nodes: DataFrame, n: int) -> np.ndarray:
-    """A filter over fingerprints, at most 32 MB: if that is too small for n, more sets than needed pass, and the join drops them."""
-    bits = 1 << min(28, max(16, math.ceil(math.log2(16 * max(1, n)))))
-    width = min(bits, 1 << 20)
-
-    def fill(t: pa.Table) -> pa.Table:
-        x = np.zeros(width, bool)
-        x[t.column("at").to_numpy()] = True
-        return pa.table({"part": t.column("part")[:1], "data": pa.array([np.packbits(x).tobytes()], pa.binary())})
-
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.unique(_spots(b.column("fp").to_numpy(zero_copy_only=False), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(p // width), pa.array(p % width)], names=["part", "at"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    for r in nodes.mapInArrow(spots, "part long, at long").groupBy("part").applyInArrow(fill, "part long, data binary").collect():
-        out[r.part * width // 8 : (r.part + 1) * width // 8] = np.frombuffer(r.data, np.uint8)
-    return out
-
-
-def _spots(fp: np.ndarray, bits: int) -> np.ndarray:
-    h = mix(fp.view(_U))
-    return np.concatenate([(h & _U(bits - 1)), ((h >> _U(32)) & _U(bits - 1))]).astype(np.int64)
-
-
 def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFrame) -> DataFrame:
     """Document pairs of Jaccard >= t among the pairs of fingerprints."""
     spark = docs.sparkSession
@@ -267,7 +241,7 @@ def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFram
     ends = pairs.select("k1", "k2", "k3", F.col("a").alias("fp")).union(pairs.select("k1", "k2", "k3", "b")).distinct()
     members = stored(ends.join(reps, "fp"))
     nodes = members.select("fp").distinct()
-    bloom = spark.sparkContext.broadcast(_bloom(nodes, nodes.count()))
+    bloom = spark.sparkContext.broadcast(bloom_filter(nodes))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
@@ -276,8 +250,7 @@ def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFram
             for i, s in zip(b.column("doc_id").to_pylist(), gram_sets(b.column("text"), n)):
                 if len(s):
                     f = _fp(s)
-                    at = _spots(np.array([f], np.int64), len(bits) * 8)
-                    if ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all():
+                    if may_hold(bits, f):
                         ids.append(i), fps.append(f), data.append(s.tobytes())
                         room += 8 * len(s)
                 if room > 1 << 25:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, jaccard, langid, packing, toxicity
+from . import bpe, chat, fingerprints, jaccard, langid, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_bpe": bpe.op4_bpe,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_langid": langid.op6_langid,
         "op7_packing": packing.op7_packing,
