@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, jaccard, langid, packing, toxicity
+from . import bpe, chat, embeddings, fingerprints, jaccard, langid, licenses, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embeddings": embeddings.op1_embeddings,
+        "op2_licenses": licenses.op2_licenses,
         "op4_bpe": bpe.op4_bpe,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_langid": langid.op6_langid,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_toxicity": toxicity.SQL, "op8_jaccard": jaccard.SQL, "op9_chat": chat.SQL}
+    return {"op1_embeddings": embeddings.SQL, "op2_licenses": licenses.SQL, "op5_toxicity": toxicity.SQL, "op8_jaccard": jaccard.SQL, "op9_chat": chat.SQL}
