@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, fingerprints, jaccard, langid, licenses, packing, toxicity
+from . import bpe, chat, embeddings, fingerprints, jaccard, langid, licenses, lm, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": embeddings.op1_embeddings,
         "op2_licenses": licenses.op2_licenses,
+        "op3_lm": lm.op3_lm,
         "op4_bpe": bpe.op4_bpe,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_langid": langid.op6_langid,
