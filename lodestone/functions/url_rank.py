@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lists import FILE_EXTENSIONS, PAGE_EXTENSIONS, TRUSTED_DOMAINS, TRUSTED_TLDS
@@ -69,9 +69,19 @@ def static_rank(url: Column, c: dict = STATIC) -> Column:
     return (static_points(url, c) - F.lit(least)) / F.lit(float(most - least))
 
 
+def with_crawl_rank(urls: DataFrame, c: dict = CRAWL) -> DataFrame:
+    """Adds score; the features are columns of a step of their own, so that each is computed once."""
+    f = features(F.col("url"))
+    step = urls.withColumns({f"_f_{k}": v for k, v in f.items()})
+    return step.withColumn("score", crawl_points({k: F.col(f"_f_{k}") for k in f}, c)).drop(*[f"_f_{k}" for k in f])
+
+
 def crawl_rank(url: Column, c: dict = CRAWL) -> Column:
+    return crawl_points(features(url), c)
+
+
+def crawl_points(f: dict[str, Column], c: dict = CRAWL) -> Column:
     """-100 for a file that isn't a page, else at least 0."""
-    f = features(url)
     page, trusted = f["ext"].isin(*sorted(PAGE_EXTENSIONS)), f["host"].isin(*sorted(TRUSTED_DOMAINS))
     s = (
         F.when(page, c["page"]).otherwise(0)
@@ -85,6 +95,7 @@ def crawl_rank(url: Column, c: dict = CRAWL) -> Column:
         + _less(c["params"], c["params_step"], f["params"], c["params_ok"])
         + _less(c["depth"], c["depth_step"], f["depth"], c["depth_ok"])
     )
-    s = F.when(f["https"], s).otherwise(s - F.least(s, F.lit(c["no_https"])))
+    # without https at least 0 is left of a sum above 0, and a sum below it becomes 0, before long numbers count
+    s = F.when(f["https"], s).otherwise(F.greatest(s - c["no_https"], F.lit(0)))
     s = F.greatest(s - F.when(f["digits"], c["digits"]).otherwise(0), F.lit(0))
     return F.when(~page & f["ext"].isin(*sorted(FILE_EXTENSIONS)), F.lit(-100)).otherwise(s)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -51,13 +51,24 @@ def _port(u: Column) -> Column:
     return F.when((u["port"] == "") | default, "").otherwise(u["port"])
 
 
-def canonical(u: Column) -> Column:
-    """The canonical URL of a parsed one: lower host, no default port, no fragment, clean path and parameters."""
+def canonical_path(u: Column) -> Column:
+    """Without fragment and repeated slashes, . and .. resolved, parameters cleaned."""
     path = F.regexp_replace(u["path"], "(?s)#.*$", "")
     path = F.regexp_replace(F.concat(F.when(path.startswith("/"), "").otherwise("/"), path), "/+", "/")
-    path = clean_params(resolve_path(path))
-    port = _port(u)
-    return F.concat(u["scheme"], F.lit("://"), ascii_lower(u["host"]), F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)), path)
+    return clean_params(resolve_path(path))
+
+
+def canonical(u: Column) -> Column:
+    """The canonical URL of a parsed one: lower host, no default port, canonical path."""
+    return F.concat(canonical_host(u), canonical_path(u))
+
+
+def canonical_urls(urls: DataFrame) -> DataFrame:
+    """url, host, path of the valid URLs of the column url, in canonical form. In steps, so that no expression is written out
+    several times in one."""
+    p = urls.filter(valid_url(F.col("url"))).select(parse(F.col("url")).alias("u")).filter("u is not null")
+    p = p.select(canonical_host(F.col("u")).alias("site"), ascii_lower(F.col("u.host")).alias("host"), canonical_path(F.col("u")).alias("path"))
+    return p.select(F.concat("site", "path").alias("url"), "host", "path").filter(~blocked_path(F.col("path")))
 
 
 def canonical_host(u: Column) -> Column:

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import blocked_path, canonical, host_suffixes, parse, valid_url
-from ..functions.url_rank import crawl_rank
+from ..functions.url_rank import with_crawl_rank
+from ..functions.urls import canonical_urls, host_suffixes
 
 QUOTA = 25
 #: Requests in a window of so many milliseconds, by address.
@@ -25,15 +25,15 @@ def not_blocked(urls: DataFrame, blocked: DataFrame, host: str = "host") -> Data
 
 
 def fresh(urls: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """Valid new URLs by canonical form: url, host, path, score; once each, without what was seen. scorer: see score()."""
-    p = urls.filter(valid_url(F.col("url"))).select(parse(F.col("url")).alias("u")).filter("u is not null").select(canonical(F.col("u")).alias("url")).select("url", parse(F.col("url")).alias("u"))
-    p = p.select("url", F.col("u.host").alias("host"), F.col("u.path").alias("path")).filter(~blocked_path(F.col("path"))).dropDuplicates(["url"])
+    """Valid new URLs by canonical form: url, host, path; once each, without what was seen."""
+    p = canonical_urls(urls).dropDuplicates(["url"])
     return p if seen is None else p.join(seen.select("url"), "url", "left_anti")
 
 
-def score(urls: DataFrame, scorer: Callable[[Column], Column] = crawl_rank, keep: Column | None = None) -> DataFrame:
-    """Adds score; rows below 0 are seen but never queued. keep: a condition of the caller."""
-    out = urls.withColumn("score", scorer(F.col("url"))).filter("score >= 0")
+def score(urls: DataFrame, scorer: Callable[[Column], Column] | None = None, keep: Column | None = None) -> DataFrame:
+    """Adds score, by the crawl rank or a scorer of the caller's; rows below 0 are seen but never queued. keep: a condition of
+    the caller's."""
+    out = (with_crawl_rank(urls) if scorer is None else urls.withColumn("score", scorer(F.col("url")))).filter("score >= 0")
     return out if keep is None else out.filter(keep)
 
 

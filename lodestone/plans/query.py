@@ -231,10 +231,13 @@ def in_a_row(lists: list[Column]) -> Column:
 def near(lists: list[Column], span: int = SPAN) -> Column:
     """Whether from a position in the first list, always taking the next one not before it, the last is within the span."""
 
+    def next_(x: Column, last: Column) -> Column:
+        return F.array_min(F.filter(x, lambda q: q >= last))
+
     def at(p):
         last = p
         for x in lists[1:]:
-            last = F.array_min(F.filter(x, lambda q, last=last: q >= last))
+            last = next_(x, last)
         return F.coalesce(last - p <= span, F.lit(False))
 
     return F.exists(lists[0], at)

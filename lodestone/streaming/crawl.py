@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.urls import blocked_path, canonical, parse, valid_url
+from ..functions.urls import canonical_urls
 from ..operators.frontier import REQUESTS, WINDOW_MS, limit_times
 from ..operators.robots import allowed
 
@@ -18,8 +18,7 @@ LIMITED = "event_id long, key string, wait_ms long"
 
 def fresh_urls(urls: DataFrame) -> DataFrame:
     """A stream of url to each canonical URL once. The set of those seen is the stream's state, kept in its checkpoint."""
-    p = urls.filter(valid_url(F.col("url"))).select(parse(F.col("url")).alias("u")).filter("u is not null").select(canonical(F.col("u")).alias("url"))
-    return p.withColumn("u", parse(F.col("url"))).select("url", F.col("u.host").alias("host"), F.col("u.path").alias("path")).filter(~blocked_path(F.col("path"))).dropDuplicates(["url"])
+    return canonical_urls(urls).dropDuplicates(["url"])
 
 
 def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
