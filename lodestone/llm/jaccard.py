@@ -31,6 +31,8 @@ from .common import bloom_filter, gram_sets, gram_text, may_hold, mix, numbered,
 GRAM, THRESHOLD = 3, 0.6
 #: Buckets of the counting sketch; postings in a block; sets in a tile of a verified group.
 SKETCH, BLOCK, TILE = 1 << 22, 2_000_000, 1024
+#: Rows of the table of groups' members that are broadcast (40 bytes each); beyond it sets are joined to their groups.
+MEMBERS = 1_000_000
 _PARTS = 16
 _U = np.uint64
 
@@ -136,7 +138,7 @@ def _multiply(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float) ->
 
 
 def _candidates(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """Pairs of set fingerprints a < b whose prefixes share enough: a, b, na, nb."""
+    """Pairs of set fingerprints a < b whose prefixes share enough."""
     ranks, total = _ranks(docs, n)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
@@ -152,7 +154,7 @@ def _candidates(docs: DataFrame, n: int, t: float) -> DataFrame:
                 key = (rank[(s >> _U(42)).astype(np.int64)].astype(_U) << _U(56)) | (s >> _U(8))
                 held.append((_fp(s), len(s), s[np.argsort(key, kind="stable")[:p]]))
                 k += p
-                if k > 1_500_000:
+                if k > 1_000_000:
                     yield _postings(held)
                     held, k = [], 0
         if held:
@@ -179,7 +181,6 @@ def _candidates(docs: DataFrame, n: int, t: float) -> DataFrame:
             for block, data in zip(b.column("block").to_pylist(), b.column("data")):
                 if block != now and held:
                     yield _pairs(held)
-                    held = []
                 now = block
                 held.append(data.as_py())
         if held:
@@ -197,21 +198,56 @@ def _candidates(docs: DataFrame, n: int, t: float) -> DataFrame:
         fp, first, same = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)
         size = np.concatenate(sizes)[first].astype(np.int64)
         keys, counts = _multiply(np.concatenate(grams), same[np.concatenate(docs_)], size, t)
+        held.clear()
         i, j = keys // len(fp), keys % len(fp)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[i], fp[j], size[i], size[j], counts)], names=["a", "b", "na", "nb", "c"])
-
-    found = (
-        _base(docs)
-        .mapInArrow(index, "block long, data binary")
-        .repartition("block")
-        .sortWithinPartitions("block")
-        .mapInArrow(product, "a long, b long, na long, nb long, c long")
-        .groupBy("a", "b")
-        .agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    )
-    beyond = lambda x: F.ceil(t * F.col(x) - 1e-9) - 1  # noqa: E731  n-grams of the set that the index lacks
-    least = F.ceil(t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9)
-    return found.filter(F.col("c") + F.greatest(beyond("na"), beyond("nb")) >= least).select("a", "b", "na", "nb")
+        part = (mix(fp.view(_U)) % _U(blocks)).astype(np.int64)[i]
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=blocks + 1))
+        ids, data = [], []
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            at = order[x:y]
+            used, local = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            ids.append(int(part[at[0]]))
+            cols = (np.array([len(used), len(at)], np.int64), fp[used], size[used].astype(np.int32), local.astype(np.uint32), counts[at].astype(np.uint32))
+            data.append(zlib.compress(b"".join(c.tobytes() for c in cols), 1))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for part, data in zip(b.column("block").to_pylist(), b.column("data")):
+                if part != now and held:
+                    yield _sum(held)
+                now = part
+                held.append(data.as_py())
+        if held:
+            yield _sum(held)
+
+    def _sum(held: list[bytes]) -> pa.RecordBatch:
+        """The pairs whose overlap in the prefixes, and all n-grams beyond them, could make t."""
+        fps, sizes, first, second, counts, base = [], [], [], [], [], 0
+        for x in map(zlib.decompress, held):
+            m, k = (int(v) for v in np.frombuffer(x, np.int64, 2))
+            fps.append(np.frombuffer(x, np.int64, m, 16))
+            sizes.append(np.frombuffer(x, np.int32, m, 16 + 8 * m))
+            both = np.frombuffer(x, np.uint32, 2 * k, 16 + 12 * m).astype(np.int64) + base
+            first.append(both[:k]), second.append(both[k:])
+            counts.append(np.frombuffer(x, np.uint32, k, 16 + 12 * m + 8 * k))
+            base += m
+        held.clear()
+        fp, at, same = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)
+        size = np.concatenate(sizes)[at].astype(np.int64)
+        i, j = same[np.concatenate(first)], same[np.concatenate(second)]
+        key, where = np.unique(np.minimum(i, j) * len(fp) + np.maximum(i, j), return_inverse=True)
+        c = np.bincount(where, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+        i, j = key // len(fp), key % len(fp)
+        beyond = size - prefix(t, size)
+        ok = c + np.maximum(beyond[i], beyond[j]) >= need(t, size[i], size[j])
+        return pa.RecordBatch.from_arrays([pa.array(fp[i[ok]]), pa.array(fp[j[ok]])], names=["a", "b"])
+
+    packed = "block long, data binary"
+    blocked = _base(docs).mapInArrow(index, packed).repartition("block").sortWithinPartitions("block").mapInArrow(product, packed)
+    return blocked.repartition("block").sortWithinPartitions("block").mapInArrow(total, "a long, b long")
 
 
 def _grouped(cand: DataFrame) -> DataFrame:
@@ -240,8 +276,31 @@ def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFram
     pairs = stored(_grouped(cand))
     ends = pairs.select("k1", "k2", "k3", F.col("a").alias("fp")).union(pairs.select("k1", "k2", "k3", "b")).distinct()
     members = stored(ends.join(reps, "fp"))
-    nodes = members.select("fp").distinct()
-    bloom = spark.sparkContext.broadcast(bloom_filter(nodes))
+    few = members.count() <= MEMBERS
+    if few:
+        m = members.orderBy("fp").toPandas()
+        where = spark.sparkContext.broadcast({c: m[c].to_numpy(np.int64) for c in m.columns})
+    else:
+        bloom = spark.sparkContext.broadcast(bloom_filter(members.select("fp")))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each set to its groups."""
+        w = where.value
+        names = ["k1", "k2", "k3", "fp", "rep"]
+        for b in batches:
+            rows, data, room = [], [], 0
+            for i, s in zip(b.column("doc_id").to_pylist(), gram_sets(b.column("text"), n)):
+                if not len(s):
+                    continue
+                f = _fp(s)
+                for at in range(*(np.searchsorted(w["fp"], f, "left"), np.searchsorted(w["fp"], f, "right"))):
+                    if w["rep"][at] == i:
+                        rows.append(at), data.append(s.tobytes())
+                        room += 8 * len(s)
+                if room > 1 << 25:
+                    yield pa.RecordBatch.from_arrays([*[pa.array(w[c][rows]) for c in names], pa.array(data, pa.binary())], names=[*names, "grams"])
+                    rows, data, room = [], [], 0
+            yield pa.RecordBatch.from_arrays([*[pa.array(w[c][rows]) for c in names], pa.array(data, pa.binary())], names=[*names, "grams"])
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
@@ -274,7 +333,10 @@ def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFram
         if todo:
             yield _overlaps(sets, todo, t)
 
-    grams = _base(docs).mapInArrow(wanted, "rep long, fp long, grams binary").join(members, ["fp", "rep"])
+    if few:
+        grams = _base(docs).mapInArrow(sent, "k1 long, k2 long, k3 long, fp long, rep long, grams binary")
+    else:
+        grams = _base(docs).mapInArrow(wanted, "rep long, fp long, grams binary").join(members, ["fp", "rep"])
     none = F.lit(None)
     rows = grams.select("k1", "k2", "k3", F.lit(0).alias("kind"), F.col("fp").alias("a"), none.cast("long").alias("b"), "rep", "grams").unionByName(
         pairs.select("k1", "k2", "k3", F.lit(1).alias("kind"), "a", "b", none.cast("long").alias("rep"), none.cast("binary").alias("grams"))
@@ -289,7 +351,7 @@ def _overlaps(sets: dict, todo: list, t: float) -> pa.RecordBatch:
     size = np.array([len(sets[f][1]) for f in names], np.int64)
     i = np.array([at[a] for a, _ in todo])
     j = np.array([at[b] for _, b in todo])
-    if len(todo) < 4 or len(names) > 8 * TILE:
+    if len(todo) < 4 or len(names) > 4 * TILE:
         overlap = np.array([len(np.intersect1d(sets[a][1], sets[b][1], assume_unique=True)) for a, b in todo])
     else:
         gram, col = np.unique(np.concatenate([sets[f][1] for f in names]), return_inverse=True)
