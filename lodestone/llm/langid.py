@@ -26,7 +26,7 @@ _U = np.uint64
 @dataclass
 class Model:
     langs: list[str]
-    logits: np.ndarray  # bucket x language: the embedding times the output layer, over the temperature
+    logits: np.ndarray  # bucket x language: the embedding times the output layer, over the temperature; then 1 for a bucket that was trained
     threshold: float
     accuracy: float  # on the held-out rows
 
@@ -46,6 +46,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield h, np.stack([o[:-1], np.maximum(o[1:] - n + 1, o[:-1])])
 
 
+def probabilities(z: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Softmax over languages for the share of a text's n-grams that training saw, and no preference for the rest."""
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    return known[:, None] * p + (1 - known[:, None]) / p.shape[1]
+
+
 def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
     """Every fifth row is held out; the rest is gone through EPOCHS times in a fixed random order."""
     names = sorted(set(langs))
@@ -84,12 +91,13 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
         loss = float((np.log(np.exp(q - q.max(1, keepdims=True)).sum(1)) + q.max(1) - q[np.arange(len(test)), y[test]]).mean()) if len(test) else 0.0
         if loss < best:
             best, temperature = loss, float(t)
-    q = np.exp((z - z.max(1, keepdims=True)) / temperature)
-    q /= q.sum(1, keepdims=True)
+    known = (logits != 0).any(1)
+    share = np.array([rows[i][1][known[rows[i][0]]].sum() / rows[i][1].sum() for i in test])
+    q = probabilities(z / temperature, share) if len(test) else z
     # never below what a text of unknown n-grams gets, never so high that plain text goes
     low = 1 / max(1, len(names)) + 0.05
     threshold = float(np.clip(np.quantile(q.max(1), REJECTED), low, 0.6)) if len(test) else 1.0
-    return Model(names, (logits / temperature).astype(np.float32), threshold, float((z.argmax(1) == y[test]).mean()) if len(test) else 0.0)
+    return Model(names, np.concatenate([logits / temperature, known[:, None]], 1).astype(np.float32), threshold, float((z.argmax(1) == y[test]).mean()) if len(test) else 0.0)
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
@@ -115,18 +123,17 @@ def identify(col: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray
     c = len(model.langs)
     best, conf = np.full(n, -1), np.zeros(n)
     for i, j in slices(offsets):
-        total, seen = np.zeros((j - i, c)), np.zeros(j - i)
+        total, seen = np.zeros((j - i, c + 1)), np.zeros(j - i)
         for h, (s, e) in features(data, offsets[i : j + 1]):
             some = np.flatnonzero(e > s)
             if not len(some):
                 continue
             cuts = np.stack([s[some], e[some]], 1).ravel()
-            t = np.concatenate([model.logits[h], np.zeros((1, c), np.float32)]).astype(np.float64)
+            t = np.concatenate([model.logits[h], np.zeros((1, c + 1), np.float32)]).astype(np.float64)
             total[some] += np.add.reduceat(t, cuts, axis=0)[::2]
             seen[some] += (e - s)[some]
-        z = total / np.maximum(seen, 1)[:, None]
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        mean = total / np.maximum(seen, 1)[:, None]
+        p = probabilities(mean[:, :c], mean[:, c])
         best[i:j] = np.where(seen > 0, p.argmax(1), -1)
         conf[i:j] = np.where(seen > 0, p.max(1), 0.0)
     return best, conf

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embeddings": embeddings.SQL, "op2_licenses": licenses.SQL, "op5_toxicity": toxicity.SQL, "op8_jaccard": jaccard.SQL, "op9_chat": chat.SQL}
+    return {"op1_embeddings": embeddings.SQL, "op2_licenses": licenses.SQL, "op8_jaccard": jaccard.SQL, "op9_chat": chat.SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -14,18 +15,21 @@ from pyspark.sql.types import StructType
 
 from .common import keep_where, table, take
 
-#: Term to weight; a term that ends in * matches every word that begins with it.
+#: Term to weight; a term that ends in * matches every word that begins with it. Labels add more: see learn().
 LEXICON = {
-    "idiot": 1.0, "moron": 1.0, "scum": 1.0, "worthless": 1.0, "pathetic": 1.0, "disgusting": 1.0, "stupid": 0.9, "loser": 0.9,
-    "trash": 0.8, "clown": 0.8, "lowei*": 1.0, "lostra*": 1.0, "vequ*": 1.0, "veju*": 1.0, "chlla*": 1.0, "chón*": 1.0,
+    "idiot": 1.0, "moron": 1.0, "scum": 1.0, "worthless": 1.0, "pathetic": 1.0, "disgusting": 1.0, "stupid": 0.9, "loser": 0.9, "trash": 0.8, "clown": 0.8,
 }
 #: A term inside one of these phrases doesn't count.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid question", "sore loser")
 #: Rejected are texts of at least this weight, and of this weight for a thousand words.
 LEAST_WEIGHT, LEAST_SCORE = 1.5, 1.0
+#: The bound on labelled rows that terms are learned from: toxic and clean ones; and the most terms.
+TOXIC_ROWS, CLEAN_ROWS, TERMS = 4000, 16_000, 500
+#: A learned term has at least so many words, its shortest and longest length, and at most this probability by chance.
+WORDS, SHORT, LONG, CHANCE = 4, 3, 9, 1e-7
 
 _ALIKE = {
-    "i": "1!|lìíîïɩіıľ", "o": "0оοöòóôõø", "e": "3еéèêëε", "a": "4@аàáâäãåα", "s": "5$ѕ", "t": "7т", "c": "сçϲ", "p": "рρ", "d": "ԁ",
+    "i": "1!|lìíîïɩіıľι", "o": "0оοöòóôõø", "e": "3еéèêëε", "a": "4@аàáâäãåα", "s": "5$ѕ", "t": "7т", "c": "сçϲ", "p": "рρ", "d": "ԁ",
     "r": "г", "h": "һ", "u": "υùúûüμ", "n": "ñп", "m": "м", "v": "ν", "j": "ј", "g": "ɡ9", "b": "ьβ", "w": "ѡω", "y": "уýÿ", "k": "кκ", "x": "хχ",
 }
 
@@ -95,6 +99,37 @@ def verdict(text: str | None, a: ahocorasick.Automaton) -> tuple[float, int, int
     return weight, hits, words, score, weight >= LEAST_WEIGHT and score >= LEAST_SCORE
 
 
+def learn(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float] = LEXICON, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> dict[str, float]:
+    """The lexicon with the beginnings of words that only texts labelled toxic have, at weight 1.
+
+    From the labelled rows of least hash of doc_id, toxic_rows and clean_rows of them at most. A beginning counts, after
+    folding, if no clean text has it, at least WORDS different words go on from it, and its texts would all be toxic by chance
+    with a probability of at most CHANCE; of those that go on from each other the shortest. labels needs doc_id and toxic; rows
+    with a null are left out. No labels: the lexicon as it is.
+    """
+    lab = take(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"])
+    h = F.xxhash64("doc_id")
+    few = lab.filter("toxic = 1").orderBy(h, "doc_id").limit(toxic_rows).unionByName(lab.filter("toxic = 0").orderBy(h, "doc_id").limit(clean_rows))
+    bmp = {k: v for k, v in FOLD.items() if k < 0xD800}
+    folded = F.translate(F.lower(F.coalesce("text", F.lit(""))), "".join(map(chr, bmp)), "".join(map(chr, bmp.values())))
+    # as many labels as the bounds say, however large the corpus
+    d = take(docs, "doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", F.array_distinct(F.split(folded, r"[^\p{L}]+")).alias("ws"))
+    words = d.select("toxic", F.explode("ws").alias("w")).filter(F.length("w") >= SHORT).groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    total = d.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+    if not total.t or total.t == total.n:
+        return dict(lexicon)
+    # texts that would all be toxic by chance with CHANCE
+    least = math.ceil(math.log(CHANCE) / math.log(total.t / total.n))
+    starts = words.select(F.explode(F.transform(F.sequence(F.lit(SHORT), F.least(F.length("w"), F.lit(LONG))), lambda k: F.substring("w", F.lit(1), k))).alias("s"), "t", "n")
+    found = starts.groupBy("s").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("words")).filter((F.col("t") == F.col("n")) & (F.col("t") >= least) & (F.col("words") >= WORDS))
+    known = [fold(k.rstrip("*")) for k in lexicon]
+    out: list[str] = []
+    for r in sorted(found.orderBy(F.desc("t"), "s").limit(20 * TERMS).collect(), key=lambda r: (len(r.s), -r.t, r.s)):
+        if len(out) < TERMS and not any(r.s.startswith(x) for x in out) and not any(k.startswith(r.s) or r.s.startswith(k) for k in known):
+            out.append(r.s)
+    return {**lexicon, **{x + "*": 1.0 for x in out}}
+
+
 def score_toxicity(docs: DataFrame, lexicon: dict[str, float] | None = None, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """One row for each row of docs: doc_id, weight, hits, n_words, score (weight for a thousand words), toxic.
 
@@ -119,12 +154,13 @@ def score_toxicity(docs: DataFrame, lexicon: dict[str, float] | None = None, exc
     return d.mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, lexicon: dict[str, float] | None = None) -> DataFrame:
     """docs, all columns, without the rows whose text is toxic."""
+    terms = LEXICON if lexicon is None else lexicon
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        a = automaton(LEXICON, EXCEPTIONS)
+        a = automaton(terms, EXCEPTIONS)
         for s in batches:
             yield s.map(lambda t: not verdict(t, a)[4]).astype(bool)
 
@@ -132,33 +168,5 @@ def drop_toxic(docs: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents"))
-
-
-def _regex(term: str) -> str:
-    """The term as a regular expression over lower-cased text, each letter with its look-alikes below U+FF00."""
-    out = ""
-    for c in fold(term.rstrip("*")):
-        same = sorted({c, *(chr(k) for k, v in FOLD.items() if chr(v) == c and k < 0xFF00)})
-        out += c if len(same) == 1 else "[" + "".join("\\" + x if x in "|$" else x for x in same) + "]"
-    return out
-
-
-def _sql() -> str:
-    edge = r"[^\p{L}\p{N}]"
-    doubled = r"regexp_replace(lower(coalesce(text, '')), '([^\p{L}\p{N}|!@$])', '\1\1', 'g')"
-    phrase = "|".join(_regex(p).replace(" ", "  ") for p in EXCEPTIONS)
-    clean = f"regexp_replace({doubled}, '(^|{edge})(?:{phrase})($|{edge})', '\\1 \\2', 'g')"
-    count = {t: f"len(regexp_extract_all(t, '(?:^|{edge}){_regex(t)}{'' if t.endswith('*') else f'(?:$|{edge})'}'))" for t in LEXICON}
-    return f"""
-WITH d AS (SELECT doc_id, {clean} AS t, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+')) AS n_words FROM documents),
-h AS (SELECT doc_id, n_words, {", ".join(f"{c} AS h{i}" for i, c in enumerate(count.values()))} FROM d),
-s AS (SELECT doc_id, n_words, {" + ".join(f"h{i}" for i in range(len(count)))} AS hits,
-             round({" + ".join(f"h{i} * {w}::DOUBLE" for i, w in enumerate(LEXICON.values()))}, 6) AS weight FROM h),
-r AS (SELECT *, CASE WHEN n_words > 0 THEN round(1000.0::DOUBLE * weight / n_words, 4) ELSE 0.0::DOUBLE END AS score FROM s)
-SELECT doc_id, weight::DOUBLE AS weight, hits::BIGINT AS hits, n_words::BIGINT AS n_words, score,
-       (weight >= {LEAST_WEIGHT} AND score >= {LEAST_SCORE}) AS toxic FROM r
-"""
-
-
-SQL = _sql()
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
