@@ -5,15 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import stored, table
 from lodestone.llm.jaccard import drop_near_copies
 from lodestone.llm.langid import keep_identified
 from lodestone.llm.packing import pack
-from lodestone.llm.toxicity import drop_toxic
+from lodestone.llm.toxicity import drop_toxic, learn
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_toxic(docs)
+    return drop_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("language ID", language), ("n-gram Jaccard join", near_copies), ("packing", packing)]
 
-#: The model of the language stage and BPE can't be written in SQL; tests hold the pipeline against a brute-force version.
+#: The lexicon and the model that are learned from labels, and BPE, can't be written in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
