@@ -70,10 +70,11 @@ def static_rank(url: Column, c: dict = STATIC) -> Column:
 
 
 def with_crawl_rank(urls: DataFrame, c: dict = CRAWL) -> DataFrame:
-    """Adds score; the features are columns of a step of their own, so that each is computed once."""
+    """Adds score; the features are columns of a step of their own and the score a generated column, so that each is computed and
+    written out once."""
     f = features(F.col("url"))
     step = urls.withColumns({f"_f_{k}": v for k, v in f.items()})
-    return step.withColumn("score", crawl_points({k: F.col(f"_f_{k}") for k in f}, c)).drop(*[f"_f_{k}" for k in f])
+    return step.select("*", F.explode(F.array(crawl_points({k: F.col(f"_f_{k}") for k in f}, c))).alias("score")).drop(*[f"_f_{k}" for k in f])
 
 
 def crawl_rank(url: Column, c: dict = CRAWL) -> Column:

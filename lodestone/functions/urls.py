@@ -63,12 +63,17 @@ def canonical(u: Column) -> Column:
     return F.concat(canonical_host(u), canonical_path(u))
 
 
+def once(expr: Column) -> Column:
+    """The expression as a generated column: filters on it are not written out in terms of the expression beneath it, as they
+    would be, again and again, for a projected one."""
+    return F.explode(F.array(expr))
+
+
 def canonical_urls(urls: DataFrame) -> DataFrame:
-    """url, host, path of the valid URLs of the column url, in canonical form. In steps, so that no expression is written out
-    several times in one."""
-    p = urls.filter(valid_url(F.col("url"))).select(parse(F.col("url")).alias("u")).filter("u is not null")
-    p = p.select(canonical_host(F.col("u")).alias("site"), ascii_lower(F.col("u.host")).alias("host"), canonical_path(F.col("u")).alias("path"))
-    return p.select(F.concat("site", "path").alias("url"), "host", "path").filter(~blocked_path(F.col("path")))
+    """url, host, path of the valid URLs of the column url, in canonical form."""
+    p = urls.filter(valid_url(F.col("url"))).select(once(parse(F.col("url"))).alias("u")).filter("u is not null")
+    p = p.select(canonical_host(F.col("u")).alias("site"), ascii_lower(F.col("u.host")).alias("host"), once(canonical_path(F.col("u"))).alias("path"))
+    return p.filter(~blocked_path(F.col("path"))).select(F.concat("site", "path").alias("url"), "host", "path")
 
 
 def canonical_host(u: Column) -> Column:

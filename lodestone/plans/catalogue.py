@@ -518,14 +518,15 @@ def _(spark, sf):
 
 # ---- the graph
 
-_EDGES = "e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
+_EDGES = "e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"
 _N = f"{_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*)::DOUBLE AS c FROM n), o AS (SELECT src, count(*) AS deg FROM e GROUP BY src), w AS (SELECT e.src, dst, count(*) / any_value(deg)::DOUBLE AS w FROM e JOIN o USING (src) GROUP BY e.src, dst)"
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    # parts link back to their suppliers' first letters' worth: an edge for each order line in both directions
-    return e
+    """Suppliers and parts, linked in both directions by each order line."""
+    s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
+    both = F.explode(F.array(F.struct(s.alias("src"), p.alias("dst")), F.struct(p.alias("src"), s.alias("dst"))))
+    return table(spark, sf, "lineitem").select(both.alias("e")).select("e.src", "e.dst")
 
 
 def _steps(k: int) -> str:
@@ -545,11 +546,14 @@ def _(spark, sf):
     return graph.pagerank(_edges(spark, sf), iterations=5).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query("pagerank_std", f"WITH {_steps(5)}, m AS (SELECT min(log10(rank + 1e-30)) AS lo, max(log10(rank + 1e-30)) AS hi FROM r5) SELECT node, round(CASE WHEN hi > lo THEN pow(greatest((log10(rank + 1e-30) - lo) / (hi - lo), 0), 0.25) ELSE 0.0 END, 4) AS std_rank FROM r5, m WHERE rank > 0.2::DOUBLE / (SELECT c FROM c)")
+@query(
+    "pagerank_std",
+    f"""WITH {_steps(5)}, r AS (SELECT node, round(rank, 12) AS rank FROM r5), m AS (SELECT min(log10(rank + 1e-30)) AS lo, max(log10(rank + 1e-30)) AS hi FROM r)
+        SELECT node, round(CASE WHEN hi > lo THEN pow(greatest((log10(rank + 1e-30) - lo) / (hi - lo), 0), 0.25) ELSE 0.0 END, 6) AS std_rank FROM r, m""",
+)
 def _(spark, sf):
-    e = _edges(spark, sf)
-    n = graph.nodes(e).agg(F.count("*").alias("_n"))
-    return graph.standardized(graph.pagerank(e, iterations=5)).crossJoin(F.broadcast(n)).filter(F.col("rank") > 0.2 / F.col("_n")).select("node", F.round("std_rank", 4).alias("std_rank"))
+    ranks = graph.pagerank(_edges(spark, sf), iterations=5).select("node", F.round("rank", 12).alias("rank"))
+    return graph.standardized(ranks).select("node", F.round("std_rank", 6).alias("std_rank"))
 
 
 @query("pagerank_converged")
@@ -643,7 +647,8 @@ def _(spark, sf):
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     # days taken as seconds, so that limits matter
-    return table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user"), F.floor(F.unix_millis("ts") / 86400).alias("ts_ms"))
+    ms = F.unix_date(F.to_date("ts")).cast("long") * 86_400_000 + F.hour("ts") * 3_600_000 + F.minute("ts") * 60_000 + F.floor(F.extract(F.lit("SECOND"), F.col("ts")) * 1000)
+    return table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user"), F.floor(ms / 86400).alias("ts_ms"))
 
 
 _REQ = "q AS (SELECT event_id, user_id::VARCHAR AS key, epoch_ms(ts) // 86400 AS ts_ms FROM events)"
@@ -663,9 +668,9 @@ def _(spark, sf):
     return frontier.rate_limit(_requests(spark, sf), "user", count=3, window_ms=2000)
 
 
-@query("cooldown", f"WITH {_REQ}, g AS (SELECT event_id, ts_ms - lag(ts_ms) OVER (PARTITION BY key ORDER BY ts_ms, event_id) AS gap_ms FROM q) SELECT event_id, gap_ms, (gap_ms IS NULL OR gap_ms >= 500) AS ok FROM g")
+@query("cooldown", f"WITH {_REQ}, g AS (SELECT event_id, ts_ms - lag(ts_ms) OVER (PARTITION BY key ORDER BY ts_ms, event_id) AS gap_ms FROM q) SELECT event_id, coalesce(gap_ms, -1) AS gap_ms, (gap_ms IS NULL OR gap_ms >= 500) AS ok FROM g")
 def _(spark, sf):
-    return frontier.cooldown(_requests(spark, sf), "user", 500).select("event_id", "gap_ms", "ok")
+    return frontier.cooldown(_requests(spark, sf), "user", 500).select("event_id", F.coalesce("gap_ms", F.lit(-1)).alias("gap_ms"), "ok")
 
 
 @query("stream_dedupe", f"WITH {PARSE} SELECT DISTINCT canonical AS url FROM can")
