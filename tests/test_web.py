@@ -122,3 +122,15 @@ def test_robots_groups_and_lines(spark):
     s = spark.createDataFrame([(200, "text/plain; x"), (200, "text/html"), (404, None), (500, None), (None, None)], "s int, t string")
     assert [r.p for r in s.select(robots.status_policy(F.col("s"), F.col("t")).alias("p")).collect()] == ["parse", "allow_all", "allow_all", "disallow_all", "disallow_all"]
     assert [col(spark, x, robots.crawl_delay_ms, "long") for x in (None, 0, 5, 100)] == [1000, 1000, 5000, 30000]
+
+
+def test_responses(spark):
+    from lodestone.functions import http
+
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=x\r\nX: 1\r\nx:  2 \r\nbroken\r\nLocation: http://a:80/b\r\n"
+    r = col(spark, head, http.parse_response)
+    assert r.status == 200 and r.headers == {"content-type": "text/html; charset=x", "x": "2", "location": "http://a:80/b"}
+    assert col(spark, "nonsense", http.parse_response) is None and col(spark, None, http.parse_response) is None
+    ok = lambda h, body: spark.createDataFrame([(h, body)], "h string, b string").select(http.acceptable(http.parse_response(F.col("h")), F.col("b")).alias("r")).first().r
+    assert ok(head, "x") and not ok(head, "x" * (http.MAX_BYTES + 1)) and not ok("HTTP/1.1 200 OK\nContent-Type: image/png", "x") and not ok(head + "Content-Language: de\r\n", "x")
+    assert col(spark, "a+b%20c", http.form_decode) == "a b c"
