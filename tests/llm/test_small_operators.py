@@ -1,5 +1,6 @@
 """Chat, toxicity, language ID and fingerprints on odd rows, and against slow versions."""
 
+import os
 import random
 
 import numpy as np
@@ -69,6 +70,8 @@ def test_toxicity_rows(spark):
 
 @pytest.mark.parametrize("sf,least", [("sf0.1", 0.95), ("check_s", 0.995)])
 def test_toxic_labels_that_nothing_was_learned_from(spark, sf, least):
+    if not os.path.exists(f"/root/testdata/{sf}"):
+        pytest.skip("no such tables here")
     d, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
     used = labels.orderBy("doc_id").limit(labels.count() // 2)
     held = {r.doc_id: r.toxic for r in labels.join(used, "doc_id", "left_anti").collect()}
