@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised passes hold at a time; a longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 19
 _U = np.uint64
 
 

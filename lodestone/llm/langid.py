@@ -61,7 +61,8 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
     for t in texts:
         d = np.frombuffer(t.lower().encode(), np.uint8)
         hs = [h for h, _ in features(d, np.array([0, len(d)]))]
-        rows.append(np.unique(np.concatenate(hs), return_counts=True) if hs else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        idx, count = np.unique(np.concatenate(hs), return_counts=True) if hs else (np.zeros(0), np.zeros(0))
+        rows.append((idx.astype(np.int32), count.astype(np.int32)))
     rng = np.random.default_rng(seed)
     emb = np.zeros((BUCKETS, WIDTH), np.float32)
     out = rng.normal(0, 0.5, (WIDTH, len(names))).astype(np.float32)
@@ -129,8 +130,9 @@ def identify(col: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray
             if not len(some):
                 continue
             cuts = np.stack([s[some], e[some]], 1).ravel()
-            t = np.concatenate([model.logits[h], np.zeros((1, c + 1), np.float32)]).astype(np.float64)
-            total[some] += np.add.reduceat(t, cuts, axis=0)[::2]
+            t = np.zeros((len(h) + 1, c + 1), np.float32)
+            np.take(model.logits, h, axis=0, out=t[:-1])
+            total[some] += np.add.reduceat(t, cuts, axis=0, dtype=np.float64)[::2]
             seen[some] += (e - s)[some]
         mean = total / np.maximum(seen, 1)[:, None]
         p = probabilities(mean[:, :c], mean[:, c])
