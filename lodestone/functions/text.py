@@ -66,18 +66,30 @@ def valid(t: Column) -> Column:
     return t.rlike("[A-Za-z]") & ~(t.rlike(r"[^\x00-\x7F]") & F.hex(F.encode(t, "UTF-8")).rlike("^(..)*(80|FF)"))
 
 
-def normalize(token: Column, body: bool, stop_words: frozenset[str] = STOP_WORDS) -> Column:
-    """The term a token is indexed under, null where it isn't. Stop words go in the body only, after folding."""
-    t = trim_marks(strip_entities(strip_tags(token)))
-    folded = blank_marks(fold_case(t))
-    # what most tokens are needs none of it
-    out = F.when(token.rlike("^[a-z]{1,64}$"), token).when(~rejected(t), F.when(valid(folded), folded))
-    return F.when(~out.isin(*sorted(stop_words)), out) if body and stop_words else out
+#: What most tokens are: nothing is left to do for them.
+PLAIN = "^[a-z]{1,64}$"
+
+
+def is_stop(t: Column, stop_words: frozenset[str]) -> Column:
+    """By first letter: inside array functions a long list is gone through word by word."""
+    found = F.lit(False)
+    for c in sorted({w[0] for w in stop_words}, reverse=True):
+        found = F.when(t.startswith(c), t.isin(*sorted(w for w in stop_words if w[0] == c))).otherwise(found)
+    return found
 
 
 def terms(tokens: Column, body: bool, stop_words: frozenset[str] = STOP_WORDS) -> Column:
-    """Normalised terms of an array of tokens, in order, without those that are dropped."""
-    return F.filter(F.transform(tokens, lambda t: normalize(t, body, stop_words)), lambda t: t.isNotNull())
+    """Normalised terms of an array of tokens, in order, without those that are dropped. Stop words go in the body only, after
+    folding. Each step is an array of its own, so that what a step uses several times is computed once."""
+    cleaned = F.transform(tokens, lambda t: F.when(t.rlike(PLAIN), t).otherwise(trim_marks(strip_entities(strip_tags(t)))))
+    folded = F.transform(F.filter(cleaned, lambda t: t.rlike(PLAIN) | ~rejected(t)), lambda t: F.when(t.rlike(PLAIN), t).otherwise(blank_marks(fold_case(t))))
+    kept = F.filter(folded, lambda t: t.rlike(PLAIN) | valid(t))
+    return F.filter(kept, lambda t: ~is_stop(t, stop_words)) if body and stop_words else kept
+
+
+def normalize(token: Column, body: bool, stop_words: frozenset[str] = STOP_WORDS) -> Column:
+    """The term a token is indexed under, null where it isn't."""
+    return F.try_element_at(terms(F.array(token), body, stop_words), F.lit(1))
 
 
 def decorated(field: Column, token: Column) -> Column:
