@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import keep_where, table, take
+from .common import keep_where, stored, table, take
 
 #: Term to weight; a term that ends in * matches every word that begins with it. Labels add more: see learn().
 LEXICON = {
@@ -23,10 +24,15 @@ LEXICON = {
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid question", "sore loser")
 #: Rejected are texts of at least this weight, and of this weight for a thousand words.
 LEAST_WEIGHT, LEAST_SCORE = 1.5, 1.0
-#: The bound on labelled rows that terms are learned from: toxic and clean ones; and the most terms.
-TOXIC_ROWS, CLEAN_ROWS, TERMS = 4000, 16_000, 500
-#: A learned term has at least so many words, its shortest and longest length, and at most this probability by chance.
-WORDS, SHORT, LONG, CHANCE = 4, 3, 9, 1e-7
+#: A learned term has at least so many words, its shortest and longest length, and at most this probability by chance; it is exp(ODDS) times as common in toxic texts.
+WORDS, SHORT, LONG, CHANCE, ODDS = 4, 3, 9, 1e-7, 1.0
+#: The most terms of a language, and the most beginnings that are counted in its clean texts, those of most toxic ones.
+TERMS, CANDIDATES = 500, 50_000
+#: Thresholds are tried for a text of so many words at most, in longer ones they grow with the words; steps of a weight of 1; a clean text taken costs as much as so many toxic ones missed, also
+#: one that is short of the threshold by less than 1 - MARGIN.
+PER, STEPS, TOP, COST, MARGIN = (100, 200, 400, 800, 1500), 8, 4000, 20, 0.75
+#: More labels than these aren't broadcast.
+BROADCAST = 1_000_000
 
 _ALIKE = {
     "i": "1!|lìíîïɩіıľι", "o": "0оοöòóôõø", "e": "3еéèêëε", "a": "4@аàáâäãåα", "s": "5$ѕ", "t": "7т", "c": "сçϲ", "p": "рρ", "d": "ԁ",
@@ -58,76 +64,202 @@ def fold(text: str) -> str:
     return low.translate(FOLD)
 
 
+class Lexicon(dict):
+    """Term to weight. Learned terms are of a group (a language), of which rejected are texts of LEAST_WEIGHT and the group's least score by its terms alone."""
+
+    def __init__(self, terms: dict[str, float], group: dict[str, str] | None = None, least: dict[str, float] | None = None):
+        super().__init__(terms)
+        self.group, self.least = group or {}, least or {}
+
+
 def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     words: dict[str, tuple] = {}
+    group, least = getattr(lexicon, "group", {}), getattr(lexicon, "least", {})
     for term, weight in lexicon.items():
         stem = term.endswith("*")
         key = fold(unicodedata.normalize("NFC", term.rstrip("*")))
-        words[key] = (len(key), float(weight), stem, False)
+        words[key] = (len(key), float(weight), stem, False, least.get(group.get(term), LEAST_SCORE), group.get(term))
     for phrase in exceptions:
         key = fold(unicodedata.normalize("NFC", phrase))
-        words[key] = (len(key), 0.0, False, True)
+        words[key] = (len(key), 0.0, False, True, LEAST_SCORE, None)
     for key, value in words.items():
         a.add_word(key, value)
     a.make_automaton()
     return a
 
 
-def weigh(text: str, a: ahocorasick.Automaton) -> tuple[float, int]:
-    """Summed weight and number of the terms found at word borders and outside exception phrases."""
-    hits, spans, n = [], [], len(text)
-    for end, (size, weight, stem, phrase) in a.iter(fold(text)):
+def found(text: str, a: ahocorasick.Automaton) -> list[tuple]:
+    """Start, end, weight, least score and group of the terms at word borders and outside exception phrases; of learned terms the different words."""
+    hits, spans, n, low, seen = [], [], len(text), fold(text), set()
+    for end, (size, weight, stem, phrase, least, group) in a.iter(low):
         start = end + 1 - size
         if (start and text[start - 1].isalnum()) or (not stem and end + 1 < n and text[end + 1].isalnum()):
             continue
+        if group is not None:
+            stop = end + 1
+            while stop < n and text[stop].isalnum():
+                stop += 1
+            if (group, low[start:stop]) in seen:
+                continue
+            seen.add((group, low[start:stop]))
         if phrase:
             spans.append((start, end))
         else:
-            hits.append((start, end, weight))
+            hits.append((start, end, weight, least, group))
     if spans:
         hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e in spans)]
+    return hits
+
+
+def weigh(text: str, a: ahocorasick.Automaton) -> tuple[float, int]:
+    """Summed weight and number of the terms found."""
+    hits = found(text, a)
     return round(sum(h[2] for h in hits), 6), len(hits)
 
 
 def verdict(text: str | None, a: ahocorasick.Automaton) -> tuple[float, int, int, float, bool]:
     if not text:
         return 0.0, 0, 0, 0.0, False
-    weight, hits = weigh(text, a)
+    hits = found(text, a)
+    weight = round(sum(h[2] for h in hits), 6)
     words = len(text.encode().split())
     score = round(1000.0 * weight / words, 4) if words else 0.0
-    return weight, hits, words, score, weight >= LEAST_WEIGHT and score >= LEAST_SCORE
+    by: dict[tuple, float] = {}
+    for h in hits:
+        by[h[4], h[3]] = by.get((h[4], h[3]), 0.0) + h[2]
+    toxic = any(round(x, 6) >= LEAST_WEIGHT and words and round(1000.0 * x / words, 4) >= least for (_, least), x in by.items())
+    return weight, len(hits), words, score, toxic
 
 
-def learn(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float] = LEXICON, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> dict[str, float]:
-    """The lexicon with the beginnings of words that only texts labelled toxic have, at weight 1.
+def _beginnings(text: str) -> set[str]:
+    return {w for w in re.findall(r"[^\W\d_]+", fold(text)) if len(w) >= SHORT}
 
-    From the labelled rows of least hash of doc_id, toxic_rows and clean_rows of them at most. A beginning counts, after
-    folding, if no clean text has it, at least WORDS different words go on from it, and its texts would all be toxic by chance
-    with a probability of at most CHANCE; of those that go on from each other the shortest. labels needs doc_id and toxic; rows
-    with a null are left out. No labels: the lexicon as it is.
+
+def _chosen(rows: list, total: dict, folds: tuple[int, ...], known: list[str]) -> dict[str, dict[str, float]]:
+    """By language, the terms and their log odds from the counts of these folds."""
+    out: dict[str, dict[str, float]] = {}
+    ranked = []
+    for lang, s, t, c in rows:
+        t, c = sum(t[f] for f in folds), sum(c[f] for f in folds)
+        tox, clean = (sum(total.get((lang, f, y), 0) for f in folds) for y in (1, 0))
+        if not t or not clean or any(k.startswith(s) or s.startswith(k) for k in known):
+            continue
+        odds = math.log((t + 0.5) / tox * clean / (c + 0.5))
+        by_chance = (t + c) * tox / (tox + clean)
+        z = t * math.log(t / by_chance) - t + by_chance
+        if odds >= ODDS and z >= -math.log(CHANCE):
+            ranked.append((-round(z, 6), len(s), s, lang, odds))
+    for _, _, s, lang, odds in sorted(ranked):
+        terms = out.setdefault(lang, {})
+        if len(terms) < TERMS and not any(x.startswith(s) or s.startswith(x) for x in terms):
+            terms[s] = odds
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float] = LEXICON) -> dict[str, float]:
+    """The lexicon with the beginnings of words that are commoner in texts labelled toxic, weighed by log odds. From all labelled rows.
+
+    For each language (column lang of docs, if there is one) counted is, after folding, in how many pairs of a text and one of its
+    words a beginning is. It is a term if at least WORDS different words of toxic texts go on from it and it is in toxic texts more
+    often than by chance; of those that go on from each other the most certain, then the shortest. Its weight is the smoothed log
+    odds of toxic against clean, scaled so that LEAST_WEIGHT is the language's threshold. That and the least score are set on
+    held-out labels: each half of the texts (by hash, copies together) is weighed with terms of the other half, and what counts
+    is toxic texts of the language found, less COST for each clean text of any language. A language whose terms lose by this has none.
+    labels needs doc_id and toxic; rows with a null are left out. No labels: the lexicon as it is.
     """
-    lab = take(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"])
-    h = F.xxhash64("doc_id")
-    few = lab.filter("toxic = 1").orderBy(h, "doc_id").limit(toxic_rows).unionByName(lab.filter("toxic = 0").orderBy(h, "doc_id").limit(clean_rows))
-    bmp = {k: v for k, v in FOLD.items() if k < 0xD800}
-    folded = F.translate(F.lower(F.coalesce("text", F.lit(""))), "".join(map(chr, bmp)), "".join(map(chr, bmp.values())))
-    # as many labels as the bounds say, however large the corpus
-    d = take(docs, "doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", F.array_distinct(F.split(folded, r"[^\p{L}]+")).alias("ws"))
-    words = d.select("toxic", F.explode("ws").alias("w")).filter(F.length("w") >= SHORT).groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    total = d.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    if not total.t or total.t == total.n:
+    lab = take(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    lab = stored(lab)
+    lab = F.broadcast(lab) if lab.count() <= BROADCAST else lab
+    has = any(c.lower() == "lang" for c in docs.columns)
+    d = take(docs, "doc_id", "text", "lang") if has else take(docs, "doc_id", "text").withColumn("lang", F.lit(""))
+    d = d.join(lab, "doc_id").filter("text is not null").select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
+
+    def counts(toxic: int, wanted: dict[str, set[str]] | None):
+        """Partial sums: lang, what (a word, or a wanted beginning; null: all words), n0, n1 by fold."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[tuple, list[int]] = {}
+
+            def batch() -> pa.RecordBatch:
+                keys, vals = list(found), list(found.values())
+                cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
+                return pa.RecordBatch.from_arrays([*cols, *(pa.array([v[f] for v in vals], pa.int64()) for f in (0, 1))], names=["lang", "w", "n0", "n1"])
+
+            for b in batches:
+                for lang, text, fold_ in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "fold"))):
+                    ws = _beginnings(text)
+                    found.setdefault((lang, None), [0, 0])[fold_] += len(ws)
+                    if wanted is None:
+                        for w in ws:
+                            found.setdefault((lang, w), [0, 0])[fold_] += 1
+                        continue
+                    want = wanted.get(lang, ())
+                    for w in ws:
+                        for k in range(SHORT, min(LONG, len(w)) + 1):
+                            if w[:k] in want:
+                                found.setdefault((lang, w[:k]), [0, 0])[fold_] += 1
+                if len(found) > 200_000:
+                    yield batch()
+                    found.clear()
+            yield batch()
+
+        return d.filter(F.col("toxic") == toxic).select("lang", "text", "fold").mapInArrow(run, "lang string, w string, n0 long, n1 long").groupBy("lang", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+    words = stored(counts(1, None))
+    total = {(r.lang, f, 1): r[f"n{f}"] for r in words.filter("w is null").collect() for f in (0, 1)}
+    starts = words.filter("w is not null").select("lang", F.explode(F.transform(F.sequence(F.lit(SHORT), F.least(F.length("w"), F.lit(LONG))), lambda k: F.substring("w", F.lit(1), k))).alias("s"), "n0", "n1")
+    # a beginning that only toxic texts have is by chance in fewer words than these with 1 - CHANCE
+    common = starts.groupBy("lang", "s").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("words")).filter((F.col("words") >= WORDS) & (F.col("n0") + F.col("n1") >= WORDS))
+    most = Window.partitionBy("lang").orderBy(F.desc(F.col("n0") + F.col("n1")), F.length("s"), "s")
+    some = {(r.lang, r.s): (r.n0, r.n1) for r in common.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= CANDIDATES).collect()}
+    if not some:
         return dict(lexicon)
-    # texts that would all be toxic by chance with CHANCE
-    least = math.ceil(math.log(CHANCE) / math.log(total.t / total.n))
-    starts = words.select(F.explode(F.transform(F.sequence(F.lit(SHORT), F.least(F.length("w"), F.lit(LONG))), lambda k: F.substring("w", F.lit(1), k))).alias("s"), "t", "n")
-    found = starts.groupBy("s").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("words")).filter((F.col("t") == F.col("n")) & (F.col("t") >= least) & (F.col("words") >= WORDS))
+    wanted: dict[str, set[str]] = {}
+    for lang, s in some:
+        wanted.setdefault(lang, set()).add(s)
+    clean = {(r.lang, r.w): (r.n0, r.n1) for r in counts(0, wanted).collect()}
+    total |= {(lang, f, 0): n[f] for (lang, w), n in clean.items() if w is None for f in (0, 1)}
+    rows = [(lang, s, t, clean.get((lang, s), (0, 0))) for (lang, s), t in some.items()]
     known = [fold(k.rstrip("*")) for k in lexicon]
-    out: list[str] = []
-    for r in sorted(found.orderBy(F.desc("t"), "s").limit(20 * TERMS).collect(), key=lambda r: (len(r.s), -r.t, r.s)):
-        if len(out) < TERMS and not any(r.s.startswith(x) for x in out) and not any(k.startswith(r.s) or r.s.startswith(k) for k in known):
-            out.append(r.s)
-    return {**lexicon, **{x + "*": 1.0 for x in out}}
+    terms = _chosen(rows, total, (0, 1), known)
+    other = [_chosen(rows, total, (1 - f,), known) for f in (0, 1)]
+    if not terms:
+        return dict(lexicon)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
+        for o in other:  # one automaton a language: languages may share a term
+            made.append({g: automaton(Lexicon({s + "*": w for s, w in ts.items()}, {s + "*": g for s in ts}), ()) for g, ts in o.items()})
+        seen: dict[tuple, int] = {}
+        for b in batches:
+            for lang, text, fold_, toxic in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "fold", "toxic"))):
+                n = 0
+                for g, a in made[fold_].items():
+                    if (toxic and g != lang) or not (w := weigh(text, a)[0]):
+                        continue
+                    n = n or len(text.encode().split())
+                    for per in PER:
+                        key = g, per, min(TOP, int(STEPS * w / max(1.0, n / per))), toxic
+                        seen[key] = seen.get(key, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))] + [pa.array(list(seen.values()), pa.int64())], names=["g", "per", "at", "toxic", "n"])
+
+    at = d.mapInArrow(held, "g string, per long, at long, toxic long, n long").groupBy("g", "per", "at", "toxic").agg(F.sum("n").alias("n")).filter("at > 0").collect()
+    out, group, least = dict(lexicon), {}, {}
+    for g in sorted(terms):
+        best = (0, 0, 0)
+        for per in PER:
+            bins = [(r.at, r.toxic, r.n) for r in at if r.g == g and r.per == per]
+            for k in {b[0] for b in bins}:
+                gain = sum(n for x, y, n in bins if y and x >= k) - COST * sum(n for x, y, n in bins if not y and x >= MARGIN * k)
+                best = max(best, (gain, -per, k))
+        if best[0] <= 0:
+            continue
+        for s, w in terms[g].items():
+            if s + "*" not in out:
+                out[s + "*"], group[s + "*"] = w * LEAST_WEIGHT * STEPS / best[2], g
+        least[g] = 1000 * LEAST_WEIGHT / -best[1]
+    return Lexicon(out, group, least)
 
 
 def score_toxicity(docs: DataFrame, lexicon: dict[str, float] | None = None, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:

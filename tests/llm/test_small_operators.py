@@ -83,6 +83,28 @@ def test_toxic_labels_that_nothing_was_learned_from(spark, sf, least):
     assert right >= least * len(held) and wrong <= 0.001 * len(held)
 
 
+def test_recall_of_toxic_texts_by_language(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    used = labels.orderBy("doc_id").limit(labels.count() // 2)
+    got = toxicity.score_toxicity(d, toxicity.learn(d, used)).withColumnRenamed("toxic", "got").join(labels.join(used, "doc_id", "left_anti").filter("toxic = 1"), "doc_id").join(d.select("doc_id", "lang"), "doc_id")
+    recall = {r.lang: r.recall for r in got.selectExpr("lang", "double(got) got").groupBy("lang").avg("got").toDF("lang", "recall").collect()}
+    print(recall)
+    assert recall["de"] > 0.9 and recall["es"] > 0.75 and recall["fr"] > 0.3 and recall["en"] > 0.9
+
+
+def test_terms_that_a_few_clean_texts_have(spark):
+    rows, labels = [], []
+    for i in range(600):
+        bad, rng = i % 6 == 0, random.Random(i)
+        extra = [f"zork{x}" for x in rng.sample("abcdefgh", 4 if bad else 1 if i % 20 == 1 else 0)]
+        rows.append((i, " ".join([rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20)] + extra)))
+        labels.append((i, int(bad)))
+    d = frame(spark, rows)
+    terms = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {r.doc_id for r in toxicity.score_toxicity(d, terms).filter("toxic").collect()} == {i for i, bad in labels if bad}
+    assert toxicity.verdict("zorka zorka zorka zorka", toxicity.automaton(terms, ()))[1] == 1
+
+
 def test_learned_terms(spark):
     rng = random.Random(0)
     clean = ["alpha", "beta", "gamma", "delta"]
