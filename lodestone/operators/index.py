@@ -36,9 +36,8 @@ def postings(toks: DataFrame) -> DataFrame:
 
 
 def positions(toks: DataFrame) -> DataFrame:
-    """field, token, doc_id, freq, positions (sorted, up to MAX_POSITION): postings and positions of one aggregation."""
-    kept = F.filter(F.array_sort(F.collect_list("pos")), lambda p: p <= MAX_POSITION)
-    return toks.groupBy("field", "token", "doc_id").agg(F.count("*").alias("freq"), kept.alias("positions"))
+    """field, token, doc_id, freq, positions (sorted, all of them): postings and positions of one aggregation."""
+    return toks.groupBy("field", "token", "doc_id").agg(F.count("*").alias("freq"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def term_dict(post: DataFrame) -> DataFrame:
@@ -141,7 +140,8 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, compact: bool = False, **how) -> Index:
         pos = positions(tokens(docs, **how))
-        return cls(docs, stored_positions(pos) if compact else pos, term_dict(pos), doc_map(docs), stats(doc_map(docs)))
+        kept = stored_positions(pos).withColumn("positions", F.filter("positions", lambda p: p <= MAX_POSITION)) if compact else pos
+        return cls(docs, kept, term_dict(pos), doc_map(docs), stats(doc_map(docs)))
 
     def write(self, path: str) -> None:
         """Positions by range of term and sorted, so that a term's rows lie in few row groups, which their statistics name."""

@@ -62,7 +62,7 @@ def features(index: Index, query: str, docs: DataFrame) -> DataFrame:
     for i, w in enumerate(names):
         body = (F.col("token") == w) & (F.col("field") == "body")
         per += [
-            F.coalesce(F.max(F.when(body, F.size("positions"))), F.lit(0)).alias(f"tf{i}"),
+            F.coalesce(F.max(F.when(body, F.col("freq"))), F.lit(0)).alias(f"tf{i}"),
             F.max(F.when(body, F.array_min("positions"))).alias(f"first{i}"),
             F.coalesce(F.bool_or((F.col("token") == w) & (F.col("field") == "desc")), F.lit(False)).alias(f"desc{i}"),
         ]

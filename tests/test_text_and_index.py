@@ -49,6 +49,18 @@ def test_positions_count_what_is_left(docs):
     assert ("body", "the", 0) not in got and got["desc", "about", 0] == (1, [0]) and got["url", "example", 2][0] == 1
 
 
+def test_positions_of_long_texts(spark):
+    from lodestone.operators import rank
+
+    n = ix.MAX_POSITION + 5
+    d = spark.createDataFrame([(0, "https://a.example.com/", ["Long"], [], ["filler"] * n + ["blue", "whale"], [])], "doc_id long, url string, title array<string>, description array<string>, words array<string>, forward_links array<string>")
+    whole, compact = ix.Index.build(d), ix.Index.build(d, compact=True)
+    got = {r.token: (r.freq, r.positions) for r in whole.positions.filter("field = 'body'").collect()}
+    assert got["whale"] == (1, [n + 1]) and got["filler"][0] == len(got["filler"][1]) == n
+    assert rank.search(whole, "\"blue whale\"").count() == 1
+    assert all(p <= ix.MAX_POSITION for r in compact.positions.collect() for p in r.positions)
+
+
 def test_frequencies_sum_to_tokens_and_deltas_invert(docs):
     toks = ix.tokens(docs)
     post = ix.postings(toks)
