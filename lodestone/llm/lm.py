@@ -23,8 +23,6 @@ from .tokens import END, FOLDER, Encoder
 IDS, ROWS, WIDTH, CLASSES = END + 1, 4096, 16, 64
 #: Tokens in a window, and how many of them are scored; the others are context.
 WINDOW, STRIDE = 32, 16
-#: One training window is taken from each so many tokens of each document, spread evenly over it.
-EVERY = 512
 #: Rounds of training in all partitions, between which parameters are averaged; windows in a step; rate.
 ROUNDS, BATCH, RATE = 2, 32, 0.01
 
@@ -180,16 +178,14 @@ def _ids(b: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _training(ids: list[np.ndarray], t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Windows of WINDOW inputs each and the classes of the ids after them; one from each EVERY tokens of a text."""
+    """Windows of WINDOW inputs each and the classes of the ids after them; they tile each text, so that each of its ids is learned from once."""
     n = np.array([len(x) for x in ids], np.int64)
     flat, before, at = inputs(ids)
     if not len(flat):
         return None
-    w = -(-n // EVERY)
+    w = -(-n // WINDOW)
     doc = np.repeat(np.arange(len(n)), w)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(w) - w, w)
-    # evenly spread, and shifted by the text's length, so that not all windows start a text
-    start = np.minimum(k * EVERY + (n[doc] * 7919 + k * 104729) % EVERY, np.maximum(n[doc] - WINDOW, 0))
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(w) - w, w)) * WINDOW
     pos = start[:, None] + np.arange(WINDOW)
     ok = pos < n[doc][:, None]
     where = np.minimum(at[doc][:, None] + pos, len(flat) - 1)
@@ -260,7 +256,7 @@ def tokenised(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
 def score_documents(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, nll (mean -ln probability of a token), perplexity.
 
-    The model is trained on windows of all documents (EVERY says how many), its counts are over all their tokens, so what
+    The model is trained on all tokens of all documents, its counts are over all their tokens, so what
     is gathered grows with the corpus; what is collected has the size of the model. A text is scored whole, in
     overlapping windows that score each token once. A null or empty text has no tokens, and null nll and perplexity. Null
     doc_ids and repeated rows stay; extra columns are dropped. No rows give no rows. Scores depend on how the table is

@@ -61,6 +61,16 @@ def test_gradient_is_that_of_differences():
         assert abs(want - g[k][at]) < 2e-3 * max(1.0, abs(want)) + 2e-5, k
 
 
+def test_training_windows_hold_each_token_once():
+    _, t, rng = small_model()
+    ids = [rng.integers(0, lm.IDS, n) for n in (0, 1, 31, 32, 33, 100, 2000)]
+    rows, _, target = lm._training(ids, t)
+    assert len(rows) == sum(-(-len(x) // lm.WINDOW) for x in ids) and (target >= 0).sum() == sum(map(len, ids))
+    np.testing.assert_array_equal(target[target >= 0], np.concatenate([t.cls[x] for x in ids]))
+    before = np.concatenate([[lm.END, *x[:-1]] for x in ids if len(x)])
+    np.testing.assert_array_equal(rows[target >= 0], t.row[before])
+
+
 def test_better_than_counts_on_texts_it_has_not_seen(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     tokens = lm.tokenised(docs.filter("doc_id % 5 <> 0")).cache()
