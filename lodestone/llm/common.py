@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
 import tempfile
@@ -46,20 +47,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) one in the temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one in the temporary folder if all of Spark is
+    this machine (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lodestone-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut and the work is done once."""
+    """df written to the shared folder and read again: lineage is cut and the work is done once. Deleted by discard(), or by sweep() when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    _delete(df.stored_at)
+
+
+@atexit.register
+def sweep() -> None:
+    """Deletes all tables that stored() wrote and discard() left. What was made from them can't be read after this."""
+    for path in list(_written):
+        try:
+            _delete(path)
+        except Exception:  # the session is gone
+            _written.pop(path, None)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -201,3 +232,34 @@ def may_hold(bits: np.ndarray, key: int) -> bool:
     h, top = _mix1(key & _M), 8 * len(bits) - 1
     a, b = h & top, h >> 32 & top
     return bool(bits[a >> 3] >> (7 - (a & 7)) & 1 and bits[b >> 3] >> (7 - (b & 7)) & 1)
+
+
+def least_labels(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each place the least name of those that links i, j of places join to it."""
+    label = names.copy()
+    while True:
+        low = np.minimum(label[i], label[j])
+        if (low == label[i]).all() and (low == label[j]).all():
+            return label
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """node, root: the least node of the connected component of each node that is in a pair (x, y). Alternating large and small
+    stars, written to the shared folder in each round, until nothing changes."""
+    edges = stored(pairs.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    state = None
+    while True:
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
+        before, edges = edges, stored(small.distinct())
+        discard(before)
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state or not now[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
+        state = now

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, gram_sets, gram_text, may_hold, mix, numbered, position, stored, table, take
+from .common import bloom_filter, components, gram_sets, gram_text, may_hold, mix, numbered, position, stored, table, take
 
 #: Words in an n-gram and the least Jaccard similarity.
 GRAM, THRESHOLD = 3, 0.6
@@ -399,25 +399,6 @@ def jaccard_join(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD) -> DataFr
     return copies.unionByName(near)
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """node, root: the least node of the connected component of each node that is in a pair (x, y). Alternating large and small
-    stars, written to the shared folder in each round, until nothing changes."""
-    edges = stored(pairs.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    state = None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        edges = stored(small.distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
-        state = now
-
-
 def drop_near_copies(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD) -> DataFrame:
     """docs, all columns, with one document of each group: that of least doc_id in each connected component of jaccard_join.
 

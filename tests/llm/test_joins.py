@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import embeddings, jaccard, licenses
+from lodestone.llm.common import components
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -97,7 +98,7 @@ def test_no_documents(spark):
 
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (50, 60), (60, 50)]
-    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(pairs, "x long, y long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "x long, y long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 60: 50}
 
 
@@ -134,28 +135,61 @@ def vectors(n=600, d=16, seed=0):
     return [(int(i), [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
 
 
-def test_pairs_recall_and_precision(spark):
-    rows = vectors()
-    df = spark.createDataFrame([(a, b, 1.0) for a, b in rows], "vec_id long, embedding array<float>, cosine double").repartition(3)
-    got = {(r.vec_id_a, r.vec_id_b): r.cosine for r in embeddings.near_pairs(df).collect()}
+def true_links(rows, cosine=embeddings.COSINE):
+    """vec_id: links of its vector to different ones, from all pairs."""
     x = np.array([np.float32(r[1]) for r in rows], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = x @ x.T
-    reps = [i for i in range(len(rows)) if i not in (10, 11)]
-    want = {(i, j) for k, i in enumerate(reps) for j in reps[k + 1 :] if c[i, j] >= embeddings.COSINE} | {(2, 10), (2, 11)}
-    assert set(got) <= want and len(set(got) & want) >= 0.9 * len(want) and len(want) > 100
-    assert all(abs(got[p] - c[p]) < 1e-5 for p in got)
-    full = embeddings.near_pairs(df, probes=10_000).collect()
-    assert {(r.vec_id_a, r.vec_id_b) for r in full} == want
+    first = {tuple(v): i for i, v in reversed(list(enumerate(x)))}
+    reps = sorted(first.values())
+    near = x @ x[reps].T >= cosine
+    return {rows[i][0]: int(near[i].sum()) - 1 for i in range(len(rows))}
+
+
+def test_links_recall_and_precision(spark):
+    rows = vectors()
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in rows], "vec_id long, embedding array<float>, copies double").repartition(3)
+    want = true_links(rows)
+    got = {r.vec_id: r for r in embeddings.near_classes(df).collect()}
+    assert got.keys() == want.keys() and all(r.links <= want[i] for i, r in got.items())
+    assert sum(r.links for r in got.values()) >= 0.9 * sum(want.values()) > 200
+    assert {i for i, r in got.items() if r.copies} == {2, 10, 11} and got[10].copies == 2 and got[11].class_id == got[10].class_id == 2
+    full = embeddings.near_classes(df, probes=10_000).collect()
+    assert {r.vec_id: r.links for r in full} == want
+    root = groups([i for i, _ in rows], [(i, i + 1) for i in range(0, 600, 4) if want[i]] + [(2, 10), (2, 11)])
+    assert sum(r.class_id == root[r.vec_id] for r in full) >= 590
+
+
+def test_a_dense_group_in_cells(spark, monkeypatch):
+    """A third of all vectors is one group of near ones; lists are cut, and each link counts once."""
+    monkeypatch.setattr(embeddings, "CELL", 20)
+    monkeypatch.setattr(embeddings, "BLOCK", 500)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(450, 16))
+    x[:150] = x[0] + rng.normal(size=(150, 16)) * 0.03
+    rows = [(int(i), [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    got = {r.vec_id: r for r in embeddings.near_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = true_links(rows)
+    assert all(r.links <= want[i] for i, r in got.items()) and sum(r.links for r in got.values()) >= 0.9 * sum(want.values())
+    assert {got[i].class_id for i in range(150)} == {0}
+
+
+def test_enough_probes_reach_what_lies_at_the_threshold():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    used = [embeddings.probes_of(x[:2000], x[-k:], 0.95) for k in (50, 100, 200, 400)]
+    assert max(used) < 40 and embeddings.probes_of(x[:2000], x[-1:], 0.95) == 1
 
 
 def test_odd_vectors(spark):
     nan = float("nan")
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.001]), (3, None), (4, []), (5, [nan, 1.0]), (6, [0.0, 0.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (8, [1.0, None]), (9, [-1.0, 0.0])]
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.001]), (3, None), (4, []), (5, [nan, 1.0]), (6, [0.0, 0.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (8, [1.0, None]), (9, [-1.0, 0.0]), (10, [1.0, -0.0]), (11, [-1.0, 0.0]), (11, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert {(r.vec_id_a, r.vec_id_b) for r in embeddings.near_pairs(df).collect()} == {(1, 2)}
-    assert embeddings.near_pairs(df.limit(0)).collect() == []
-    assert embeddings.near_pairs(df.filter("vec_id = 1")).collect() == []
+    got = {r.vec_id: (r.class_id, r.copies, r.links) for r in embeddings.near_classes(df).collect()}
+    alone = {i: (i, 0, 0) for i in (3, 4, 5, 6, 7, 8)}
+    assert got == alone | {1: (1, 2, 1), 2: (1, 0, 1), 10: (1, 2, 1), 9: (1, 1, 0), 11: (1, 3, 1)}
+    assert embeddings.near_classes(df.limit(0)).collect() == []
+    assert [tuple(r) for r in embeddings.near_classes(df.filter("vec_id = 1")).collect()] == [(1, 1, 0, 0)]
 
 
 # ---- the pipeline
