@@ -1,7 +1,7 @@
 """BPE encoding with content-defined chunk reuse, and decoding.
 
-A rolling hash cuts each text into chunks where its content says so, whatever stands before. A chunk that occurs more
-than once in the corpus is encoded once, at one place; every other chunk occurs once and is encoded where it is. A text's
+A rolling hash cuts each text into chunks where its content says so, whatever stands before. A chunk that more than one
+text has is encoded once, at one place; every other chunk is encoded where it is. A text's
 ids are its chunks' ids joined; each join is repaired by encoding again around it until both sides agree.
 """
 
@@ -138,8 +138,9 @@ def _small(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
-def encode(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, ids. The ids are those of encoding the whole text.
+def encode(docs: DataFrame, folder: str = FOLDER, verify: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_tokens, ids; with `verify` also round_trip, whether decoding them gives the text
+    back. The ids are those of encoding the whole text.
 
     Needs doc_id and text; extra columns are dropped. A null or empty text has no ids. Null doc_ids and repeated rows
     stay. Texts of any length are encoded whole. No rows give no rows.
@@ -195,12 +196,15 @@ def encode(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     given = wants.select("c1", "c2", "doc").join(book, ["c1", "c2"]).groupBy("doc").agg(F.collect_list(F.struct("c1", "c2", "ids")).alias("given"))
 
     result = StructType().add("doc_id", kind).add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
+    if verify:
+        result = result.add("round_trip", "boolean")
 
-    def ids_batch(names: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
+    def ids_batch(names: pa.Array, ids: list[list[int]], texts: list[bytes], enc: Encoder) -> pa.RecordBatch:
         n = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate([np.zeros(0, np.int32), *[np.asarray(x, np.int32) for x in ids]])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays([names, pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
+        same = [pa.array([enc.bpe.decode_bytes(x) == t for x, t in zip(ids, texts)], pa.bool_())] if verify else []
+        return pa.RecordBatch.from_arrays([names, pa.array(n), lists, *same], names=result.names)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(folder)
@@ -209,7 +213,7 @@ def encode(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
                 b = whole.slice(lo, 500)
                 raw = [t.as_buffer().to_pybytes() for t in b.column("text")]
                 here = [i for i, r in enumerate(raw) if not r or not may_hold(mixed.value, _key(r)[0])]
-                yield ids_batch(b.column("doc_id").take(pa.array(here, pa.int64())), [enc.bpe.encode_ordinary(raw[i].decode()) for i in here])
+                yield ids_batch(b.column("doc_id").take(pa.array(here, pa.int64())), [enc.bpe.encode_ordinary(raw[i].decode()) for i in here], [raw[i] for i in here], enc)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -235,7 +239,7 @@ def encode(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
                         book_ = {(g["c1"], g["c2"]): g["ids"] for g in given_.as_py() or ()}
                         last = raw, join(_runs(parts, book_, enc), enc)
                     out.append(last[1])
-                yield ids_batch(b.column("doc_id"), out)
+                yield ids_batch(b.column("doc_id"), out, texts, enc)
 
     moved = d.mapInArrow(move, StructType().add("doc_id", kind).add("doc", "long").add("data", "binary")).join(given, "doc", "left")
     return d.mapInArrow(alone, result).unionByName(moved.select("doc_id", "data", "given").mapInArrow(put_together, result))
@@ -258,12 +262,22 @@ def _runs(parts: list[bytes], book: dict, enc: Encoder) -> list[tuple[str, list[
 
 
 def decode(encoded: DataFrame, folder: str = FOLDER) -> DataFrame:
-    """doc_id, text of rows of doc_id and ids; the inverse of encode. Null ids give a null text, no ids the empty one."""
+    """doc_id, text of rows of doc_id and ids; the inverse of encode, a row for each row.
+
+    Null ids give a null text, no ids the empty one; so does a list with a null or an id that the vocabulary lacks give null.
+    What isn't whole characters (ids cut from the middle of a text) gets replacement characters. Null doc_ids and repeated rows
+    stay, lists of any length are decoded whole, extra columns are dropped. No rows give no rows.
+    """
+
+    def text(ids: list | None, enc: Encoder) -> str | None:
+        if ids is None or not all(x is not None and 0 <= x < enc.size for x in ids):
+            return None
+        return enc.bpe.decode(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(folder)
         for b in batches:
-            texts = [None if x is None else enc.bpe.decode(x) for x in b.column("ids").to_pylist()]
+            texts = [text(x, enc) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     d = take(encoded, "doc_id", "ids")
@@ -271,4 +285,4 @@ def decode(encoded: DataFrame, folder: str = FOLDER) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(table(spark, sf_dir, "documents"), verify=True)

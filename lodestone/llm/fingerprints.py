@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import gram_sets, gram_text, mix, table, take
+from .common import gram_sets, gram_text, mix, stored, table, take
 
 #: Words in a shingle, bins, and bits kept for each bin.
 SHINGLE, BINS, BITS = 3, 256, 4
+#: Leading bytes of the fingerprint that documents of one band share.
+BAND = 8
 _TRIES = 48
 _U = np.uint64
 
@@ -103,5 +106,37 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, bins: int = BINS, bits
     return d.mapInArrow(run, schema)
 
 
+def with_estimates(pairs: DataFrame, a: str = "a", b: str = "b", bins: int = BINS, bits: int = BITS) -> DataFrame:
+    """pairs, all columns, and last estimate: the bias-corrected Jaccard similarity of the fingerprints in columns a and b.
+
+    Null where one of them is null. Rows stay as they are, repeated ones too; no rows give no rows. A column of pairs that is
+    called estimate stays where it is, and the new one is the last."""
+    names = [f"_c{i}" for i in range(len(pairs.columns))]
+    x, y = (names[pairs.columns.index(c)] for c in (a, b))
+    chance = 2.0**-bits
+
+    @F.pandas_udf("double")
+    def same(p: pd.Series, q: pd.Series) -> pd.Series:
+        ok = (p.notna() & q.notna()).to_numpy()
+        out = np.full(len(p), np.nan)
+        if ok.any():
+            u, v = (np.unpackbits(np.frombuffer(b"".join(c[ok]), np.uint8).reshape(int(ok.sum()), -1), axis=1)[:, : bins * bits].reshape(-1, bins, bits) for c in (p, q))
+            out[ok] = np.maximum(0.0, ((u == v).all(2).mean(1) - chance) / (1 - chance)).round(6)
+        return pd.Series(out).where(ok, None)
+
+    return pairs.toDF(*names).select("*", same(F.col(x), F.col(y))).toDF(*pairs.columns, "estimate")
+
+
+def near_estimates(prints: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFrame:
+    """fingerprints() and for each row near_id, the least other doc_id whose fingerprint begins with the same BAND bytes, and
+    estimate, the Jaccard similarity to it by both fingerprints. Null where there is none: for the least doc_id of a band itself,
+    null doc_ids (which are near_id of no one) and null fingerprints. A band, however many share it, sends on one row."""
+    band = F.substring("fingerprint", 1, BAND)
+    heads = prints.filter("fingerprint is not null and doc_id is not null").groupBy(band.alias("band")).agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
+    d = prints.withColumn("band", band).join(heads, "band", "left").withColumn("head", F.when(~F.col("doc_id").eqNullSafe(F.col("head.doc_id")), F.col("head")))
+    d = d.select("doc_id", "fingerprint", "n_shingles", "n_empty", F.col("head.doc_id").alias("near_id"), F.col("head.fingerprint").alias("_other"))
+    return with_estimates(d, "fingerprint", "_other", bins, bits).drop("_other")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return near_estimates(stored(fingerprints(table(spark, sf_dir, "documents"))))

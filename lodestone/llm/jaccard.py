@@ -10,7 +10,7 @@ Passes over the texts, each vectorised and without a shuffle of text:
              allow t. Rare-first order keeps passages that many documents share out of the prefixes.
 4. bounds:   a pair whose summed overlap and what lies beyond both prefixes can't reach t is discarded.
 5. product:  the pairs left are verified in full: each set goes once to its group, where tiles of the incidence matrix
-             are multiplied.
+             are multiplied. A group adds up the links of its sets; pairs are sent on only by jaccard_join.
 """
 
 from __future__ import annotations
@@ -25,14 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, components, gram_sets, gram_text, may_hold, mix, numbered, position, stored, table, take
+from .common import bloom_filter, components, gram_sets, gram_text, least_labels, may_hold, mix, numbered, position, stored, table, take
 
 #: Words in an n-gram and the least Jaccard similarity.
 GRAM, THRESHOLD = 3, 0.6
 #: Buckets of the counting sketch; postings in a block; sets in a tile of a verified group.
-SKETCH, BLOCK, TILE = 1 << 22, 2_000_000, 1024
-#: Rows of the table of groups' members that are broadcast (40 bytes each); beyond it sets are joined to their groups.
-MEMBERS = 1_000_000
+SKETCH, BLOCK, TILE = 1 << 22, 1_000_000, 1024
 _PARTS = 16
 _U = np.uint64
 
@@ -130,7 +128,7 @@ def _multiply(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float) ->
         i, j = d[at], d[at + step]
         held.append(np.minimum(i, j) * n + np.maximum(i, j))
         k += len(at)
-        if k > 1 << 22:
+        if k > 1 << 21:
             keys, counts = fold(keys, counts, held)
             held, k = [], 0
         step += 1
@@ -246,8 +244,9 @@ def _candidates(docs: DataFrame, n: int, t: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(fp[i[ok]]), pa.array(fp[j[ok]])], names=["a", "b"])
 
     packed = "block long, data binary"
-    blocked = _base(docs).mapInArrow(index, packed).repartition("block").sortWithinPartitions("block").mapInArrow(product, packed)
-    return blocked.repartition("block").sortWithinPartitions("block").mapInArrow(total, "a long, b long")
+    own = F.col("block").cast("int")  # one block a task, however many there are
+    blocked = _base(docs).mapInArrow(index, packed).repartitionById(blocks, own).mapInArrow(product, packed)
+    return blocked.repartitionById(blocks, own).mapInArrow(total, "a long, b long")
 
 
 def _grouped(cand: DataFrame) -> DataFrame:
@@ -270,39 +269,17 @@ def _grouped(cand: DataFrame) -> DataFrame:
     )
 
 
-def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFrame) -> DataFrame:
-    """Document pairs of Jaccard >= t among the pairs of fingerprints."""
+def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFrame, pairs_out: bool) -> DataFrame:
+    """What is linked among the pairs of fingerprints: document pairs of Jaccard >= t; or for each group and set in it fp, rep,
+    root (a document that the links join to rep) and links, which add up."""
     spark = docs.sparkSession
     pairs = stored(_grouped(cand))
     ends = pairs.select("k1", "k2", "k3", F.col("a").alias("fp")).union(pairs.select("k1", "k2", "k3", "b")).distinct()
-    members = stored(ends.join(reps, "fp"))
-    few = members.count() <= MEMBERS
-    if few:
-        m = members.orderBy("fp").toPandas()
-        where = spark.sparkContext.broadcast({c: m[c].to_numpy(np.int64) for c in m.columns})
-    else:
-        bloom = spark.sparkContext.broadcast(bloom_filter(members.select("fp")))
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each set to its groups."""
-        w = where.value
-        names = ["k1", "k2", "k3", "fp", "rep"]
-        for b in batches:
-            rows, data, room = [], [], 0
-            for i, s in zip(b.column("doc_id").to_pylist(), gram_sets(b.column("text"), n)):
-                if not len(s):
-                    continue
-                f = _fp(s)
-                for at in range(*(np.searchsorted(w["fp"], f, "left"), np.searchsorted(w["fp"], f, "right"))):
-                    if w["rep"][at] == i:
-                        rows.append(at), data.append(s.tobytes())
-                        room += 8 * len(s)
-                if room > 1 << 25:
-                    yield pa.RecordBatch.from_arrays([*[pa.array(w[c][rows]) for c in names], pa.array(data, pa.binary())], names=[*names, "grams"])
-                    rows, data, room = [], [], 0
-            yield pa.RecordBatch.from_arrays([*[pa.array(w[c][rows]) for c in names], pa.array(data, pa.binary())], names=[*names, "grams"])
+    members = stored(ends.join(reps.select("fp", "rep"), "fp"))
+    bloom = spark.sparkContext.broadcast(bloom_filter(members.select("fp")))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets that are in a group (and the few that the filter lets pass)."""
         bits = bloom.value
         for b in batches:
             ids, fps, data, room = [], [], [], 0
@@ -312,7 +289,7 @@ def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFram
                     if may_hold(bits, f):
                         ids.append(i), fps.append(f), data.append(s.tobytes())
                         room += 8 * len(s)
-                if room > 1 << 25:
+                if room > 1 << 24:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(data, pa.binary())], names=["rep", "fp", "grams"])
                     ids, fps, data, room = [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(data, pa.binary())], names=["rep", "fp", "grams"])
@@ -320,39 +297,40 @@ def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFram
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets, todo = None, {}, []
         for b in batches:
-            c = [b.column(k).to_pylist() for k in ("k1", "k2", "k3", "a", "b", "rep")]
-            for i, (k1, k2, k3, x, y, rep) in enumerate(zip(*c)):
-                if (k1, k2, k3) != now:
+            k = np.stack([b.column(c).to_numpy() for c in ("k1", "k2", "k3", "kind")])
+            a, rep = b.column("a").to_numpy(), b.column("rep").to_numpy()
+            cuts = [*np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, b.num_rows]
+            i = 0
+            for j in cuts:
+                if tuple(k[:3, i]) != now:
                     if todo:
-                        yield _overlaps(sets, todo, t)
-                    now, sets, todo = (k1, k2, k3), {}, []
-                if y is None:
-                    sets[x] = (rep, np.frombuffer(b.column("grams")[i].as_py(), _U))
+                        yield _overlaps(sets, todo, t, pairs_out)
+                    now, sets, todo = tuple(k[:3, i]), {}, []
+                if k[3, i]:
+                    todo.append((a[i:j], rep[i:j]))
                 else:
-                    todo.append((x, y))
+                    for r in range(i, j):
+                        sets[int(a[r])] = (int(rep[r]), np.frombuffer(b.column("grams")[r].as_py(), _U))
+                i = j
         if todo:
-            yield _overlaps(sets, todo, t)
+            yield _overlaps(sets, todo, t, pairs_out)
 
-    if few:
-        grams = _base(docs).mapInArrow(sent, "k1 long, k2 long, k3 long, fp long, rep long, grams binary")
-    else:
-        grams = _base(docs).mapInArrow(wanted, "rep long, fp long, grams binary").join(members, ["fp", "rep"])
-    none = F.lit(None)
-    rows = grams.select("k1", "k2", "k3", F.lit(0).alias("kind"), F.col("fp").alias("a"), none.cast("long").alias("b"), "rep", "grams").unionByName(
-        pairs.select("k1", "k2", "k3", F.lit(1).alias("kind"), "a", "b", none.cast("long").alias("rep"), none.cast("binary").alias("grams"))
+    grams = _base(docs).mapInArrow(wanted, "rep long, fp long, grams binary").join(members.hint("merge"), ["fp", "rep"])
+    rows = grams.select("k1", "k2", "k3", F.lit(0).alias("kind"), F.col("fp").alias("a"), "rep", "grams").unionByName(
+        pairs.select("k1", "k2", "k3", F.lit(1).alias("kind"), "a", F.col("b").alias("rep"), F.lit(None).cast("binary").alias("grams"))
     )
-    return rows.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "kind").mapInArrow(check, "doc_id_a long, doc_id_b long, overlap long, jaccard double")
+    out = "doc_id_a long, doc_id_b long, overlap long, jaccard double" if pairs_out else "fp long, rep long, root long, links long"
+    return rows.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "kind").mapInArrow(check, out)
 
 
-def _overlaps(sets: dict, todo: list, t: float) -> pa.RecordBatch:
+def _overlaps(sets: dict, todo: list, t: float, pairs_out: bool) -> pa.RecordBatch:
     """Overlaps by tiles of the group's incidence matrix; n-grams of one set only are left out."""
-    names = list(sets)
-    at = {f: i for i, f in enumerate(names)}
+    fps = np.array(sorted(sets), np.int64)
+    names = fps.tolist()
     size = np.array([len(sets[f][1]) for f in names], np.int64)
-    i = np.array([at[a] for a, _ in todo])
-    j = np.array([at[b] for _, b in todo])
-    if len(todo) < 4 or len(names) > 4 * TILE:
-        overlap = np.array([len(np.intersect1d(sets[a][1], sets[b][1], assume_unique=True)) for a, b in todo])
+    i, j = (np.searchsorted(fps, np.concatenate(x)) for x in zip(*todo))
+    if len(i) < 4 or len(names) > 4 * TILE:
+        overlap = np.array([len(np.intersect1d(sets[names[a]][1], sets[names[b]][1], assume_unique=True)) for a, b in zip(i, j)])
     else:
         gram, col = np.unique(np.concatenate([sets[f][1] for f in names]), return_inverse=True)
         row = np.repeat(np.arange(len(names)), size)
@@ -370,9 +348,14 @@ def _overlaps(sets: dict, todo: list, t: float) -> pa.RecordBatch:
             tile[row[x:y], col[x:y] - lo] = 1
             acc += tile @ tile.T
         overlap = acc[i, j].astype(np.int64)
-    jac = overlap / (size[i] + size[j] - overlap)
-    ok = overlap >= need(t, size[i], size[j])
     rep = np.array([sets[f][0] for f in names], np.int64)
+    ok = overlap >= need(t, size[i], size[j])
+    if not pairs_out:
+        i, j = i[ok], j[ok]
+        links, root = np.bincount(np.concatenate([i, j]), minlength=len(names)), least_labels(rep, i, j)
+        some = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (fps, rep, root, links)], names=["fp", "rep", "root", "links"])
+    jac = overlap / (size[i] + size[j] - overlap)
     lo, hi = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
     ok &= lo != hi
     return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (lo, hi, overlap.astype(np.int64), np.round(jac, 6))], names=["doc_id_a", "doc_id_b", "overlap", "jaccard"])
@@ -395,17 +378,44 @@ def jaccard_join(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD) -> DataFr
     copies = (
         meta.join(reps, "fp").filter("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard")).distinct()
     )
-    near = _verified(docs, n, t, cand, reps).groupBy("doc_id_a", "doc_id_b").agg(F.max("overlap").alias("overlap"), F.max("jaccard").alias("jaccard"))
+    near = _verified(docs, n, t, cand, reps, True).groupBy("doc_id_a", "doc_id_b").agg(F.max("overlap").alias("overlap"), F.max("jaccard").alias("jaccard"))
     return copies.unionByName(near)
 
 
+def jaccard_classes(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD) -> DataFrame:
+    """One row for each doc_id: doc_id, class_id, copies, links.
+
+    Two different sets of word n-grams are linked if their Jaccard similarity is t or more. links says to how many sets that
+    of the document is; copies, how many other doc_ids have an equal set. class_id is the least doc_id of all that are joined by
+    links and equality. Exact, for every document against every other; words and sets are those of jaccard_join. As a
+    set's links are added up, rows don't grow with the pairs of a group.
+
+    Needs doc_id (integer) and text; extra columns are dropped. Rows with a null doc_id are left out. A null text, or one
+    without a word, has no link and no copy. A text of fewer than n words is one n-gram. A repeated row counts once; a
+    doc_id of several texts is one row with the sums of their copies and links, in one class. Pairs at exactly t are
+    linked. No rows give no rows.
+    """
+    meta = stored(_sets(docs, n).distinct())
+    reps = meta.groupBy("fp").agg(F.min("doc_id").alias("rep"), (F.count("*") - 1).alias("copies"))
+    cand = stored(_candidates(docs, n, t))
+    found = stored(_verified(docs, n, t, cand, reps, False))
+    links = found.groupBy("fp").agg(F.sum("links").alias("links"))
+    own = meta.select("doc_id", "fp").join(reps, "fp")
+    several = meta.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    root = components(found.select(F.col("rep").alias("x"), F.col("root").alias("y")).union(own.join(several, "doc_id", "left_semi").select("doc_id", "rep")))
+    rows = own.join(links, "fp", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left")
+    by = rows.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"), F.sum("copies").alias("copies"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
+    ids = take(docs, "doc_id").filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return ids.join(by, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def drop_near_copies(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, with one document of each group: that of least doc_id in each connected component of jaccard_join.
+    """docs, all columns, with one document of each class of jaccard_classes: that of least doc_id.
 
-    Rows with a null doc_id and texts without a word stay. Of rows that repeat both doc_id and text one stays.
+    Rows with a null doc_id and texts without a word stay. Of rows that repeat both doc_id and text one stays; a doc_id of
+    several texts stays with all of them or none.
     """
-    pairs = jaccard_join(docs, n, t).select(F.col("doc_id_a").alias("x"), F.col("doc_id_b").alias("y"))
-    gone = components(pairs).select(F.col("node").alias("_gone"))
+    gone = jaccard_classes(docs, n, t).filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
     key, text = f"_c{position(docs, 'doc_id')}", f"_c{position(docs, 'text')}"
     kept = numbered(docs).join(gone, F.col(key) == F.col("_gone"), "left_anti")
     ids = take(docs, "doc_id").filter("doc_id is not null")
@@ -416,23 +426,27 @@ def drop_near_copies(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD) -> Da
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 _WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 SQL = f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_WORD}'), lambda x: x <> '') AS w
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_WORD}'), lambda x: x <> '') AS w
            FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {GRAM}
         THEN list_transform(range(1, len(w) - {GRAM} + 2), lambda i: array_to_string(w[i:i + {GRAM} - 1], ' '))
         ELSE [array_to_string(w, ' ')] END)) AS s FROM w WHERE len(w) > 0),
-r AS (SELECT s, min(doc_id) AS rep FROM s GROUP BY s),
-copies AS (SELECT r.rep AS doc_id_a, s.doc_id AS doc_id_b, len(s.s)::BIGINT AS overlap, 1.0::DOUBLE AS jaccard
-           FROM s JOIN r USING (s) WHERE s.doc_id <> r.rep),
-g AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM r),
-p AS (SELECT x.rep AS a, y.rep AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS o
-      FROM g x JOIN g y ON x.g = y.g AND x.rep < y.rep GROUP BY x.rep, y.rep)
-SELECT * FROM copies
-UNION ALL
-SELECT a, b, o::BIGINT, round(o::DOUBLE / (na + nb - o), 6) FROM p WHERE o >= ceil({THRESHOLD} / (1 + {THRESHOLD}) * (na + nb) - 1e-9)
+r AS (SELECT row_number() OVER () AS k, * FROM (SELECT s, min(doc_id) AS rep, count(*) - 1 AS copies FROM s GROUP BY s)),
+m AS (SELECT s.doc_id, r.k, r.rep, r.copies FROM s JOIN r USING (s)),
+g AS (SELECT k, len(s) AS n, unnest(s) AS g FROM r),
+p AS (SELECT x.k AS a, y.k AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.k < y.k GROUP BY x.k, y.k),
+near AS (SELECT a, b FROM p WHERE o >= ceil({THRESHOLD} / (1 + {THRESHOLD}) * (na + nb) - 1e-9)),
+e AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+l AS (SELECT a AS k, count(*) AS links FROM e GROUP BY a),
+edges AS (SELECT x.rep AS x, y.rep AS y FROM e JOIN r x ON x.k = e.a JOIN r y ON y.k = e.b UNION SELECT doc_id, rep FROM m UNION SELECT rep, doc_id FROM m),
+reach(id, r) AS (SELECT doc_id, doc_id FROM m UNION SELECT reach.id, edges.y FROM reach JOIN edges ON reach.r = edges.x),
+c AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id),
+d AS (SELECT doc_id, sum(copies) AS copies, sum(coalesce(links, 0)) AS links FROM m LEFT JOIN l USING (k) GROUP BY doc_id)
+SELECT i.doc_id, coalesce(class_id, i.doc_id) AS class_id, coalesce(copies, 0)::BIGINT AS copies, coalesce(links, 0)::BIGINT AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) i LEFT JOIN c ON c.id = i.doc_id LEFT JOIN d ON d.doc_id = i.doc_id
 """

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -102,17 +102,21 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """A model from at most `rows` rows with a text and a lang: those of least hash of doc_id and lang. None where there is none."""
-    d = take(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null")
-    n = d.select("lang").count()
-    h = F.xxhash64("doc_id", "lang")
-    if n > 2 * rows:  # so that texts which can't be chosen aren't sorted
-        d = d.filter(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.3 * rows / n)))
-        got = d.withColumn("h", F.pmod(h, F.lit(1 << 30)))
-    else:
-        got = d.withColumn("h", F.pmod(h, F.lit(1 << 30)))
-    chosen = got.orderBy("h", "doc_id", "lang", "text").limit(rows).select("text", "lang").toPandas()
-    return train(list(chosen["text"]), list(chosen["lang"])) if len(chosen) else None
+    """A model from at most `rows` different texts, as many of each lang as there are and as its equal share allows: those of least
+    hash of text and lang. So doc_ids, null or not, have no say, a text that repeats is one, and no language is lost (of more
+    languages than `rows` each has one text). Rows without a text or a lang are left out; None where no row is left."""
+    d = take(docs, "lang", "text").filter("lang is not null and text is not null")
+    d = d.select(F.col("lang").cast("string").alias("lang"), "text").withColumn("h", F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)))
+    sizes = d.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    if not sizes:
+        return None
+    quota = max(1, rows // len(sizes))
+    # twice what is needed, so that texts which can't be chosen aren't sorted
+    limits = docs.sparkSession.createDataFrame([(r.lang, int((1 << 30) * min(1.0, (2 * quota + 20) / max(1, r.n)))) for r in sizes], "lang string, most long")
+    got = d.join(F.broadcast(limits), "lang").filter("h < most").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = got.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= quota)
+    chosen = got.orderBy("h", "lang").select("text", "lang").toPandas()
+    return train(list(chosen["text"]), list(chosen["lang"]))
 
 
 def identify(col: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +176,12 @@ def identify_languages(docs: DataFrame, model: Model | None = None, train_rows:
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs, all columns, without the rows whose language is rejected."""
+    """docs, all columns, without the rows whose language is rejected.
+
+    Needs text, and lang to fit a model on unless one is given. Null and empty texts go, as identify_languages rejects them, and
+    where no row is labelled all do. Null doc_ids and repeated rows are judged like others, texts of any length are read whole, a
+    confidence at exactly the threshold is enough. Extra columns, whatever their names, stay as they are. No rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     @F.pandas_udf("boolean")

@@ -1,8 +1,16 @@
-"""Licence scan: TF-IDF cosine of sentences and licence files to templates, inherited from the nearest directory above."""
+"""Licence scan: TF-IDF cosine of headers and whole files to templates, inherited from the nearest directory above.
+
+Headers are compared passage by passage with one-sentence templates, whole files with full licence texts. A passage or
+file is compared in full unless a bound shows that it can't reach the least cosine: of a template's words the rarest that make
+up more than the rest allows are its keys, and what has none of them has too little of the template.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,95 +19,158 @@ from .common import stored, table, take
 
 #: Licence to the wording of its usual headers and first lines.
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0"),
+    "MIT": (
+        "Released under the MIT License.", "Licensed under the terms of the MIT License.", "This project is licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU GPL version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL version 3.",
+        "This program is free software: you can redistribute it under the terms of the GNU General Public License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
     "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License."),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",),
     "CC-BY-4.0": ("Licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, all rights are waived under CC0 1.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "ISC": ("Permission to use, copy, modify, and distribute this software for any purpose is hereby granted",),
 }
-#: A sentence is looked at if it has one of these words; every template has one.
-ANCHORS = "license licensed licence licenced permission redistribution gnu apache mit mozilla creative commons cc cc0 spdx bsd unencumbered".split()
-#: Least cosine of a match; share of a text's words in matched sentences that makes it a licence file.
+#: Least cosine of a match; share of a text's words in matched passages that makes it a licence file.
 COSINE, FILE_SHARE = 0.75, 0.2
 _SPLIT = r"[^\p{L}\p{N}]+"
+#: What names a licence exactly.
+_SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([a-z0-9+-]+(?:[.][a-z0-9+-]+)*)"
 
 
 def words(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
-VOCABULARY = sorted({w for lines in TEMPLATES.values() for t in lines for w in words(t)})
+#: Kind (header or file), licence, number, and the number of times each word occurs.
+FILES = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "templates").glob("*.txt"))}
+COUNTED = [("header", name, k, Counter(words(t))) for name, lines in sorted(TEMPLATES.items()) for k, t in enumerate(lines)] + [("file", name, 0, Counter(words(t))) for name, t in FILES.items()]
+VOCABULARY = sorted({w for *_, c in COUNTED for w in c})
 
 
 def _words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), _SPLIT), lambda w: w != "")
 
 
+def _list(ws) -> Column:
+    return F.split(F.lit(" ".join(ws)), " ") if ws else F.array().cast("array<string>")
+
+
+def keys(idf: dict[str, float], kind: str, cosine: float) -> tuple[list[str], int]:
+    """Words of which whatever reaches the cosine to a template of the kind has one at least, and the fewest of the templates' words it has.
+
+    A cosine is at most the norm of the shared words over the template's norm. So words whose squares make up more than
+    1 - cosine**2 can't all be missing, and the largest squares that make up cosine**2 are the fewest that suffice."""
+    out, least = set(), math.inf
+    for k, _, _, c in COUNTED:
+        if k != kind:
+            continue
+        square = {w: (n * idf[w]) ** 2 for w, n in c.items()}
+        total, got = sum(square.values()), 0.0
+        for w in sorted(square, key=lambda w: (-idf[w], w)):
+            if got > (1 - (cosine - 1e-5) ** 2) * total:
+                break
+            got += square[w]
+            out.add(w)
+        got, few = 0.0, 0
+        for x in sorted(square.values(), reverse=True):
+            if got >= (cosine - 1e-5) ** 2 * total:
+                break
+            got, few = got + x, few + 1
+        least = min(least, few)
+    return sorted(out), int(least)
+
+
+def _passages(text: Column) -> Column:
+    """(form, s): the sentences of each line; and the sentences that run across lines, up to an empty one."""
+    split = lambda c, form: F.transform(F.split(F.regexp_replace(c, r"([.!?])[ \t]+", "$1\n"), "\n"), lambda s: F.struct(F.lit(form).alias("form"), s.alias("s")))
+    joined = F.translate(F.regexp_replace(F.regexp_replace(text, "\r", ""), r"\n[^\p{L}\p{N}\n]*(?=\n)", ". "), "\n", " ")
+    return F.concat(split(text, "line"), split(joined, "run"))
+
+
 def matches(docs: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """The licence sentences of each document: doc_id, k (which sentence), license, cosine, n (words of it).
+    """What matches in each document: doc_id, h (of its text), form (line, run or file), k (which passage), license, cosine, n (words of it).
 
-    Inverse document frequencies come from all documents: ln((1 + N) / (1 + df)) + 1; a word that no template has weighs
-    as one of df 0. The best template counts; of equals the first by name.
+    Inverse document frequencies of all words are of all documents: ln((1 + N) / (1 + df)) + 1. The best template counts;
+    of equals the first by name.
     """
     d = take(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     spark = d.sparkSession
-    vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
-    df = d.select(F.explode(F.array_intersect(_words(F.col("text")), vocabulary)).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    n = d.agg(F.count("*").alias("N"))
-    # one row for each word of the templates: as many as the templates have, whatever the corpus
-    idf = (
-        spark.createDataFrame([(w,) for w in VOCABULARY], "w string").join(F.broadcast(df), "w", "left").crossJoin(F.broadcast(n))
-        .select("w", (F.log((1 + F.col("N")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    df = stored(d.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("df")))
+    n = d.count()
+    known = {r.w: r.df for r in df.filter(F.array_contains(_list(VOCABULARY), F.col("w"))).collect()}  # the templates' words, whatever the corpus
+    idf = {w: math.log((1 + n) / (1 + known.get(w, 0))) + 1 for w in VOCABULARY}
+    t = []
+    for kind, name, k, c in COUNTED:
+        norm = math.sqrt(sum((m * idf[w]) ** 2 for w, m in c.items()))
+        t += [(kind, name, k, w, m * idf[w] / norm) for w, m in c.items()]
+    t = spark.createDataFrame(t, "kind string, license string, t int, w string, y double")
+    (header, _), (whole, fewest) = (keys(idf, k, cosine) for k in ("header", "file"))
+    ws = _words(F.col("text"))
+    hashed = d.withColumn("h", F.sha2("text", 256))
+    passages = (
+        hashed.filter(F.arrays_overlap(ws, _list(header))).dropDuplicates(["doc_id", "h"])
+        .select("doc_id", "h", F.posexplode(_passages(F.col("text"))).alias("k", "p"))
+        .select("doc_id", "h", "p.form", F.col("k").cast("long").alias("k"), _words(F.col("p.s")).alias("ws")).filter(F.arrays_overlap("ws", _list(header)))
     )
-    idf = stored(idf.coalesce(1))
-    templates = [(name, k, w) for name, lines in sorted(TEMPLATES.items()) for k, t in enumerate(lines) for w in words(t)]
-    t = spark.createDataFrame(templates, "license string, t int, w string").groupBy("license", "t", "w").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "w").select("license", "t", "w", (F.col("tf") * F.col("idf")).alias("x"))
-    t = t.withColumn("norm", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("license", "t"))))
-    anchor = r"(?i)(^|[^\p{L}\p{N}])(" + "|".join(ANCHORS) + r")($|[^\p{L}\p{N}])"
-    lines = F.filter(
-        F.transform(F.split(F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n"), "\n"), lambda s, k: F.struct(k.cast("long").alias("k"), s.alias("s"))),
-        lambda x: x["s"].rlike(anchor),
-    )
-    cue = d.filter(F.col("text").rlike(anchor)).select("doc_id", F.sha2("text", 256).alias("h"), F.explode(lines).alias("l")).select("doc_id", "h", "l.k", _words(F.col("l.s")).alias("ws"))
-    cue = cue.dropDuplicates(["doc_id", "h", "k"])
-    tf = cue.select("doc_id", "h", "k", F.size("ws").cast("long").alias("n"), F.explode("ws").alias("w")).groupBy("doc_id", "h", "k", "n", "w").agg(F.count("*").alias("tf"))
-    most = stored(n.select((F.log(1.0 + F.col("N")) + 1).alias("most")))
-    x = tf.join(F.broadcast(idf), "w", "left").crossJoin(F.broadcast(most)).withColumn("x", F.col("tf") * F.coalesce("idf", "most")).drop("idf", "most")
-    x = x.withColumn("own", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id", "h", "k"))))
+    vocabulary = sorted({w for kind, _, _, c in COUNTED if kind == "file" for w in c})
+    files = hashed.filter(F.arrays_overlap(ws, _list(whole)) & (F.size(F.array_intersect(ws, _list(vocabulary))) >= fewest)).dropDuplicates(["doc_id", "h"])
+    units = passages.unionByName(files.select("doc_id", "h", F.lit("file").alias("form"), F.lit(0).cast("long").alias("k"), ws.alias("ws")))
+    at = ["doc_id", "h", "form", "k"]
+    tf = units.select(*at, F.size("ws").cast("long").alias("n"), F.explode("ws").alias("w")).groupBy(*at, "n", "w").agg(F.count("*").alias("tf"))
+    x = tf.join(df, "w").select(*at, "n", "w", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("x"), F.when(F.col("form") == "file", "file").otherwise("header").alias("kind"))
+    # per unit first, so that its words go to one place once
+    own = x.groupBy(*at, "n", "kind").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("own"), F.collect_list(F.struct("w", "x")).alias("xs"))
     scored = (
-        x.join(F.broadcast(t.withColumnRenamed("x", "y")), "w").groupBy("doc_id", "h", "k", "n", "license", "t")
-        .agg(F.round(F.sum(F.col("x") * F.col("y")) / F.first("own") / F.first("norm"), 6).alias("cosine"))
-        .filter(F.col("cosine") >= cosine)
+        own.select(*at, "n", "own", "kind", F.inline("xs")).join(F.broadcast(t), ["kind", "w"]).groupBy(*at, "n", "own", "license", "t")
+        .agg(F.round(F.sum(F.col("x") * F.col("y")) / F.col("own"), 6).alias("cosine")).filter(F.col("cosine") >= cosine)
     )
-    best = scored.groupBy("doc_id", "h", "k", "n").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    return best.select("doc_id", "h", "k", "n", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    best = scored.groupBy(*at, "n").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
+    return best.select(*at, "n", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
 def scan_licenses(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row for each row of files: doc_id, path, license, cosine, how ("own", "inherited" or null), licensed_by.
 
-    Needs doc_id, path and text; extra columns are dropped. A file's own licence is that of its best sentence (then the
-    first by name). A licence file (one whose words are by FILE_SHARE or more in matched sentences) gives its licence to
-    the files at and below its directory that have none; the nearest directory above wins, in it the licence file of
-    greatest cosine, then least doc_id. licensed_by is the doc_id of the licence's file. Texts are read whole. Null or
-    empty texts have no licence of their own; a file without a path inherits nothing and gives nothing; null doc_ids
+    Needs doc_id, path and text; extra columns are dropped. A file's own licence is that of its best passage, or of its
+    whole text against the full licence texts (of equals the first by name); the first SPDX-License-Identifier of a text is
+    taken as it stands, with cosine 1. A licence file (one whose whole text matches, or with FILE_SHARE or more of its words in
+    matched passages) gives its licence to the files at and below its directory that have none; the nearest directory above wins,
+    in it the licence file of greatest cosine, then least doc_id. licensed_by is the doc_id of the licence's file. Texts are read
+    whole. Null or empty texts have no licence of their own; a file without a path inherits nothing and gives nothing; null doc_ids
     and repeated rows stay. No rows give no rows.
     """
     f = take(files, "doc_id", "path", "text").withColumn("text", F.coalesce("text", F.lit("")))
     m = stored(matches(f, cosine))
-    own = m.groupBy("doc_id", "h").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.sum("n").alias("matched")).select("doc_id", "h", "b", "matched")
-    rows = f.select("doc_id", "path", F.sha2("text", 256).alias("h"), F.size(_words(F.col("text"))).cast("long").alias("n"))
-    rows = rows.join(own.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "hh"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left").select(
-        "doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (F.col("matched") >= F.lit(FILE_SHARE) * F.col("n")).alias("is_file")
-    )
+    sums = [F.coalesce(F.sum(F.when(F.col("form") == form, F.col("n"))), F.lit(0)) for form in ("line", "run")]
+    own = m.groupBy("doc_id", "h").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.greatest(*sums).alias("matched"), F.max(F.col("form") == "file").alias("whole"))
+    own = own.select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "b", "matched", "whole")
+    tag = F.regexp_extract("text", _SPDX, 1)
+    spdx = F.when(tag != "", F.struct(F.lit(-1.0).alias("c"), tag.alias("license")))
+    rows = f.select("doc_id", "path", F.sha2("text", 256).alias("h"), F.size(_words(F.col("text"))).cast("long").alias("n"), spdx.alias("spdx"))
+    rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left").withColumn("b", F.coalesce("spdx", "b"))
+    rows = rows.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (F.coalesce("whole", F.lit(False)) | (F.coalesce("matched", F.lit(0)) >= F.lit(FILE_SHARE) * F.col("n")) & F.col("b").isNotNull()).alias("is_file"))
     rows = stored(rows)
     folder = F.regexp_replace("path", "/[^/]*$", "")
     given = (
@@ -131,32 +202,34 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_T = ", ".join(f"({_q(name)}, {k}, {_q(w)})" for name, lines in sorted(TEMPLATES.items()) for k, t in enumerate(lines) for w in words(t))
-_V = ", ".join(f"({_q(w)})" for w in VOCABULARY)
-_A = "(?i)(^|[^\\p{L}\\p{N}])(" + "|".join(ANCHORS) + ")($|[^\\p{L}\\p{N}])"
+_T = ", ".join(f"({_q(kind)}, {_q(name)}, {k}, {_q(w)}, {m})" for kind, name, k, c in COUNTED for w, m in c.items())
 SQL = f"""
 WITH f AS (SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' || (doc_id // 1000)::VARCHAR || '/' || doc_id::VARCHAR AS path,
                   coalesce(text, '') AS text FROM documents),
 fw AS (SELECT doc_id, path, text, list_filter(regexp_split_to_array(lower(text), '{_SPLIT}'), lambda w: w <> '') AS ws FROM f),
 n AS (SELECT count(*) AS n FROM f),
-v(w) AS (VALUES {_V}),
-df AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS w FROM fw) WHERE w IN (SELECT w FROM v) GROUP BY w),
-idf AS (SELECT v.w, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM v LEFT JOIN df USING (w), n),
-tt(license, t, w) AS (VALUES {_T}),
-t AS (SELECT license, t, w, count(*) * any_value(idf) AS y FROM tt JOIN idf USING (w) GROUP BY license, t, w),
-tn AS (SELECT license, t, sqrt(sum(y * y)) AS norm FROM t GROUP BY license, t),
-l AS (SELECT doc_id, unnest(range(len(s))) AS k, unnest(s) AS s
-      FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM f)),
-c AS (SELECT doc_id, k, list_filter(regexp_split_to_array(lower(s), '{_SPLIT}'), lambda w: w <> '') AS ws FROM l WHERE regexp_matches(s, '{_A}')),
-tf AS (SELECT doc_id, k, n, w, count(*) AS tf FROM (SELECT doc_id, k, len(ws) AS n, unnest(ws) AS w FROM c) GROUP BY ALL),
-x AS (SELECT doc_id, k, tf.n, w, tf * coalesce(idf, ln(1.0::DOUBLE + n.n) + 1) AS x FROM tf LEFT JOIN idf USING (w), n),
-xn AS (SELECT doc_id, k, sqrt(sum(x * x)) AS own FROM x GROUP BY doc_id, k),
-sc AS (SELECT doc_id, k, x.n, license, t, round(sum(x * y) / any_value(own) / any_value(norm), 6) AS cosine
-       FROM x JOIN t USING (w) JOIN tn USING (license, t) JOIN xn USING (doc_id, k) GROUP BY doc_id, k, x.n, license, t),
-m AS (SELECT doc_id, k, n, license, cosine FROM sc WHERE cosine >= {COSINE}
-      QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY cosine DESC, license) = 1),
-o AS (SELECT doc_id, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine, sum(n) AS matched FROM m GROUP BY doc_id),
-r AS (SELECT fw.doc_id, path, license, cosine, matched >= {FILE_SHARE} * len(ws) AS is_file, regexp_replace(path, '/[^/]*$', '') AS dir FROM fw LEFT JOIN o USING (doc_id)),
+df AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS w FROM fw) GROUP BY w),
+tt(kind, license, t, w, m) AS (VALUES {_T}),
+y AS (SELECT kind, license, t, tt.w, m * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS y FROM tt LEFT JOIN df USING (w), n),
+tn AS (SELECT kind, license, t, sqrt(sum(y * y)) AS norm FROM y GROUP BY ALL),
+l AS (SELECT doc_id, form, unnest(range(len(s))) AS k, unnest(s) AS s
+      FROM (SELECT doc_id, form, string_split(regexp_replace(x, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS s
+            FROM (SELECT doc_id, 'line' AS form, text AS x FROM f UNION ALL
+                  SELECT doc_id, 'run', replace(regexp_replace(replace(text, chr(13), ''), '\\n([^\\p{{L}}\\p{{N}}\\n]*\\n)+', '. ', 'g'), chr(10), ' ') FROM f))),
+u AS (SELECT doc_id, form, k, 'header' AS kind, list_filter(regexp_split_to_array(lower(s), '{_SPLIT}'), lambda w: w <> '') AS ws FROM l UNION ALL SELECT doc_id, 'file', 0, 'file', ws FROM fw),
+tf AS (SELECT doc_id, form, k, kind, n, w, count(*) AS tf FROM (SELECT doc_id, form, k, kind, len(ws) AS n, unnest(ws) AS w FROM u) GROUP BY ALL),
+x AS (SELECT doc_id, form, k, kind, tf.n, w, tf * (ln((1 + n.n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (w), n),
+xn AS (SELECT doc_id, form, k, sqrt(sum(x * x)) AS own FROM x GROUP BY ALL),
+sc AS (SELECT doc_id, form, k, x.n, license, t, round(sum(x * y) / any_value(own) / any_value(norm), 6) AS cosine
+       FROM x JOIN y USING (kind, w) JOIN tn USING (kind, license, t) JOIN xn USING (doc_id, form, k) GROUP BY ALL),
+m AS (SELECT doc_id, form, k, n, license, cosine FROM sc WHERE cosine >= {COSINE}
+      QUALIFY row_number() OVER (PARTITION BY doc_id, form, k ORDER BY cosine DESC, license) = 1),
+o AS (SELECT doc_id, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine,
+             greatest(sum(n) FILTER (form = 'line'), sum(n) FILTER (form = 'run')) AS matched, bool_or(form = 'file') AS whole FROM m GROUP BY doc_id),
+s AS (SELECT doc_id, regexp_extract(text, '{_SPDX}', 1) AS tag FROM f),
+r AS (SELECT fw.doc_id, path, CASE WHEN tag <> '' THEN tag ELSE license END AS license, CASE WHEN tag <> '' THEN 1.0 ELSE cosine END::DOUBLE AS cosine,
+             coalesce(whole, false) OR (coalesce(matched, 0) >= {FILE_SHARE} * len(ws) AND (tag <> '' OR license IS NOT NULL)) AS is_file, regexp_replace(path, '/[^/]*$', '') AS dir
+      FROM fw LEFT JOIN o USING (doc_id) JOIN s USING (doc_id)),
 g AS (SELECT dir, license, cosine, doc_id FROM r WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, doc_id, license) = 1),
 i AS (SELECT r.doc_id, g.license, g.cosine, g.doc_id AS by_ FROM r JOIN g ON r.license IS NULL AND (r.dir = g.dir OR starts_with(r.dir, g.dir || '/'))
       QUALIFY row_number() OVER (PARTITION BY r.doc_id ORDER BY len(g.dir) DESC) = 1)

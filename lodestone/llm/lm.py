@@ -1,8 +1,12 @@
 """Language-model scores: a causal self-attention model over subword ids, trained and run in numpy.
 
 The model has one attention layer with a learned bias for each distance. Its output is factored: a softmax over classes of ids
-(cut from the ids by frequency, of about equal mass) and the share of the id within its class, both from counts over
-all documents. Rare ids share rows of the embedding.
+(cut from the ids by frequency, of about equal mass) and the share of the id within its class, from counts over all
+documents. Rare ids share rows of the embedding.
+
+Training goes over every id of every document once. Texts are cut into pieces, which a hash gives to rounds and to shards of
+about SHARD ids, whatever the partitions of the table; all shards of a round start from the same parameters, and their
+means, as whole numbers that add up alike in any order, are the next round's start. So scores don't depend on partitions.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,8 +29,12 @@ from .tokens import END, FOLDER, Encoder
 IDS, ROWS, WIDTH, CLASSES = END + 1, 4096, 16, 64
 #: Tokens in a window, and how many of them are scored; the others are context.
 WINDOW, STRIDE = 32, 16
-#: Rounds of training in all partitions, between which parameters are averaged; windows in a step; rate.
-ROUNDS, BATCH, RATE = 2, 32, 0.01
+#: Rounds, each over its share of the pieces; windows in a step; rate; ids of a shard and of a piece (whole windows).
+ROUNDS, BATCH, RATE, SHARD, PIECE = 2, 64, 0.02, 1_000_000, 4096
+#: Parameters are added up as whole numbers of this many a unit; numbers of one message.
+UNIT, MESSAGE = 1 << 20, 16_384
+#: Blocks of STRIDE places that are scored at a time, so that all of it stays near the core.
+AT_ONCE = 128
 
 
 @dataclass
@@ -62,168 +72,247 @@ def fresh(t: Tables, counts: np.ndarray) -> dict[str, np.ndarray]:
 def _bias(far: np.ndarray, stride: int) -> np.ndarray:
     """For the last `stride` places of a window and all places: the bias of the distance, or -1e9 for what comes later."""
     d = np.arange(WINDOW - stride, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-    return np.where(d >= 0, far[np.maximum(d, 0)], np.float32(-1e9)).astype(np.float32)
+    return np.where(d >= 0, far[np.maximum(d, 0)], far.dtype.type(-1e9))
+
+
+def _softmax(a: np.ndarray) -> np.ndarray:
+    """Over the last axis, in place; numbers above 80 count as 80, which spares looking for the greatest."""
+    np.minimum(a, a.dtype.type(80), out=a)
+    np.exp(a, out=a)
+    a /= (a @ np.ones(a.shape[-1], a.dtype) + a.dtype.type(1e-30))[..., None]
+    return a
 
 
-def forward(p: dict, rows: np.ndarray, empty: np.ndarray, stride: int) -> tuple:
-    """Class logits of the next id at the last `stride` places of each window. empty: places before the text."""
+def step(p: dict, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    """Mean loss over the windows' places, its gradient, and the rows of the embedding that g["emb"] is for. rows: of the input at
+    each place; target: class of the id after it, -1 where there is none."""
+    flat = lambda t: t.reshape(-1, t.shape[-1])
     x = p["emb"][rows]
-    xq = x[:, WINDOW - stride :]
-    q, k, v = xq @ p["q"], x @ p["k"], x @ p["v"]
+    w = np.concatenate([p["q"] * WIDTH**-0.5, p["k"], p["v"]], 1).astype(x.dtype)
+    qkv = (flat(x) @ w).reshape(*rows.shape, 3 * WIDTH)
+    q, k, v = (np.ascontiguousarray(qkv[..., i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += _bias(p["far"], stride)
-    if empty.any():
-        some = empty.any(1)
-        a[some] += np.where(empty[some], np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    h = np.concatenate([xq, a @ v], 2)
-    return h @ p["o"] + p["b"], (x, xq, q, k, v, a, h)
-
-
-def step(p: dict, rows: np.ndarray, empty: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean loss over the windows' places and its gradient. target: class of the next id, -1 where there is none."""
-    z, (x, xq, q, k, v, a, h) = forward(p, rows, empty, WINDOW)
-    ok = target >= 0
-    z -= z.max(2, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(2, keepdims=True)
-    n = max(1, int(ok.sum()))
-    i, j = np.nonzero(ok)
-    loss = float(-np.log(np.maximum(z[i, j, target[i, j]], 1e-12)).sum() / n)
-    z[i, j, target[i, j]] -= 1
-    z *= (ok / n)[:, :, None].astype(np.float32)
-    g = {"o": h.reshape(-1, 2 * WIDTH).T @ z.reshape(-1, CLASSES), "b": z.sum((0, 1))}
-    dh = z @ p["o"].T
-    dx, dc = dh[..., :WIDTH].copy(), dh[..., WIDTH:]
+    a += _bias(p["far"], WINDOW)
+    _softmax(a)
+    c = a @ v
+    h = flat(np.concatenate([x, c], 2))
+    z = h @ p["o"]
+    z += p["b"]
+    _softmax(z)
+    to = target.ravel()
+    at = np.flatnonzero(to >= 0)
+    n = max(1, len(at))
+    loss = float(-np.log(np.maximum(z[at, to[at]], 1e-12)).sum() / n)
+    z[at, to[at]] -= 1
+    if len(at) < len(to):
+        z[to < 0] = 0
+    z *= z.dtype.type(1 / n)
+    g = {"o": h.T @ z, "b": z.sum(0)}
+    dh = (z @ p["o"].T).reshape(*rows.shape, 2 * WIDTH)
+    dx, dc = dh[..., :WIDTH], np.ascontiguousarray(dh[..., WIDTH:])
     da = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(2, keepdims=True))
+    da -= (dc * c).sum(2, keepdims=True)  # the mean of da under a
+    da *= a
     d = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-    g["far"] = np.bincount(d[d >= 0], weights=ds.sum(0)[d >= 0], minlength=WINDOW).astype(np.float32)
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    flat = lambda t: t.reshape(-1, WIDTH)
-    g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-    dx += dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    emb = np.zeros_like(p["emb"])
-    np.add.at(emb, rows.ravel(), flat(dx))
-    return loss, g | {"emb": emb}
-
-
-def train(p: dict, rows: np.ndarray, empty: np.ndarray, target: np.ndarray, seed: int) -> dict:
-    """Adam, once over the windows in a fixed random order."""
+    g["far"] = np.bincount(d[d >= 0], weights=da.sum(0)[d >= 0], minlength=WINDOW).astype(x.dtype)
+    dqkv = flat(np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], 2))
+    dw = flat(x).T @ dqkv
+    g |= {"q": dw[:, :WIDTH] * WIDTH**-0.5, "k": dw[:, WIDTH : 2 * WIDTH], "v": dw[:, 2 * WIDTH :]}
+    dx = flat(dx) + dqkv @ w.T
+    order = np.argsort(rows.ravel(), kind="stable")
+    sorted_ = rows.ravel()[order]
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    g["emb"] = np.add.reduceat(dx[order], first, axis=0)
+    return loss, g, sorted_[first]
+
+
+def train(p: dict, rows: np.ndarray, target: np.ndarray, seed: int) -> dict:
+    """Adam, once over the windows in a fixed random order; of the embedding only the rows that a step has."""
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     order = np.random.default_rng(seed).permutation(len(rows))
     for t, i in enumerate(range(0, len(order), BATCH), 1):
         at = order[i : i + BATCH]
-        _, g = step(p, rows[at], empty[at], target[at])
+        _, g, used = step(p, rows[at], target[at])
         for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] * g[k] - s[k])
-            p[k] -= np.float32(RATE) * (m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(s[k] / np.float32(1 - 0.99**t)) + np.float32(1e-6))
+            u = used if k == "emb" else slice(None)
+            m_ = m[k][u] + np.float32(0.1) * (g[k] - m[k][u])
+            s_ = s[k][u] + np.float32(0.01) * (g[k] * g[k] - s[k][u])
+            m[k][u], s[k][u] = m_, s_
+            p[k][u] -= np.float32(RATE / (1 - 0.9**t)) * m_ / (np.sqrt(s_ * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-6))
     return p
 
 
-def windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For texts of n tokens: the text of each scoring window, and the first place it scores."""
-    w = -(-n // STRIDE)
-    doc = np.repeat(np.arange(len(n)), w)
-    return doc, (np.arange(len(doc)) - np.repeat(np.cumsum(w) - w, w)) * STRIDE
-
-
-def inputs(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids, and before each of them (the model's input at its place) END or the id before it; where each text starts."""
+def before(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and what stands before each of them (the model's input at its place): END or the id before."""
     n = np.array([len(x) for x in ids], np.int64)
-    at = np.cumsum(n) - n
-    flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
-    before = np.empty_like(flat)
-    before[1:] = flat[:-1]
-    before[at[n > 0]] = END
-    return flat, before, at
+    flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
+    last = np.empty_like(flat)
+    last[1:] = flat[:-1]
+    last[(np.cumsum(n) - n)[n > 0]] = END
+    return flat, last
+
 
+def score(p: dict, t: Tables, ids: list[np.ndarray]) -> np.ndarray:
+    """Summed -ln of the probability of each text's ids. Each id is scored once, in the window whose last places hold it.
 
-def score(p: dict, t: Tables, ids: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
-    """Summed -ln of the probability of each text's ids. Each id is scored once, in the window whose last places hold it."""
+    All texts are one row of blocks of STRIDE places: before each text are empty blocks, a window's context, and its last
+    block is filled up. A window is the blocks up to its last one, so keys and values are made once and windows are views.
+    """
+    lead = WINDOW // STRIDE - 1
     n = np.array([len(x) for x in ids], np.int64)
-    flat, before, at = inputs(ids)
+    blocks = np.where(n > 0, -(-n // STRIDE) + lead, 0)
+    start = np.cumsum(blocks) - blocks
+    flat, last = before(ids)
     total = np.zeros(len(ids))
     if not len(flat):
         return total
-    rows = t.row[before]
-    doc, first = windows(n)
-    place = np.arange(WINDOW - STRIDE, WINDOW) - (WINDOW - STRIDE)
-    for lo in range(0, len(doc), chunk):
-        d, f = doc[lo : lo + chunk], first[lo : lo + chunk]
-        pos = f[:, None] + np.arange(WINDOW) - (WINDOW - STRIDE)
-        empty = pos < 0
-        z, _ = forward(p, rows[np.minimum(at[d][:, None] + np.clip(pos, 0, n[d][:, None] - 1), len(flat) - 1)], empty, STRIDE)
-        z -= z.max(2, keepdims=True)
-        here = f[:, None] + place
-        ok = here < n[d][:, None]
-        own = flat[np.minimum(at[d][:, None] + here, len(flat) - 1)]
-        c = t.cls[own]
-        picked = np.take_along_axis(z, c[..., None], 2)[..., 0]
+    place = np.arange(len(flat)) + np.repeat((start + lead) * STRIDE - (np.cumsum(n) - n), n)
+    rows = np.full(int(blocks.sum()) * STRIDE, ROWS, np.int32)
+    rows[place] = t.row[last]
+    own = np.zeros(len(rows), np.int32)
+    own[place] = flat
+    # one column more masks empty keys: it is 1 in queries
+    pad = lambda x, fill: np.concatenate([np.concatenate([x, np.zeros((ROWS, 1), np.float32)], 1), np.array([[0.0] * x.shape[1] + [fill]], np.float32)])
+    key, value = pad(p["emb"] @ p["k"], -1e9), np.concatenate([p["emb"] @ p["v"], np.zeros((1, WIDTH), np.float32)])
+    query = pad(p["emb"] @ p["q"] * np.float32(WIDTH**-0.5), 0)
+    query[:, WIDTH] = 1
+    emb = np.concatenate([p["emb"], np.zeros((1, WIDTH), np.float32)])
+    out = np.concatenate([p["o"], p["b"][None]])
+    bias = _bias(p["far"], STRIDE)
+    # exp can't overflow below these bounds, so that no maximum is needed
+    safe = float(np.linalg.norm(query[:, :WIDTH], axis=1).max() * np.linalg.norm(key[:-1], axis=1).max() + np.abs(p["far"]).max()) < 80
+    wide = float(np.linalg.norm(np.concatenate([emb, value], 1), axis=1).max() * 2)
+    safe = safe and wide * float(np.linalg.norm(p["o"], axis=0).max()) + float(np.abs(p["b"]).max()) < 80
+    nll = np.zeros(len(rows), np.float32)
+    h = np.ones((AT_ONCE * STRIDE, 2 * WIDTH + 1), np.float32)
+    for lo in range(lead, len(rows) // STRIDE, AT_ONCE):
+        hi = min(lo + AT_ONCE, len(rows) // STRIDE)
+        all_, new = rows[(lo - lead) * STRIDE : hi * STRIDE], rows[lo * STRIDE : hi * STRIDE]
+        k, v = key[all_], value[all_]
+        view = lambda x: as_strided(x, (hi - lo, WINDOW, x.shape[1]), (STRIDE * x.strides[0], *x.strides))  # noqa: B023, E731
+        a = query[new].reshape(hi - lo, STRIDE, -1) @ view(k).transpose(0, 2, 1)
+        a += bias
+        if not safe:
+            a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        c = a @ view(v)
+        c /= (a @ np.ones(WINDOW, np.float32) + np.float32(1e-30))[:, :, None]
+        x = h[: len(new)]
+        x[:, :WIDTH] = emb[new]
+        x[:, WIDTH : 2 * WIDTH] = c.reshape(-1, WIDTH)
+        z = x @ out
+        if not safe:
+            z -= z.max(1, keepdims=True)
+        mine = own[lo * STRIDE : hi * STRIDE]
+        picked = z[np.arange(len(new)), t.cls[mine]]
         np.exp(z, out=z)
-        nll = np.log(z.sum(2)) - picked + t.within[own]
-        total += np.bincount(d, weights=(nll * ok).sum(1, dtype=np.float64), minlength=len(ids))
-    return total
+        nll[lo * STRIDE : hi * STRIDE] = np.log(z @ np.ones(CLASSES, np.float32)) - picked + t.within[mine]
+    return np.bincount(np.repeat(np.arange(len(ids)), n), weights=nll[place], minlength=len(ids)).astype(np.float64)
 
 
 def _ids(b: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint16) for x in b.column("ids")]
 
 
-def _training(ids: list[np.ndarray], t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Windows of WINDOW inputs each and the classes of the ids after them; they tile each text, so that each of its ids is learned from once."""
-    n = np.array([len(x) for x in ids], np.int64)
-    flat, before, at = inputs(ids)
-    if not len(flat):
-        return None
+def _pieces(doc_id, ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A hash, and the ids with the one before them, for each PIECE of a text."""
+    seed = xxhash.xxh3_64_intdigest(ids.tobytes(), xxhash.xxh3_64_intdigest(str(doc_id)))
+    last = np.concatenate([np.array([END], np.uint16), ids])
+    for k, lo in enumerate(range(0, len(ids), PIECE)):
+        yield xxhash.xxh3_64_intdigest(k.to_bytes(8, "little"), seed) >> 1, last[lo : lo + PIECE + 1].tobytes()
+
+
+def _windows(piece: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs' rows and next ids' classes of the windows that tile a piece; each of its ids is learned from once."""
+    n = len(piece) - 1
     w = -(-n // WINDOW)
-    doc = np.repeat(np.arange(len(n)), w)
-    start = (np.arange(len(doc)) - np.repeat(np.cumsum(w) - w, w)) * WINDOW
-    pos = start[:, None] + np.arange(WINDOW)
-    ok = pos < n[doc][:, None]
-    where = np.minimum(at[doc][:, None] + pos, len(flat) - 1)
-    return t.row[before[where]], np.zeros(ok.shape, bool), np.where(ok, t.cls[flat[where]], -1)
+    rows, target = np.zeros(w * WINDOW, np.int16), np.full(w * WINDOW, -1, np.int16)
+    rows[:n], target[:n] = t.row[piece[:-1]], t.cls[piece[1:]]
+    return rows.reshape(w, WINDOW), target.reshape(w, WINDOW)
+
+
+def _sums(start: dict, t: Tables, seed: int, pieces: Iterator[tuple[int, np.ndarray]]) -> tuple[dict, int]:
+    """Trains on shards, each from `start`; the summed parameters, as whole numbers times windows, and the windows."""
+    total, count = {k: np.zeros(v.size, np.int64) for k, v in start.items()}, 0
+    now, p, held, size, n = None, start, [], 0, 0
+
+    def learn():
+        nonlocal p, held, size, n
+        rows, target = (np.concatenate(x) for x in zip(*held))
+        p, n = train(p, rows, target, seed + n), n + len(rows)
+        held, size = [], 0
+
+    def close():
+        nonlocal count, p, n
+        if held:
+            learn()
+        for k, v in p.items():
+            total[k] += np.rint(v.ravel().astype(np.float64) * UNIT).astype(np.int64) * n
+        count, p, n = count + n, start, 0
+
+    for shard, piece in pieces:
+        if shard != now:
+            if now is not None:
+                close()
+            now = shard
+        held.append(_windows(piece, t))
+        size += len(piece) - 1
+        if size >= 2 * SHARD:  # a shard of many equal rows; the rest of it goes on from here
+            learn()
+    if now is not None:
+        close()
+    return total, count
 
 
 def fit(tokens: DataFrame) -> tuple[dict, Tables]:
-    """Counts over all ids; then rounds in which each partition trains on windows of all its documents, from what all had in
-    common, and the parameters are averaged, weighted by windows, before they go to the driver."""
+    """Counts over all ids; then ROUNDS rounds of training. What goes to the driver has the size of the model."""
     sc = tokens.sparkSession.sparkContext
-
     counts = np.zeros(IDS, np.int64)
     got = tokens.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     t = tables(counts)
     p = fresh(t, counts)
-    names = list(p)
+    shards = max(1, round(int(counts.sum()) / ROUNDS / SHARD))
+    names, shapes = list(p), [v.shape for v in p.values()]
     for r in range(ROUNDS):
         shared = sc.broadcast((p, t))
 
+        def cut(batches: Iterator[pa.RecordBatch], r=r) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 500):
+                    b = whole.slice(lo, 500)
+                    got = [(h, x) for i, ids in zip(b.column("doc_id").to_pylist(), _ids(b)) for h, x in _pieces(i, ids) if h % ROUNDS == r]
+                    h = np.array([g[0] for g in got], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array((h // ROUNDS % shards).astype(np.int32)), pa.array(h), pa.array([g[1] for g in got], pa.binary())], names=["shard", "h", "ids"])
+
         def local(batches: Iterator[pa.RecordBatch], r=r) -> Iterator[pa.RecordBatch]:
             start, t_ = shared.value
-            got = [w for b in batches for lo in range(0, b.num_rows, 500) if (w := _training(_ids(b.slice(lo, 500)), t_))]
-            if got:
-                rows, empty, target = (np.concatenate(x) for x in zip(*got))
-                done = train(start, rows, empty, target, seed=r)
-                n = float(len(rows))
+            total, n = _sums(start, t_, r, ((k, x) for b in batches for k, x in zip(b.column("shard").to_pylist(), _ids(b))))
+            if n:
+                flat = np.concatenate([total[k] for k in names])
+                cuts = range(0, len(flat), MESSAGE)
+                salt = int(n) % 32
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array([n] * len(names)), pa.array([(done[k].astype(np.float64) * n).tobytes() for k in names], pa.binary())], names=["name", "n", "data"]
+                    [pa.array(range(len(cuts)), pa.int32()), pa.array([salt] * len(cuts), pa.int32()), pa.array([n] * len(cuts)), pa.array([flat[c : c + MESSAGE].tobytes() for c in cuts], pa.binary())],
+                    names=["part", "salt", "n", "data"],
                 )
 
-        def mean(g: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x.as_py(), np.float64) for x in g.column("data"))
-            n = sum(g.column("n").to_pylist())
-            return pa.table({"name": g.column("name")[:1], "data": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
-
-        new = tokens.select("ids").mapInArrow(local, "name string, n double, data binary").groupBy("name").applyInArrow(mean, "name string, data binary").collect()
-        p = p | {x.name: np.frombuffer(x.data, np.float32).reshape(p[x.name].shape) for x in new}
+        def add(g: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_py(), np.int64) for x in g.column("data"))
+            return pa.table({"part": g.column("part")[:1], "salt": pa.array([0], pa.int32()), "n": pa.array([sum(g.column("n").to_pylist())]), "data": pa.array([total.tobytes()], pa.binary())})
+
+        form = "part int, salt int, n long, data binary"
+        tasks = min(shards, 4096)
+        sums = (
+            tokens.mapInArrow(cut, "shard int, h long, ids binary").repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "h", "ids")
+            .mapInArrow(local, form).groupBy("part", "salt").applyInArrow(add, form).groupBy("part").applyInArrow(add, form).orderBy("part").collect()
+        )
+        if sums:
+            flat = np.concatenate([np.frombuffer(x.data, np.int64) for x in sums]) / (UNIT * sums[0].n)
+            cuts = np.cumsum([0] + [int(np.prod(s)) for s in shapes])
+            p = {k: flat[i:j].astype(np.float32).reshape(s) for k, s, i, j in zip(names, shapes, cuts[:-1], cuts[1:])}
     return p, t
 
 
@@ -256,11 +345,10 @@ def tokenised(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
 def score_documents(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, nll (mean -ln probability of a token), perplexity.
 
-    The model is trained on all tokens of all documents, its counts are over all their tokens, so what
-    is gathered grows with the corpus; what is collected has the size of the model. A text is scored whole, in
-    overlapping windows that score each token once. A null or empty text has no tokens, and null nll and perplexity. Null
-    doc_ids and repeated rows stay; extra columns are dropped. No rows give no rows. Scores depend on how the table is
-    cut into partitions, as training does.
+    The model is trained on all tokens of all documents and its counts are over all of them, so what is gathered grows
+    with the corpus; what is collected has the size of the model. A text is scored whole, in overlapping windows that
+    score each token once. Scores don't depend on the order or the partitions of the rows. A null or empty text has no
+    tokens, and null nll and perplexity. Null doc_ids and repeated rows stay; extra columns are dropped. No rows give no rows.
     """
     tokens = stored(tokenised(docs, folder))
     shared = tokens.sparkSession.sparkContext.broadcast(fit(tokens))
@@ -275,7 +363,7 @@ def score_documents(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
                 nll = score(p, t, ids) / np.maximum(n, 1)
                 null = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(n), pa.array(np.round(nll, 6), mask=null), pa.array(np.round(np.exp(np.minimum(nll, 50)), 4), mask=null)], names=["doc_id", "n_tokens", "nll", "perplexity"]
+                    [b.column("doc_id"), pa.array(n), pa.array(np.round(nll, 5), mask=null), pa.array(np.round(np.exp(np.minimum(nll, 50)), 3), mask=null)], names=["doc_id", "n_tokens", "nll", "perplexity"]
                 )
 
     schema = StructType().add("doc_id", tokens.schema["doc_id"].dataType).add("n_tokens", "long").add("nll", "double").add("perplexity", "double")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import stored, table, take
 from .tokens import END, FOLDER, Encoder
@@ -41,9 +42,14 @@ def _tokenised(docs: DataFrame, folder: str) -> DataFrame:
                     names=["pid", "at", "doc_id", "n", "ids"],
                 )
 
-    d = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = take(docs, "doc_id", "text")
+    if not isinstance(d.schema["doc_id"].dataType, IntegralType):
+        raise ValueError("doc_id must be an integer")
+    d = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return d.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "pid int, at long, doc_id long, n long, ids binary")
+    # texts, by how they begin, part the rows of one doc_id (or of none) in the order that they are sorted in
+    by = F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first()
+    return d.repartitionByRange(parts, *by).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "pid int, at long, doc_id long, n long, ids binary")
 
 
 class _Cutter:
@@ -100,7 +106,7 @@ class _Cutter:
 def pack(docs: DataFrame, window: int = WINDOW, folder: str = FOLDER) -> DataFrame:
     """Windows of the concatenation of all documents: window_id (0, 1, ...), n_tokens, ids, segments.
 
-    Documents come in order of doc_id (nulls first) and text, each as its BPE ids and END. Every window has `window`
+    Needs doc_id (of an integer type, else a ValueError) and text. Documents come in order of doc_id (nulls first) and text, each as its BPE ids and END. Every window has `window`
     tokens but the last, which may have fewer. segments are the boundary records: for each document in the window its
     doc_id, where the piece starts in the document (in tokens) and in the window, and its number of tokens.
 

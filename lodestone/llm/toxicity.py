@@ -8,9 +8,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,8 +27,6 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid question", "sore l
 LEAST_WEIGHT, LEAST_SCORE = 1.5, 1.0
 #: A learned term has at least so many words, its shortest and longest length, and at most this probability by chance; it is exp(ODDS) times as common in toxic texts.
 WORDS, SHORT, LONG, CHANCE, ODDS = 4, 3, 9, 1e-7, 1.0
-#: The most terms of a language, and the most beginnings that are counted in its clean texts, those of most toxic ones.
-TERMS, CANDIDATES = 500, 50_000
 #: Thresholds are tried for a text of so many words at most, in longer ones they grow with the words; steps of a weight of 1; a clean text taken costs as much as so many toxic ones missed, also
 #: one that is short of the threshold by less than 1 - MARGIN.
 PER, STEPS, TOP, COST, MARGIN = (100, 200, 400, 800, 1500), 8, 4000, 20, 0.75
@@ -107,8 +106,12 @@ def found(text: str, a: ahocorasick.Automaton) -> list[tuple]:
             spans.append((start, end))
         else:
             hits.append((start, end, weight, least, group))
-    if spans:
-        hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e in spans)]
+    if spans and hits:
+        # a span that begins no later reaches no less far: by starts and the farthest end so far
+        spans.sort()
+        ends = np.maximum.accumulate([e for _, e in spans])
+        at = np.searchsorted([s for s, _ in spans], [h[0] for h in hits], "right") - 1
+        hits = [h for h, k in zip(hits, at) if k < 0 or ends[k] < h[1]]
     return hits
 
 
@@ -150,10 +153,12 @@ def _chosen(rows: list, total: dict, folds: tuple[int, ...], known: list[str]) -
         z = t * math.log(t / by_chance) - t + by_chance
         if odds >= ODDS and z >= -math.log(CHANCE):
             ranked.append((-round(z, 6), len(s), s, lang, odds))
+    begun: dict[str, set[str]] = {}  # by language, all beginnings of its terms
     for _, _, s, lang, odds in sorted(ranked):
-        terms = out.setdefault(lang, {})
-        if len(terms) < TERMS and not any(x.startswith(s) or s.startswith(x) for x in terms):
+        terms, starts = out.setdefault(lang, {}), begun.setdefault(lang, set())
+        if s not in starts and not any(s[:k] in terms for k in range(1, len(s))):
             terms[s] = odds
+            starts |= {s[:k] for k in range(1, len(s) + 1)}
     return out
 
 
@@ -166,7 +171,9 @@ def learn(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float] = LEXICO
     odds of toxic against clean, scaled so that LEAST_WEIGHT is the language's threshold. That and the least score are set on
     held-out labels: each half of the texts (by hash, copies together) is weighed with terms of the other half, and what counts
     is toxic texts of the language found, less COST for each clean text of any language. A language whose terms lose by this has none.
-    labels needs doc_id and toxic; rows with a null are left out. No labels: the lexicon as it is.
+    labels needs doc_id and toxic; rows with a null are left out, and a doc_id that is labelled both is toxic. docs needs doc_id and
+    text; a null text or doc_id has no part, rows that repeat count each time, whatever their length. All words are counted;
+    only beginnings that pass the test against chance leave the cluster, all of them. No labels or no texts: the lexicon as it is.
     """
     lab = take(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     lab = stored(lab)
@@ -175,52 +182,46 @@ def learn(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float] = LEXICO
     d = take(docs, "doc_id", "text", "lang") if has else take(docs, "doc_id", "text").withColumn("lang", F.lit(""))
     d = d.join(lab, "doc_id").filter("text is not null").select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
 
-    def counts(toxic: int, wanted: dict[str, set[str]] | None):
-        """Partial sums: lang, what (a word, or a wanted beginning; null: all words), n0, n1 by fold."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Partial sums: lang, toxic, w (null: all words), n0, n1 by fold."""
+        found: dict[tuple, list[int]] = {}
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: dict[tuple, list[int]] = {}
+        def batch() -> pa.RecordBatch:
+            keys, vals = list(found), list(found.values())
+            cols = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+            return pa.RecordBatch.from_arrays([*cols, *(pa.array([v[f] for v in vals], pa.int64()) for f in (0, 1))], names=["lang", "toxic", "w", "n0", "n1"])
 
-            def batch() -> pa.RecordBatch:
-                keys, vals = list(found), list(found.values())
-                cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
-                return pa.RecordBatch.from_arrays([*cols, *(pa.array([v[f] for v in vals], pa.int64()) for f in (0, 1))], names=["lang", "w", "n0", "n1"])
-
-            for b in batches:
-                for lang, text, fold_ in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "fold"))):
-                    ws = _beginnings(text)
-                    found.setdefault((lang, None), [0, 0])[fold_] += len(ws)
-                    if wanted is None:
-                        for w in ws:
-                            found.setdefault((lang, w), [0, 0])[fold_] += 1
-                        continue
-                    want = wanted.get(lang, ())
-                    for w in ws:
-                        for k in range(SHORT, min(LONG, len(w)) + 1):
-                            if w[:k] in want:
-                                found.setdefault((lang, w[:k]), [0, 0])[fold_] += 1
-                if len(found) > 200_000:
-                    yield batch()
-                    found.clear()
-            yield batch()
-
-        return d.filter(F.col("toxic") == toxic).select("lang", "text", "fold").mapInArrow(run, "lang string, w string, n0 long, n1 long").groupBy("lang", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-    words = stored(counts(1, None))
-    total = {(r.lang, f, 1): r[f"n{f}"] for r in words.filter("w is null").collect() for f in (0, 1)}
-    starts = words.filter("w is not null").select("lang", F.explode(F.transform(F.sequence(F.lit(SHORT), F.least(F.length("w"), F.lit(LONG))), lambda k: F.substring("w", F.lit(1), k))).alias("s"), "n0", "n1")
-    # a beginning that only toxic texts have is by chance in fewer words than these with 1 - CHANCE
-    common = starts.groupBy("lang", "s").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("words")).filter((F.col("words") >= WORDS) & (F.col("n0") + F.col("n1") >= WORDS))
-    most = Window.partitionBy("lang").orderBy(F.desc(F.col("n0") + F.col("n1")), F.length("s"), "s")
-    some = {(r.lang, r.s): (r.n0, r.n1) for r in common.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= CANDIDATES).collect()}
-    if not some:
-        return dict(lexicon)
-    wanted: dict[str, set[str]] = {}
-    for lang, s in some:
-        wanted.setdefault(lang, set()).add(s)
-    clean = {(r.lang, r.w): (r.n0, r.n1) for r in counts(0, wanted).collect()}
-    total |= {(lang, f, 0): n[f] for (lang, w), n in clean.items() if w is None for f in (0, 1)}
-    rows = [(lang, s, t, clean.get((lang, s), (0, 0))) for (lang, s), t in some.items()]
+        for b in batches:
+            for lang, text, fold_, toxic in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "fold", "toxic"))):
+                ws = _beginnings(text)
+                found.setdefault((lang, toxic, None), [0, 0])[fold_] += len(ws)
+                for w in ws:
+                    found.setdefault((lang, toxic, w), [0, 0])[fold_] += 1
+            if len(found) > 200_000:
+                yield batch()
+                found.clear()
+        yield batch()
+
+    form = "lang string, toxic int, w string, n0 long, n1 long"
+    words = stored(d.select("lang", "text", "fold", "toxic").mapInArrow(count, form).groupBy("lang", "toxic", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    sums = words.filter("w is null").collect()  # some for each language
+    total = {(r.lang, f, int(r.toxic > 0)): 0 for r in sums for f in (0, 1)}
+    for r in sums:
+        for f in (0, 1):
+            total[r.lang, f, int(r.toxic > 0)] += r[f"n{f}"]
+    of = lambda y, f: F.sum(F.when(F.col("toxic") > 0 if y else F.col("toxic") <= 0, F.col(f"n{f}")).otherwise(0))
+    starts = words.filter("w is not null").select("lang", "toxic", F.explode(F.transform(F.sequence(F.lit(SHORT), F.least(F.length("w"), F.lit(LONG))), lambda k: F.substring("w", F.lit(1), k))).alias("s"), "n0", "n1")
+    by = starts.groupBy("lang", "s").agg(F.sum((F.col("toxic") > 0).cast("int")).alias("words"), *[of(y, f).alias(f"{'ct'[y]}{f}") for y in (0, 1) for f in (0, 1)])
+    all_ = words.filter("w is null").groupBy("lang").agg(*[of(y, f).alias(f"all_{'ct'[y]}{f}") for y in (0, 1) for f in (0, 1)])
+    passes = F.lit(False)
+    for folds in ((0, 1), (0,), (1,)):
+        t, c, tox, clean = (sum((F.col(f"{k}{f}") for f in folds), F.lit(0.0)) for k in ("t", "c", "all_t", "all_c"))
+        chance = (t + c) * tox / (tox + clean)
+        # a little less than _chosen asks, which decides
+        z = t * F.log(t / chance) - t + chance >= F.lit(-math.log(CHANCE) - 1e-6)
+        passes = passes | F.when((t > 0) & (clean > 0), z & (F.log((t + 0.5) / tox * clean / (c + 0.5)) >= ODDS - 1e-6)).otherwise(False)
+    common = by.filter((F.col("words") >= WORDS) & (F.col("t0") + F.col("t1") >= WORDS)).join(all_, "lang").filter(passes)
+    rows = [(r.lang, r.s, (r.t0, r.t1), (r.c0, r.c1)) for r in common.select("lang", "s", "t0", "t1", "c0", "c1").collect()]
     known = [fold(k.rstrip("*")) for k in lexicon]
     terms = _chosen(rows, total, (0, 1), known)
     other = [_chosen(rows, total, (1 - f,), known) for f in (0, 1)]
@@ -287,7 +288,11 @@ def score_toxicity(docs: DataFrame, lexicon: dict[str, float] | None = None, exc
 
 
 def drop_toxic(docs: DataFrame, lexicon: dict[str, float] | None = None) -> DataFrame:
-    """docs, all columns, without the rows whose text is toxic."""
+    """docs, all columns, without the rows whose text is toxic.
+
+    Needs text. Null and empty texts stay, as do null doc_ids; each of repeated rows is judged alike; texts of any length are
+    searched whole; a text at exactly the threshold is toxic. Extra columns, whatever their names, stay as they are. No rows give no rows.
+    """
     terms = LEXICON if lexicon is None else lexicon
 
     @F.pandas_udf("boolean")

@@ -49,5 +49,18 @@ def test_same_as_encoding_whole_and_back(spark, enc):
     assert back == sorted(((d, t or "") for d, t in rows), key=repr)
 
 
+def test_round_trip_column(spark):
+    rows = [(1, "some über text " * 500), (2, "other " + "some über text " * 500), (None, None), (3, "")]
+    out = encode(spark.createDataFrame(rows, "doc_id long, text string"), verify=True).collect()
+    assert len(out) == 4 and all(r.round_trip is True for r in out)
+
+
+def test_decoding_odd_rows(spark, enc):
+    rows = [(1, [1, 2]), (1, [1, 2]), (None, [1]), (2, None), (3, []), (4, [10**6]), (5, [-1]), (6, [1, None]), (7, [5] * 50_000)]
+    df = spark.createDataFrame([(a, b, "clash") for a, b in rows], "doc_id long, ids array<int>, text string")
+    want = sorted(((a, None if b is None or any(x is None or not 0 <= x < enc.size for x in b) else enc.bpe.decode(b)) for a, b in rows), key=repr)
+    assert sorted(map(tuple, decode(df).collect()), key=repr) == want and decode(df.limit(0)).collect() == []
+
+
 def test_no_rows(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -64,14 +64,47 @@ def test_join_is_exact(spark, t, n):
     assert got == want and len(got) > 20
 
 
-def test_join_with_tiles_and_without_the_members_table(spark, monkeypatch):
-    rows = corpus(9, 150)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = slow_pairs(rows, 3, 0.6)
-    monkeypatch.setattr(jaccard, "TILE", 3)
-    assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in jaccard.jaccard_join(df).collect()} == want
-    monkeypatch.setattr(jaccard, "MEMBERS", 0)
-    assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in jaccard.jaccard_join(df).collect()} == want
+def slow_classes(rows, n, t):
+    """doc_id: class_id, copies, links, from all pairs of sets."""
+    sets = word_sets(rows, n)
+    by = {}
+    for (d, _), x in sets.items():
+        by.setdefault(x, set()).add(d)
+    ids = {d for d, _ in rows if d is not None}
+    root, copies, links = {d: d for d in ids}, dict.fromkeys(ids, 0), dict.fromkeys(ids, 0)
+    near = [(a, b) for a in by for b in by if a != b and len(a & b) >= t * (len(a) + len(b)) / (1 + t) - 1e-9]
+    for x, ds in by.items():
+        for d in ds:
+            copies[d] += len(ds) - 1
+            links[d] += sum(a == x for a, _ in near)
+    edges = [(min(ds), d) for ds in by.values() for d in ds] + [(min(by[a]), min(by[b])) for a, b in near]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(root[a], root[b])
+            changed |= (root[a], root[b]) != (low, low)
+            root[a] = root[b] = low
+    return {d: (root[d], copies[d], links[d]) for d in ids}
+
+
+@pytest.mark.parametrize("t,n,tile", [(0.6, 3, 1024), (0.8, 2, 1024), (1.0, 1, 1024), (0.6, 3, 3)])
+def test_classes_are_exact(spark, monkeypatch, t, n, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rows = corpus(n + 5) + ODD + [(2008, "w1 w2 w3"), (2008, " ".join(WORDS)), (2009, " ".join(WORDS) + " w1"), (-7, "w1 w2 w3")]
+    df = spark.createDataFrame([(a, b, 1, "q") for a, b in rows], "doc_id long, text string, links int, Class_id string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.copies, r.links) for r in jaccard.jaccard_classes(df, n, t).collect()}
+    assert got == slow_classes(rows, n, t)
+    assert sum(c != d for d, (c, _, _) in got.items()) > 20
+
+
+def test_a_group_of_many_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    rows = [(i, " ".join(base[:k] + [rng.choice(WORDS)] + base[k + 1 :])) for i, k in enumerate(rng.choice(range(120)) for _ in range(150))] + [(i, " ".join(base)) for i in range(500, 600)]
+    got = {r.doc_id: (r.class_id, r.copies, r.links) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_classes(rows, 3, 0.6) and got[500][1] >= 99 and got[599][2] > 100
 
 
 def groups(nodes, pairs):
@@ -93,7 +126,7 @@ def test_one_of_each_group_stays(spark):
 
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert jaccard.jaccard_join(none).collect() == [] and jaccard.drop_near_copies(none).collect() == []
+    assert jaccard.jaccard_join(none).collect() == [] and jaccard.jaccard_classes(none).collect() == [] and jaccard.drop_near_copies(none).collect() == []
 
 
 def test_components(spark):
@@ -122,6 +155,40 @@ def test_licences(spark):
     assert licenses.scan_licenses(df.limit(0)).collect() == []
 
 
+def test_headers_and_licence_files(spark):
+    """Headers that once went wrong, over lines too, and whole files."""
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nimport os\n"
+    body = "def f(x):\n    return x\n" * 5
+    want = {
+        1: ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), 2: ("// SPDX-License-Identifier: BSD-2-Clause\n" + body, "BSD-2-Clause"), 3: ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"), 4: (gpl + body, "GPL-3.0"),
+        5: ("This file is licensed under the terms of the MIT license", "MIT"), 6: (gpl.replace("version 3", "version 2").replace("software:", "software;"), "GPL-2.0"), 7: (body, None),
+        8: (body + "We were permitted to take the source of the stream under the bridge. The public may use it in any general version of the terms.", None),
+        9: ("SPDX-License-Identifier: MIT.", "MIT"),
+    }
+    rows = [(i, f"/h{i}/x", t) for i, (t, _) in want.items()]
+    for k, (name, text) in enumerate(licenses.FILES.items()):
+        rows += [(100 + k, f"/{name}/LICENSE", "Copyright (c) 2020 The authors of this work\n" + text), (200 + k, f"/{name}/src/a", body)]
+    # what most texts say weighs little, however many there are
+    rows += [(1000 + i, None, f"text number {i} of the file and the project, see details {i % 7}") for i in range(300)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {i: got[i].license for i in want} == {i: x for i, (_, x) in want.items()}
+    for k, name in enumerate(licenses.FILES):
+        assert (got[100 + k].license, got[200 + k].license, got[200 + k].how, got[200 + k].licensed_by) == (name, name, "inherited", 100 + k)
+    assert not any(got[1000 + i].license for i in range(300))
+
+
+def test_bounds_lose_no_match(spark, monkeypatch):
+    """The same matches where everything is compared."""
+    rng = random.Random(8)
+    parts = [w for *_, c in licenses.COUNTED[:40] for w in c]
+    rows = [(i, f"/{i}", " ".join(rng.choice(parts) for _ in range(rng.randint(3, 12))) + ". " + rng.choice([t for ts in licenses.TEMPLATES.values() for t in ts])[rng.randint(0, 12) :]) for i in range(150)]
+    rows += [(1000 + i, "/f", " ".join(w for w in t.split() if rng.random() < keep)) for i, t in enumerate(licenses.FILES.values()) for keep in (0.5, 0.8)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {tuple(r) for r in licenses.matches(df).collect()}
+    monkeypatch.setattr(licenses, "keys", lambda idf, kind, cosine: (licenses.VOCABULARY, 0))
+    assert got == {tuple(r) for r in licenses.matches(df).collect()} and len(got) > 60
+
+
 # ---- embeddings
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lodestone.llm import lm
 
@@ -27,12 +28,15 @@ def small_model():
     return p, t, rng
 
 
-def test_windows_score_each_token_once_as_the_slow_way():
+@pytest.mark.parametrize("large", [1, 30])
+def test_windows_score_each_token_once_as_the_slow_way(monkeypatch, large):
     p, t, rng = small_model()
-    ids = [rng.integers(0, lm.IDS, n) for n in (0, 1, 5, 15, 16, 17, 33, 100)]
-    got = lm.score(p, t, ids, chunk=3)
+    p = {k: v * np.float32(large) if k in "qk" else v for k, v in p.items()}  # logits that need the maximum
+    ids = [rng.integers(0, lm.IDS, n) for n in (0, 1, 5, 15, 16, 17, 0, 33, 100, 0)]
+    monkeypatch.setattr(lm, "AT_ONCE", 3)
+    got = lm.score(p, t, ids)
     want = [slow_score(p, t, list(x)) for x in ids]
-    np.testing.assert_allclose(got, want, rtol=2e-4)
+    np.testing.assert_allclose(got, want, rtol=2e-4 * large)
 
 
 def test_probabilities_sum_to_one():
@@ -48,27 +52,52 @@ def test_gradient_is_that_of_differences():
     p, t, rng = small_model()
     p = {k: v.astype(np.float64) for k, v in p.items()}
     rows = rng.integers(0, 50, (2, lm.WINDOW))
-    empty = np.zeros(rows.shape, bool)
     target = rng.integers(-1, lm.CLASSES, rows.shape)
-    _, g = lm.step(p, rows, empty, target)
+    _, g, used = lm.step(p, rows, target)
+    np.testing.assert_array_equal(used, np.unique(rows))
     for k in p:
         at = tuple(rng.integers(0, n) for n in p[k].shape) if k != "emb" else (rows[0, 3], 2)
         e = 1e-4
         up, down = ({**p, k: p[k].copy()} for _ in range(2))
         up[k][at] += e
         down[k][at] -= e
-        want = (lm.step(up, rows, empty, target)[0] - lm.step(down, rows, empty, target)[0]) / (2 * e)
-        assert abs(want - g[k][at]) < 2e-3 * max(1.0, abs(want)) + 2e-5, k
+        want = (lm.step(up, rows, target)[0] - lm.step(down, rows, target)[0]) / (2 * e)
+        got = g[k][at] if k != "emb" else g[k][np.searchsorted(used, at[0]), at[1]]
+        assert abs(want - got) < 2e-3 * max(1.0, abs(want)) + 2e-5, k
 
 
-def test_training_windows_hold_each_token_once():
+def test_pieces_and_windows_hold_each_token_once():
     _, t, rng = small_model()
-    ids = [rng.integers(0, lm.IDS, n) for n in (0, 1, 31, 32, 33, 100, 2000)]
-    rows, _, target = lm._training(ids, t)
-    assert len(rows) == sum(-(-len(x) // lm.WINDOW) for x in ids) and (target >= 0).sum() == sum(map(len, ids))
-    np.testing.assert_array_equal(target[target >= 0], np.concatenate([t.cls[x] for x in ids]))
-    before = np.concatenate([[lm.END, *x[:-1]] for x in ids if len(x)])
-    np.testing.assert_array_equal(rows[target >= 0], t.row[before])
+    for n in (0, 1, 31, 32, 33, lm.PIECE, lm.PIECE + 1, 3 * lm.PIECE + 77):
+        ids = rng.integers(0, lm.IDS, n).astype(np.uint16)
+        got = [np.frombuffer(x, np.uint16) for _, x in lm._pieces(7, ids)]
+        made = [lm._windows(x, t) for x in got]
+        target = np.concatenate([np.zeros(0, int), *(y.ravel() for _, y in made)])
+        rows = np.concatenate([np.zeros(0, int), *(x.ravel() for x, _ in made)])
+        np.testing.assert_array_equal(target[target >= 0], t.cls[ids])
+        np.testing.assert_array_equal(rows[target >= 0], t.row[np.concatenate([[lm.END], ids[:-1]])] if n else [])
+    one, two, three = (sorted(h for h, _ in lm._pieces(*x)) for x in ((7, ids), (8, ids), (None, ids)))
+    assert len({*one, *two, *three}) == 12
+
+
+def test_a_shard_longer_than_memory_goes_on(monkeypatch):
+    _, t, rng = small_model()
+    p = lm.fresh(t, np.zeros(lm.IDS))
+    pieces = [(0, rng.integers(0, lm.IDS, 101).astype(np.uint16)) for _ in range(8)]
+    whole, n = lm._sums(p, t, 0, iter(pieces))
+    monkeypatch.setattr(lm, "SHARD", 100)
+    parts, m = lm._sums(p, t, 0, iter(pieces))
+    assert n == m == 8 * 4 and any((whole[k] != parts[k]).any() for k in whole)
+    two, k = lm._sums(p, t, 0, iter(pieces + [(1, pieces[0][1])]))
+    one, j = lm._sums(p, t, 0, iter([(1, pieces[0][1])]))
+    assert k == m + j and all((two[x] == parts[x] + one[x]).all() for x in two)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = ({r.doc_id: r.nll for r in lm.score_documents(d).collect()} for d in (docs.repartition(2), docs.orderBy("text").repartition(8)))
+    assert a == b and len(a) == docs.count()
 
 
 def test_better_than_counts_on_texts_it_has_not_seen(spark):
@@ -83,7 +112,7 @@ def test_better_than_counts_on_texts_it_has_not_seen(spark):
     model = lm.score(p, t, held).sum() / n
     unigram = -sum(np.log(counts / counts.sum())[x].sum() for x in held) / n
     print("held-out nats a token: model", model, "counts", unigram)
-    assert model < unigram - 0.3
+    assert model < unigram - 0.6
 
 
 def test_odd_rows(spark):

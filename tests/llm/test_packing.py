@@ -36,6 +36,14 @@ def test_same_as_brute_force(spark, enc, window):
         assert [s.start for s in r.segments] == np.cumsum([0, *(s.n for s in r.segments)])[:-1].tolist()
 
 
+def test_rows_of_one_or_no_id(spark, enc):
+    rows = [(None, f"text {i % 17} of none") for i in range(60)] + [(5, f"text {i} of five") for i in range(40)]
+    got = sorted(pack(spark.createDataFrame(rows, "doc_id int, text string").repartition(4), 50).collect(), key=lambda r: r.window_id)
+    assert [(r.ids, [(s.doc_id, s.doc_start + k) for s in r.segments for k in range(s.n)]) for r in got] == brute(enc, rows, 50)
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pack(df).collect() == []

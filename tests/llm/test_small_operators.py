@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -59,6 +60,43 @@ def test_weights(text, weight):
     assert toxicity.weigh(text, toxicity.automaton(toxicity.LEXICON, toxicity.EXCEPTIONS))[0] == pytest.approx(weight)
 
 
+def slow_weight(text, lexicon, exceptions):
+    """Each term at each place."""
+    low, total = toxicity.fold(text), 0.0
+    border = lambda i, j: not (i and text[i - 1].isalnum()) and not (j < len(text) and text[j].isalnum())
+    places = lambda w: [(i, i + len(w)) for i in range(len(low)) if low.startswith(toxicity.fold(w), i) and border(i, i + len(w))]
+    spans = [x for e in exceptions for x in places(e)]
+    for term, weight in lexicon.items():
+        total += sum(weight for i, j in places(term) if not any(a <= i and j <= b for a, b in spans))
+    return total
+
+
+def test_matcher_against_slow_version():
+    lexicon, exceptions = {"ab": 1.0, "ab cd": 2.0, "cd": 0.5, "e1f": 0.25}, ("cd ab", "ab cd ab", "x cd", "e1f e1f")
+    a, rng = toxicity.automaton(lexicon, exceptions), random.Random(3)
+    for _ in range(2000):
+        text = "".join(rng.choice(["ab", "cd", "x", "e1f", "eif", " ", " ", " ", ".", "AB", "а", "c d"]) for _ in range(rng.randint(0, 25)))
+        assert toxicity.weigh(text, a)[0] == pytest.approx(slow_weight(text, lexicon, exceptions)), text
+
+
+def test_long_texts_of_many_exceptions_take_little_time():
+    a = toxicity.automaton(toxicity.LEXICON, toxicity.EXCEPTIONS)
+    text = "trash can idiot " * 65536
+    began = time.process_time()
+    assert toxicity.weigh(text, a) == (65536.0, 65536)
+    assert time.process_time() - began < 3  # some tenths of a second where nothing else runs
+
+
+def test_labels_that_conflict_and_repeat(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join([rng.choice(["alpha", "beta", "gamma"]) for _ in range(20)] + ([f"zork{x}" for x in rng.sample("abcdefgh", 4)] if i % 5 == 0 else []))) for i in range(300)]
+    labels = [(i, int(i % 5 == 0)) for i, _ in rows]
+    d = frame(spark, rows)
+    once = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    both = toxicity.learn(d.repartition(5), spark.createDataFrame([*labels, *labels, (0, 0), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int"))
+    assert dict(once) == dict(both) and len(once) > len(toxicity.LEXICON)
+
+
 def test_toxicity_rows(spark):
     rows = [*ODD, (7, "idiot scum"), (8, "idiot"), (9, "idiot scum " + "fine words " * 5000)]
     out = toxicity.score_toxicity(frame(spark, rows)).collect()
@@ -68,6 +106,15 @@ def test_toxicity_rows(spark):
     assert toxicity.score_toxicity(frame(spark, [])).collect() == [] and toxicity.drop_toxic(frame(spark, [])).collect() == []
 
 
+def test_labels_of_a_small_table(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.toxic for r in toxicity.score_toxicity(d, toxicity.learn(d, labels)).collect()}
+    toxic = [got[r.doc_id] for r in labels.filter("toxic = 1").collect()]
+    clean = [got[r.doc_id] for r in labels.filter("toxic = 0").collect()]
+    print(sum(toxic), len(toxic), sum(clean), len(clean))
+    assert sum(toxic) >= 0.65 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
 @pytest.mark.parametrize("sf,least", [("sf0.1", 0.95), ("check_s", 0.995)])
 def test_toxic_labels_that_nothing_was_learned_from(spark, sf, least):
     if not os.path.exists(f"/root/testdata/{sf}"):
@@ -157,6 +204,18 @@ def test_languages_against_slow_version(spark, model):
         assert best[0] == best[2] == p.argmax() and conf[0] == pytest.approx(p.max(), abs=1e-9)
 
 
+def test_no_language_is_lost_to_the_bound(spark, monkeypatch):
+    words = {"en": "the house stands on the hill", "de": "das haus steht auf dem berg", "fr": "la maison est sur la colline", "es": "la casa esta en la colina"}
+    chosen = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs: chosen.append((texts, langs)))
+    rows = [(None, f"{words[g]} {i}", g) for g, n in (("en", 3000), ("de", 40), ("fr", 3)) for i in range(n)] + [(1, words["es"], "es")] * 2000 + [(1, None, "it"), (2, "x", None)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(7, *r[1:]) for r in rows], "doc_id long, text string, lang string").repartition(7)):
+        langid.fit(df, 200)
+    (a, b), (c, d) = chosen
+    assert (a, b) == (c, d) and {g: b.count(g) for g in set(b)} == {"en": 50, "de": 40, "fr": 3, "es": 1} and len(set(a)) == 94
+    assert langid.fit(df.limit(0)) is None
+
+
 def test_other_scripts_are_rejected(spark, model):
     rows = [(1, "这是一个完全不同的语言的文本，没有任何字母。" * 5), (2, "Это совсем другой язык и другие буквы. " * 5), (3, "The of and onen thorreou ndernt " * 5)]
     got = {r.doc_id: r.accepted for r in langid.identify_languages(frame(spark, rows), model).collect()}
@@ -230,6 +289,47 @@ def test_fingerprint_rows(spark):
     assert fingerprints.fingerprints(frame(spark, [])).collect() == []
 
 
+def test_query_of_fingerprints_against_slow_version(spark):
+    """Packed column, bands and estimates of the whole small table, bin by bin."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    extra = [(10_000 + i, t + " and some more", "x", "y", 1) for i, t in enumerate(r.text for r in docs.limit(20).collect())]
+    docs = docs.union(spark.createDataFrame([*extra, (None, extra[0][1], "x", "y", 1), (-5, extra[1][1], "x", "y", 1)], docs.schema))
+    out = fingerprints.near_estimates(fingerprints.fingerprints(docs.withColumn("estimate", docs.n_chars).withColumn("near_id", docs.lang))).collect()
+    edges, want = [(i << 64) // fingerprints.BINS for i in range(fingerprints.BINS + 1)], {}
+    import pyarrow as pa
+
+    for r in docs.collect():
+        grams = next(iter(gram_sets(pa.array([(r.text or "").lower() + "\n"]), fingerprints.SHINGLE))).tolist()
+        if not grams:
+            want[r.doc_id, r.text] = None
+            continue
+        bins = [min((g for g in grams if lo <= g < hi), default=None) for lo, hi in zip(edges, edges[1:])]
+        filled = list(bins)
+        for b, v in enumerate(bins):
+            k = 0
+            while v is None:
+                v = bins[fingerprints._donors(fingerprints.BINS, 1, k)[b, 0]]
+                k += 1
+            filled[b] = v
+        low = [int(fingerprints.mix(np.array([v], np.uint64))[0]) & 15 for v in filled]
+        want[r.doc_id, r.text] = "".join(f"{x:x}" for x in low)
+    prints = sorted((k[0] is not None, k[0] or 0, v) for k, v in want.items() if v)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.fingerprint.hex()) for r in out if r.fingerprint) == prints
+    heads = {}
+    for known, i, p in prints:
+        if known:
+            heads.setdefault(p[: 2 * fingerprints.BAND], (i, p))
+    for r in out:
+        i, p = heads.get(r.fingerprint.hex()[: 2 * fingerprints.BAND], (None, None)) if r.fingerprint else (None, None)
+        if i is None or i == r.doc_id:
+            assert r.near_id is None and r.estimate is None
+        else:
+            share = sum(a == b for a, b in zip(r.fingerprint.hex(), p)) / fingerprints.BINS
+            assert r.near_id == i and r.estimate == pytest.approx(max(0, (share - 1 / 16) / (15 / 16)), abs=1e-6)
+    assert sum(r.near_id is not None for r in out) > 15
+    assert fingerprints.near_estimates(fingerprints.fingerprints(docs.limit(0))).collect() == []
+
+
 def test_columns_of_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", 2, "b")], ["doc_id", "text", "DOC_ID", "Text"])
     assert take(df, "doc_id", "text").first() == (1, "a")
