@@ -6,16 +6,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from .lists import ENTITIES
 from .urls import decode_url_py
 
-MAX_LINKS = 5000
+#: What a tag does, if it is more than to end a word. Of all others, known or not, nothing is kept.
+ACTIONS = {"!--": "comment", "a": "anchor", "base": "base", "embed": "embed", "html": "html", "meta": "meta", "title": "title"} | dict.fromkeys(("script", "style", "svg", "defs", "symbol"), "section")
 #: Tags whose content is dropped up to the end tag of the same name.
-SECTIONS = {"script", "style", "svg", "defs", "symbol"}
+SECTIONS = {t for t, a in ACTIONS.items() if a == "section"}
 PARSED = (
     StructType()
     .add("words", ArrayType(StringType()))
@@ -84,7 +85,14 @@ def attribute(doc: str, at: int, name: str) -> str:
     return ""
 
 
-def parse_html(doc: str | None) -> dict:
+def tag_action(name: str) -> str:
+    """comment, section, title, anchor, base, embed, meta, html or discard."""
+    return ACTIONS.get(name.lower(), "discard")
+
+
+def parse_html(doc: str | None, max_links: int | None = None) -> dict:
+    """words, title, links, metas, base and lang of a page, in one pass. Links beyond max_links are left out, if it is given."""
+    most = float("inf") if max_links is None else max_links
     out = {"words": [], "title": [], "links": [], "metas": {}, "base": "", "lang": ""}
     if not doc:
         return out
@@ -142,7 +150,7 @@ def parse_html(doc: str | None) -> dict:
             while True:
                 at = doc.find("</", at)
                 if at < 0:
-                    return _closed(out, link, in_anchor)
+                    return _closed(out, link, in_anchor, most)
                 got = _NAME.match(doc, at + 2).group()
                 if got.rstrip("/") == raw:
                     behind = _after(doc, at + 2)
@@ -154,18 +162,18 @@ def parse_html(doc: str | None) -> dict:
             in_title = not ending
         elif name == "a":
             if ending:
-                if in_anchor and len(out["links"]) < MAX_LINKS:
+                if in_anchor and len(out["links"]) < most:
                     out["links"].append(link)
                     link, in_anchor = {"url": "", "anchor": []}, False
             elif href := attribute(doc, start, "href"):
-                if in_anchor and len(out["links"]) < MAX_LINKS:
+                if in_anchor and len(out["links"]) < most:
                     out["links"].append(link)
                 link, in_anchor = {"url": decode_entities(decode_url_py(href)), "anchor": []}, True
         elif not ending and name == "base" and not based:
             out["base"], based = decode_entities(decode_url_py(attribute(doc, start, "href"))), True
         elif not ending and name == "embed":
             src = attribute(doc, start, "src")
-            if src and len(out["links"]) < MAX_LINKS:
+            if src and len(out["links"]) < most:
                 out["links"].append({"url": decode_entities(decode_url_py(src)), "anchor": []})
         elif not ending and name == "meta":
             key = attribute(doc, start, "name") or attribute(doc, start, "property")
@@ -178,20 +186,25 @@ def parse_html(doc: str | None) -> dict:
         if at < 0:
             return out
     take()
-    return _closed(out, link, in_anchor)
+    return _closed(out, link, in_anchor, most)
 
 
-def _closed(out: dict, link: dict, in_anchor: bool) -> dict:
-    if in_anchor and link["url"] and len(out["links"]) < MAX_LINKS:
+def _closed(out: dict, link: dict, in_anchor: bool, most: float) -> dict:
+    if in_anchor and link["url"] and len(out["links"]) < most:
         out["links"].append(link)
     return out
 
 
-@F.pandas_udf(PARSED)
-def parsed_html(docs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in docs:
-        rows = [parse_html(d) for d in s]
-        yield pd.DataFrame({k: [r[k] for r in rows] for k in PARSED.names})
+def parsed_html(html, max_links: int | None = None) -> Column:
+    """parse_html() of a column."""
+
+    @F.pandas_udf(PARSED)
+    def parsed(docs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in docs:
+            rows = [parse_html(d, max_links) for d in s]
+            yield pd.DataFrame({k: [r[k] for r in rows] for k in PARSED.names})
+
+    return parsed(html)
 
 
 @F.pandas_udf(StringType())
@@ -199,16 +212,21 @@ def decoded_entities(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else decode_entities(x))
 
 
-def page_documents(pages: DataFrame, allowed: tuple[str, ...] = ("en",), max_bytes: int = 2_097_152) -> DataFrame:
+def page_documents(pages: DataFrame, allowed: tuple[str, ...] = ("en",), max_bytes: int | None = None, max_links: int | None = None, blocked_hosts: tuple[str, ...] = ()) -> DataFrame:
     """The pages that are indexed, as documents: canonical URL, a title and words, an allowed language, no noindex. Links are those
-    that may be crawled (none under nofollow)."""
+    that may be crawled (none under nofollow, none to or under a blocked host). Where they are given, pages of more than max_bytes
+    are left out, and links beyond max_links. A null html or url, or one that isn't a URL, gives no document."""
     from .urls import absolute_link, blocked_path, canonical, language_ok, parse
 
-    p = pages.filter(F.octet_length("html") <= max_bytes).select(F.col("page_id").cast("long").alias("doc_id"), parse(F.col("url")).alias("u"), parsed_html("html").alias("h")).filter("u is not null")
+    if max_bytes is not None:
+        pages = pages.filter(F.octet_length("html") <= max_bytes)
+    p = pages.select(F.col("page_id").cast("long").alias("doc_id"), parse(F.col("url")).alias("u"), parsed_html("html", max_links).alias("h")).filter("u is not null")
     robots = F.transform(F.split(F.coalesce(F.try_element_at("h.metas", F.lit("robots")), F.lit("")), ","), F.trim)
     p = p.filter((F.size("h.title") > 0) & (F.size("h.words") > 0) & language_ok(F.col("h.lang"), allowed) & ~F.array_contains(robots, "noindex"))
     links = F.transform("h.links", lambda x: parse(absolute_link(F.col("u"), F.col("h.base"), x["url"])))
-    links = F.filter(links, lambda x: x.isNotNull() & ~blocked_path(x["path"]))
+    under = "|".join(re.escape(h.lower()) for h in sorted(blocked_hosts))
+    bad = (lambda x: F.lower(x["host"]).rlike(rf"(^|\.)({under})$")) if under else (lambda x: F.lit(False))
+    links = F.filter(links, lambda x: x.isNotNull() & ~blocked_path(x["path"]) & ~bad(x))
     return p.select(
         "doc_id",
         canonical(F.col("u")).alias("url"),

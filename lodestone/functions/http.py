@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .urls import language_ok, mime_ok
 
-#: Bytes of the largest page that is read.
-MAX_BYTES = 2_097_152
-
 
 def parse_response(head: Column) -> Column:
     """struct(status, headers) of a reply's head: headers by lower-case name, the last of a name counts; null without a status line."""
@@ -23,10 +20,10 @@ def parse_response(head: Column) -> Column:
     return F.when(status != "", F.struct(status.cast("int").alias("status"), last.alias("headers")))
 
 
-def acceptable(reply: Column, body: Column) -> Column:
-    """A page of an allowed type and language that isn't too large."""
+def acceptable(reply: Column, body: Column, max_bytes: int | None = None) -> Column:
+    """A page of an allowed type and language that isn't too large (of more than max_bytes, where that is given)."""
     h = lambda name: F.try_element_at(reply["headers"], F.lit(name))
-    return mime_ok(F.coalesce(h("content-type"), F.lit(""))) & language_ok(h("content-language")) & (F.coalesce(F.octet_length(body), F.lit(0)) <= MAX_BYTES)
+    return mime_ok(F.coalesce(h("content-type"), F.lit(""))) & language_ok(h("content-language")) & (F.lit(True) if max_bytes is None else F.coalesce(F.octet_length(body), F.lit(0)) <= max_bytes)
 
 
 def form_decode(s: Column) -> Column:

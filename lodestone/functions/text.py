@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column
@@ -78,6 +79,27 @@ def is_stop(t: Column, stop_words: frozenset[str]) -> Column:
     return found
 
 
+class StopWords:
+    """Stop words that may be changed while a program runs. current() is what the index and the queries take."""
+
+    def __init__(self, words: frozenset[str] = STOP_WORDS, enabled: bool = True):
+        self._words, self.enabled = set(words), enabled
+
+    def add(self, word: str) -> StopWords:
+        self._words.add(word)
+        return self
+
+    def remove(self, word: str) -> StopWords:
+        self._words.discard(word)
+        return self
+
+    def __contains__(self, word: str) -> bool:
+        return self.enabled and word in self._words
+
+    def current(self) -> frozenset[str]:
+        return frozenset(self._words) if self.enabled else frozenset()
+
+
 def terms(tokens: Column, body: bool, stop_words: frozenset[str] = STOP_WORDS) -> Column:
     """Normalised terms of an array of tokens, in order, without those that are dropped. Stop words go in the body only, after
     folding. Each step is an array of its own, so that what a step uses several times is computed once."""
@@ -116,23 +138,27 @@ def json_text(s: Column) -> Column:
     return F.to_json(F.struct(s.alias("v")))
 
 
-# the query's side: the driver has the query, so these are plain Python
+# plain Python, for queries (the driver has them) and for the different tokens of a batch
+
+
+_TAGS, _TAG_ENDS, _ENTITY = re.compile(r"[<{][^>}]*(?:[>}]|\Z)"), re.compile("[>}]"), re.compile("&[^;]*;")
+_MARKS = re.compile(rf"^[{SPACE}{PUNCT}]+|[{SPACE}{PUNCT}]+\Z")
+_REJECT, _CAPITALS = re.compile(r"^[0-9]*\Z|//|\||=|www\.|\.com"), re.compile("[A-Z]{2,}")
+_HEAD, _INNER, _LETTER, _FOLD = re.compile(f"^[{PUNCT}]+"), re.compile(f"[{PUNCT}]+"), re.compile("[A-Za-z]"), str.maketrans(UP, LOW)
 
 
 def normalize_py(token: str, body: bool, stop_words: frozenset[str] = STOP_WORDS) -> str | None:
-    import re
-
-    t = re.sub(r"[<{][^>}]*([>}]|$)", "", token)
-    t = re.sub("[>}]", "", t)
-    t = re.sub("&[^;]*;", "", t)
-    t = re.sub(f"^[{SPACE}{PUNCT}]+|[{SPACE}{PUNCT}]+$", "", t)
-    if re.search(r"^[0-9]*$|//|\||=|www\.|\.com", t) or len(t.encode()) > MAX_BYTES:
-        return None
-    if not re.fullmatch("[A-Z]{2,}", t):
-        t = t.translate(str.maketrans(UP, LOW))
-    t = re.sub(f"[{PUNCT}]+", " ", re.sub(f"^[{PUNCT}]+", "", t))
-    if not re.search("[A-Za-z]", t) or b"\x80" in t.encode() or b"\xff" in t.encode():
-        return None
+    """normalize() for one token. The index calls it once for each different token of a batch."""
+    t = token
+    if not (t.isascii() and t.isalpha() and t.islower() and len(t) <= MAX_BYTES):
+        t = _MARKS.sub("", _ENTITY.sub("", _TAG_ENDS.sub("", _TAGS.sub("", t))))
+        if _REJECT.search(t) or len(t.encode()) > MAX_BYTES:
+            return None
+        if not _CAPITALS.fullmatch(t):
+            t = t.translate(_FOLD)
+        t = _INNER.sub(" ", _HEAD.sub("", t))
+        if not _LETTER.search(t) or b"\x80" in t.encode() or b"\xff" in t.encode():
+            return None
     return None if body and t in stop_words else t
 
 

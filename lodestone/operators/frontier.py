@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,24 +51,32 @@ def round_robin(urls: DataFrame, passes: int | None = None) -> DataFrame:
     return (out.filter(F.col("turn") <= passes) if passes else out).orderBy("turn", "host")
 
 
-def random_pop(urls: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k URLs to crawl next: 90 % of those of a high score, each part a random sample of 1.5 times, of which the best."""
+def _lot(url: Column, seed: int) -> Column:
+    """A place in a random order that only the URL and the seed decide, so that a task that is done again draws alike."""
+    return F.md5(F.concat(url, F.lit(f"#{seed}")))
 
-    def part(rows: DataFrame, n: int) -> DataFrame:
-        return rows.orderBy(F.rand(seed)).limit(int(OVERSAMPLE * n)).orderBy(F.desc("score"), "url").limit(n)
 
+def random_pop(urls: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k URLs to crawl next (all if there are fewer): 90 % of those of a high score, each part the best of a random sample of 1.5
+    times as many. What one part lacks the other fills up, in its order."""
     good = round(k * GOOD_SHARE)
-    return part(urls.filter(F.col("score") >= GOOD), good).unionByName(part(urls.filter(F.col("score") < GOOD), k - good))
+    lot = _lot(F.col("url"), seed)
 
+    def part(rows: DataFrame, n: int, name: int) -> DataFrame:
+        drawn = rows.withColumn("_lot", lot).orderBy("_lot", "url").limit(max(int(OVERSAMPLE * n), k))
+        in_sample = F.row_number().over(Window.orderBy("_lot", "url")) <= int(OVERSAMPLE * n)  # of at most 1.5 k rows
+        drawn = drawn.withColumn("_in", in_sample.cast("int"))
+        place = F.row_number().over(Window.orderBy(F.desc("_in"), F.when(F.col("_in") == 1, -F.col("score")), F.when(F.col("_in") == 0, F.col("_lot")), "url"))
+        # a part's own come before what it lends to the other
+        return drawn.withColumn("_n", place).withColumn("_lent", (F.col("_n") > n).cast("int")).withColumn("_part", F.lit(name))
 
-def admit(urls: DataFrame, basis_points: int, seed: int = 0) -> DataFrame:
-    return urls.sample(basis_points / 10_000, seed)
+    both = part(urls.filter(F.col("score") >= GOOD), good, 0).unionByName(part(urls.filter(F.col("score") < GOOD), k - good, 1))
+    return both.orderBy("_lent", "_n", "_part").limit(k).drop("_lot", "_in", "_n", "_lent", "_part")
 
 
-def cooldown(requests: DataFrame, key: str, delay_ms: int) -> DataFrame:
-    """requests (key, ts_ms) with gap_ms since the key's last one, and ok: whether that is the delay at least."""
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy(key).orderBy("ts_ms", "event_id"))
-    return requests.withColumn("gap_ms", gap).withColumn("ok", gap.isNull() | (gap >= delay_ms))
+def admit(urls: DataFrame, basis_points: int, seed: int = 0) -> DataFrame:
+    """About basis_points in 10,000 of the URLs; which ones, the URL and the seed decide."""
+    return urls.filter(F.pmod(F.conv(F.substring(_lot(F.col("url"), seed), 1, 8), 16, 10).cast("long"), F.lit(10_000)) < basis_points)
 
 
 def limit_times(ts: list[int], count: int, window: int, start: int | None = None, used: int = 0) -> tuple[list[int], int | None, int]:
@@ -85,23 +94,49 @@ def limit_times(ts: list[int], count: int, window: int, start: int | None = None
     return out, start, used
 
 
-def rate_limit(requests: DataFrame, key: str, count: int = REQUESTS, window_ms: int = WINDOW_MS) -> DataFrame:
-    """event_id, key, wait_ms. Windows depend on the requests before, so each key's are walked through in order: sorted by
-    Spark and streamed, not held by key."""
+def cool_times(ts: list[int], delay: int, last: int | None = None) -> tuple[list[int], int | None]:
+    """For requests in order of time: 0 if let through, else how long until the delay since the last one let through is over; and
+    the last one let through."""
+    out = []
+    for t in ts:
+        wait = 0 if last is None else max(0, last + delay - t)
+        last = last if wait else t
+        out.append(wait)
+    return out, last
+
+
+def _in_order(requests: DataFrame, key: str, fresh_state: tuple, step) -> DataFrame:
+    """event_id, key, wait_ms by step(times, *state) -> waits, *state, for the requests (key, ts_ms, event_id) of each key in order
+    of time: sorted by Spark and streamed, not held by key. Of null keys or times nothing is said: null waits."""
     d = requests.select(F.col(key).cast("string").alias("key"), F.col("ts_ms").cast("long").alias("ts_ms"), F.col("event_id").cast("long").alias("event_id"))
+    null = d.filter("key is null or ts_ms is null").select("event_id", "key", F.lit(None).cast("long").alias("wait_ms"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, start, used = object(), None, 0
+        now, state = None, fresh_state
         for b in batches:
-            waits = []
-            for k, t in zip(b["key"], b["ts_ms"]):
-                if k != now:
-                    now, start, used = k, None, 0
-                w, start, used = limit_times([t], count, window_ms, start, used)
-                waits += w
-            yield pd.DataFrame({"event_id": b["event_id"], "key": b["key"], "wait_ms": pd.Series(waits, dtype="int64")})
-
-    return d.repartition("key").sortWithinPartitions("key", "ts_ms", "event_id").mapInPandas(walk, "event_id long, key string, wait_ms long")
+            keys, ts = b["key"].to_numpy(), b["ts_ms"].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(b)] if len(b) else [0]
+            waits: list[int] = []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if keys[i] != now:
+                    now, state = keys[i], fresh_state
+                got, *state = step(ts[i:j].tolist(), *state)
+                waits += got
+            yield pd.DataFrame({"event_id": b["event_id"], "key": b["key"], "wait_ms": pd.Series(waits, index=b.index, dtype="int64")})
+
+    known = d.filter("key is not null and ts_ms is not null")
+    return known.repartition("key").sortWithinPartitions("key", "ts_ms", "event_id").mapInPandas(walk, "event_id long, key string, wait_ms long").unionByName(null)
+
+
+def cooldown(requests: DataFrame, key: str, delay_ms: int) -> DataFrame:
+    """event_id, key, wait_ms: 0 where the key's last request that was let through is at least the delay ago."""
+    return _in_order(requests, key, (None,), lambda ts, last: cool_times(ts, delay_ms, last))
+
+
+def rate_limit(requests: DataFrame, key: str, count: int = REQUESTS, window_ms: int = WINDOW_MS) -> DataFrame:
+    """event_id, key, wait_ms: 0 for the first `count` requests of each window. A window begins with the first request after the one
+    before it ended."""
+    return _in_order(requests, key, (None, 0), lambda ts, start, used: limit_times(ts, count, window_ms, start, used))
 
 
 def dispatch(fetched: DataFrame) -> dict[str, DataFrame]:

@@ -1,43 +1,116 @@
-"""The inverted index as tables: tokens, postings, positions, term dictionary, document map and statistics."""
+"""The inverted index as tables: tokens, postings, positions, term dictionary, document map and statistics.
+
+All tokens of a document are in one row, so they are normalised, numbered and grouped there, in Arrow batches and without a
+shuffle. What is different in a batch is normalised once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lists import STOP_WORDS
-from ..functions.text import FLAGS, decorated, terms, url_words, words
+from ..functions.text import FLAGS, decorated, normalize_py, url_words
+from ..sources.store import discard, stored
 
-#: Postings between two sync points.
-SYNC = 128
-#: Positions are kept up to this one in a field.
+#: Postings between two sync points; ids in a piece of a posting list.
+SYNC, SPAN = 128, 1 << 20
+#: The compact policy keeps positions up to this one in a field.
 MAX_POSITION = 65_535
+#: Tokens that are grouped at a time, and normalised tokens that a task remembers.
+SLICE, KNOWN = 1 << 20, 1 << 19
+
+
+def _fields(docs: DataFrame, anchors: bool) -> tuple[DataFrame, list[str]]:
+    cols = [url_words(F.col("url")).alias("url"), F.col("title"), F.col("description").alias("desc"), F.col("words").alias("body")]
+    if anchors and "anchor_words" in docs.columns:
+        cols.append(F.col("anchor_words").alias("anchor"))
+    names = ["url", "title", "desc", "body", "anchor"][: len(cols)]
+    return docs.select("doc_id", *cols), names
+
+
+def _normalised(col: pa.Array, body: bool, stop_words: frozenset[str], known: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each token that is left of the lists: its row, and its place among the different terms, which come last."""
+    n = np.asarray(col.value_lengths().fill_null(0))
+    enc = col.flatten().dictionary_encode()
+    if len(known) > KNOWN:
+        known.clear()
+    names: dict[str, int] = {}
+    to = np.full(len(enc.dictionary) + 1, -1, np.int64)  # the last one is for null
+    for i, w in enumerate(enc.dictionary.to_pylist()):
+        t = known.get(w, w)
+        if t is w:
+            t = known[w] = normalize_py(w, False)
+        if t is not None and not (body and t in stop_words):
+            to[i] = names.setdefault(t, len(names))
+    code = to[np.asarray(enc.indices.fill_null(len(to) - 1), np.int64)] if len(enc) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    keep = code >= 0
+    return row[keep], code[keep], pa.array(list(names), pa.string())
+
+
+def _numbers(row: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of a row."""
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    return np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+
+
+def _pass(docs: DataFrame, anchors: bool, stop_words: frozenset[str], make, schema: str) -> DataFrame:
+    """make(doc_ids, row, pos, code, terms, field) for each field of each slice of the documents."""
+    d, names = _fields(docs, anchors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
+        for b in batches:
+            size = np.cumsum(sum(np.asarray(b.column(f).value_lengths().fill_null(0)) for f in names))
+            lo = 0
+            while lo < b.num_rows:
+                # whole documents, one at least
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, "right")))
+                part = b.slice(lo, hi - lo)
+                lo = hi
+                for f in names:
+                    row, code, terms = _normalised(part.column(f), f == "body", stop_words, known)
+                    if len(row):
+                        yield make(part.column("doc_id"), row, _numbers(row), code, terms, f)
+
+    return d.mapInArrow(run, schema)
 
 
 def tokens(docs: DataFrame, anchors: bool = False, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
     """doc_id, field, token, pos: pos counts the tokens of a field that are left after normalisation. Needs no shuffle."""
-    field = lambda name, arr: F.struct(F.lit(name).alias("field"), arr.alias("ts"))
-    fields = [
-        field("url", terms(url_words(F.col("url")), False)),
-        field("title", terms(F.flatten(F.transform("title", words)), False)),
-        field("desc", terms(F.flatten(F.transform("description", words)), False)),
-        field("body", terms(F.col("words"), True, stop_words)),
-    ]
-    if anchors and "anchor_words" in docs.columns:
-        fields.append(field("anchor", terms(F.col("anchor_words"), False)))
-    return docs.select("doc_id", F.explode(F.array(*fields)).alias("f")).select("doc_id", "f.field", F.posexplode("f.ts").alias("pos", "token")).select("doc_id", "field", "token", "pos")
 
+    def make(ids, row, pos, code, terms, field):
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.repeat(field, len(row)), terms.take(pa.array(code)), pa.array(pos.astype(np.int32))], names=["doc_id", "field", "token", "pos"])
 
-def postings(toks: DataFrame) -> DataFrame:
-    """field, token, doc_id, freq."""
-    return toks.groupBy("field", "token", "doc_id").agg(F.count("*").alias("freq"))
+    return _pass(docs, anchors, stop_words, make, "doc_id long, field string, token string, pos int")
 
 
-def positions(toks: DataFrame) -> DataFrame:
-    """field, token, doc_id, freq, positions (sorted, all of them): postings and positions of one aggregation."""
-    return toks.groupBy("field", "token", "doc_id").agg(F.count("*").alias("freq"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def positions(docs: DataFrame, anchors: bool = False, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
+    """field, token, doc_id, freq, positions (sorted, all of them), one row for each term of a document. Needs no shuffle: doc_ids
+    are of one row each. Rows with a null doc_id are as one document each."""
+
+    def make(ids, row, pos, code, terms, field):
+        key = row * len(terms) + code
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        cuts = np.append(first, len(key))
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+        cols = [pa.repeat(field, len(first)), terms.take(pa.array(key[first] % len(terms))), ids.take(pa.array(key[first] // len(terms))), pa.array(np.diff(cuts)), lists]
+        return pa.RecordBatch.from_arrays(cols, names=["field", "token", "doc_id", "freq", "positions"])
+
+    return _pass(docs, anchors, stop_words, make, "field string, token string, doc_id long, freq long, positions array<int>")
+
+
+def postings(docs: DataFrame, **how) -> DataFrame:
+    """field, token, doc_id, freq."""
+    return positions(docs, **how).drop("positions")
 
 
 def term_dict(post: DataFrame) -> DataFrame:
@@ -51,6 +124,7 @@ def doc_map(docs: DataFrame) -> DataFrame:
         "doc_id",
         "url",
         F.concat_ws(" ", "title").alias("title"),
+        F.col("title").alias("title_words"),
         F.size("words").alias("body_len"),
         F.size("title").alias("title_len"),
         F.size(url_words(F.col("url"))).alias("url_len"),
@@ -96,22 +170,47 @@ def field_flags(post: DataFrame) -> DataFrame:
     return post.groupBy("token", "doc_id").agg(F.bit_or(bit).alias("flags"))
 
 
-def deltas(post: DataFrame) -> DataFrame:
-    """Postings with the gap to the document before in the list of the term."""
-    w = Window.partitionBy("field", "token").orderBy("doc_id")
-    return post.withColumn("delta", F.col("doc_id") - F.lag("doc_id", 1, 0).over(w))
+def _pieces(rows: DataFrame, order: str, span: int, *sums) -> DataFrame:
+    """For each piece (ids of one multiple of span) of each list: sums over the piece, to carry on to the next ones."""
+    return rows.groupBy("field", "token", F.floor(F.col(order) / span).alias("piece")).agg(*sums)
+
 
+_LIST, _PIECE = ("field", "token"), ("field", "token", "piece")
 
-def undelta(gaps: DataFrame, order: str = "n") -> DataFrame:
-    """The inverse of deltas, for gaps numbered by `order`."""
-    w = Window.partitionBy("field", "token").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.withColumn("doc_id", F.sum("delta").over(w))
 
+def _carried(rows: DataFrame, before: DataFrame, order: str, span: int) -> DataFrame:
+    return rows.withColumn("piece", F.floor(F.col(order) / span)).join(before, list(_PIECE))
 
-def sync_points(post: DataFrame, every: int = SYNC) -> DataFrame:
-    """The first of every `every` postings of a term: field, token, n (its number), doc_id."""
-    w = Window.partitionBy("field", "token").orderBy("doc_id")
-    return post.withColumn("n", F.row_number().over(w) - 1).filter(F.col("n") % every == 0).select("field", "token", "n", "doc_id")
+
+def deltas(post: DataFrame, span: int = SPAN) -> DataFrame:
+    """Postings with the gap to the document before in the list of the term. A list is cut into pieces of `span` ids, each of which
+    knows the last id before it, so that no task has a common term's whole list."""
+    last = F.lag("last", 1, 0).over(Window.partitionBy(*_LIST).orderBy("piece"))
+    before = _pieces(post, "doc_id", span, F.max("doc_id").alias("last")).select(*_PIECE, last.alias("before"))
+    w = Window.partitionBy(*_PIECE).orderBy("doc_id")
+    d = _carried(post, before, "doc_id", span)
+    return d.withColumn("delta", F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), "before")).drop("piece", "before")
+
+
+def _before(pieces: DataFrame, what: str) -> DataFrame:
+    w = Window.partitionBy(*_LIST).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.select(*_PIECE, F.coalesce(F.sum(what).over(w), F.lit(0)).alias("before"))
+
+
+def undelta(gaps: DataFrame, order: str = "n", span: int = SPAN) -> DataFrame:
+    """The inverse of deltas, for gaps numbered by `order`: sums within pieces of `span` numbers, and of the pieces before."""
+    before = _before(_pieces(gaps, order, span, F.sum("delta").alias("sum")), "sum")
+    w = Window.partitionBy(*_PIECE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = _carried(gaps, before, order, span)
+    return d.withColumn("doc_id", F.col("before") + F.sum("delta").over(w)).drop("piece", "before")
+
+
+def sync_points(post: DataFrame, every: int = SYNC, span: int = SPAN) -> DataFrame:
+    """The first of every `every` postings of a term: field, token, n (its number), doc_id. Numbered by pieces, as in deltas."""
+    before = _before(_pieces(post, "doc_id", span, F.count("*").alias("k")), "k")
+    w = Window.partitionBy(*_PIECE).orderBy("doc_id")
+    d = _carried(post, before, "doc_id", span).withColumn("n", F.col("before") + F.row_number().over(w) - 1)
+    return d.filter(F.col("n") % every == 0).select("field", "token", "n", "doc_id")
 
 
 def top_terms(tdict: DataFrame, k: int = 20) -> DataFrame:
@@ -138,15 +237,31 @@ class Index:
     stats: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, compact: bool = False, **how) -> Index:
-        pos = positions(tokens(docs, **how))
+    def build(cls, docs: DataFrame, compact: bool = False, ranks: DataFrame | None = None, **how) -> Index:
+        """Lazy: what is asked of it tokenises the documents anew. ranks (node: a url, std_rank) are the documents' PageRank."""
+        return cls._of(docs, positions(docs, **how), compact, ranks)
+
+    @classmethod
+    def _of(cls, docs: DataFrame, pos: DataFrame, compact: bool, ranks: DataFrame | None) -> Index:
         kept = stored_positions(pos).withColumn("positions", F.filter("positions", lambda p: p <= MAX_POSITION)) if compact else pos
-        return cls(docs, kept, term_dict(pos), doc_map(docs), stats(doc_map(docs)))
+        dmap = doc_map(docs)
+        if ranks is not None:
+            r = ranks.select(F.col("node").alias("url"), F.col("std_rank").alias("_r"))
+            dmap = dmap.drop("pagerank").join(r, "url", "left").withColumn("pagerank", F.coalesce("_r", F.lit(0.0))).select(*dmap.columns)
+        return cls(docs, kept, term_dict(pos), dmap, stats(dmap))
+
+    @classmethod
+    def create(cls, docs: DataFrame, path: str, compact: bool = False, ranks: DataFrame | None = None, **how) -> Index:
+        """Builds an index and stores it at path; the documents are tokenised once."""
+        pos = stored(positions(docs, **how))
+        cls._of(docs, pos, compact, ranks).write(path)
+        discard(pos)
+        return cls.read(docs.sparkSession, path)
 
     def write(self, path: str) -> None:
         """Positions by range of term and sorted, so that a term's rows lie in few row groups, which their statistics name."""
-        self.positions.withColumn("term", decorated(F.col("field"), F.col("token"))).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/positions")
-        self.term_dict.withColumn("term", decorated(F.col("field"), F.col("token"))).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        self.positions.repartitionByRange("token", "field", "doc_id").sortWithinPartitions("token", "field", "doc_id").write.parquet(f"{path}/positions")
+        self.term_dict.withColumn("term", decorated(F.col("field"), F.col("token"))).repartitionByRange("token", "field").sortWithinPartitions("token", "field").write.parquet(f"{path}/terms")
         self.doc_map.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/documents")
         self.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/texts")
         self.stats.coalesce(1).write.parquet(f"{path}/stats")

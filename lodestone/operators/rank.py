@@ -72,8 +72,7 @@ def features(index: Index, query: str, docs: DataFrame) -> DataFrame:
     one = index.stats.crossJoin(df.agg(*[F.coalesce(F.max(F.when(F.col("token") == w, F.col("doc_freq"))), F.lit(0)).alias(f"df{i}") for i, w in enumerate(names)] or [F.lit(0).alias("df")]))
     d = (
         docs.select("doc_id").join(by_doc, "doc_id", "left")
-        .join(index.doc_map.select("doc_id", "body_len", "pagerank"), "doc_id", "left")
-        .join(index.docs.select("doc_id", "url", F.col("title").alias("title_words")), "doc_id", "left")
+        .join(index.doc_map.select("doc_id", "body_len", "pagerank", "url", "title_words"), "doc_id", "left")
         .crossJoin(F.broadcast(one))
     )
     url, title = F.col("url"), ascii_lower(F.array_join("title_words", ""))

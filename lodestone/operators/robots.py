@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
 
-MAX_BYTES, MAX_SEGMENTS, MAX_PATTERN = 500 * 1024, 50, 2048
+MAX_SEGMENTS, MAX_PATTERN = 50, 2048
 #: Milliseconds: least and most delay between requests.
 DELAY, MAX_DELAY = 1000, 30_000
 #: Hours that rules are kept, and that a failure to get them is.
@@ -21,10 +21,12 @@ def parse_line(line: Column) -> Column:
     return F.when(line.rlike(pattern) & (value != ""), F.struct(F.regexp_extract(line, pattern, 1).alias("directive"), value.alias("value")))
 
 
-def rules(files: DataFrame, agent: str) -> DataFrame:
+def rules(files: DataFrame, agent: str, max_bytes: int | None = None) -> DataFrame:
     """host, type (disallow, allow, crawl-delay), value, n (line) for our agent: all groups for * or the agent count together. files
-    has host and txt; what is beyond MAX_BYTES isn't read."""
-    lines = files.select("host", F.posexplode(F.split(F.substring("txt", 1, MAX_BYTES), r"[\r\n]")).alias("n", "line")).select("host", "n", parse_line(F.col("line")).alias("l")).filter("l is not null")
+    has host and txt; of a file of more than max_bytes, where that is given, the rest isn't read (500 KiB is usual). A null txt has
+    no rules."""
+    txt = F.col("txt") if max_bytes is None else F.make_valid_utf8(F.substring(F.encode("txt", "UTF-8"), 1, max_bytes).cast("string"))
+    lines = files.select("host", F.posexplode(F.split(txt, r"[\r\n]")).alias("n", "line")).select("host", "n", parse_line(F.col("line")).alias("l")).filter("l is not null")
     kind = ascii_lower(F.col("l.directive"))
     w = Window.partitionBy("host").orderBy("n")
     d = lines.select("host", "n", kind.alias("type"), F.col("l.value").alias("value"))

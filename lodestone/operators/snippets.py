@@ -68,11 +68,13 @@ def highlight(snip: Column, query: str) -> Column:
     return out
 
 
-def result_json(results: DataFrame, total: int, time_ms: int) -> DataFrame:
-    """One row: the results (doc_id, url, title, snippet, score), best first, as the JSON an interface reads."""
+def result_json(results: DataFrame, total: int | DataFrame, time_ms: int) -> DataFrame:
+    """One row: the results (doc_id, url, title, snippet, score), best first, as the JSON an interface reads. total: how many
+    documents match, or the matches, which are counted."""
     one = F.struct(F.col("doc_id").alias("id"), "url", "title", "snippet")
     rows = results.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("doc_id")).alias("d"), one.alias("r")))), lambda x: x["r"]).alias("results"))
-    return rows.select(F.to_json(F.struct("results", F.lit(total).alias("total"), F.lit(time_ms).alias("time_ms"))).alias("json"))
+    rows = rows.withColumn("total", F.lit(total)) if isinstance(total, int) else rows.crossJoin(F.broadcast(total.agg(F.count("*").alias("total"))))
+    return rows.select(F.to_json(F.struct("results", "total", F.lit(time_ms).alias("time_ms"))).alias("json"))
 
 
 def calculate(spark: SparkSession, query: str) -> float | None:

@@ -13,7 +13,8 @@ from ..functions.text import LOW, PUNCT, SPACE, UP, normalize_py, ranking_tokens
 from ..functions.url_rank import crawl_rank, static_rank
 from ..operators import frontier, graph, metrics, rank, robots, snippets
 from ..operators import index as ix
-from ..sources.corpus import table, text_documents
+from ..sources.corpus import spread, table, text_documents
+from ..sources.store import new_path
 from . import query as ql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,31 +40,46 @@ DOCS = f"""d AS (SELECT doc_id, 'https://' || source || '.example.com/' || lang
   {_words("split_part(coalesce(text, ''), chr(10), 1)")}[1:15] AS title, {_words("split_part(coalesce(text, ''), chr(10), 2)")} AS description,
   {_words("text")} AS words FROM documents)"""
 _urlw = r"list_filter(regexp_split_to_array(coalesce(url, ''), '[/.\-_?&=]+'), lambda w: w <> '')"
-TOK = f"""{DOCS},
-raw AS (SELECT doc_id, field, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (
+_RAW = f"""raw AS (SELECT doc_id, field, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (
   SELECT doc_id, 'url' AS field, {_urlw} AS ts FROM d UNION ALL SELECT doc_id, 'title', title FROM d
-  UNION ALL SELECT doc_id, 'desc', description FROM d UNION ALL SELECT doc_id, 'body', words FROM d)),
-n1 AS (SELECT doc_id, field, i, regexp_replace(regexp_replace(regexp_replace(t, '[<{{][^>}}]*([>}}]|$)', '', 'g'), '[>}}]', '', 'g'), '&[^;]*;', '', 'g') AS t FROM raw),
+  UNION ALL SELECT doc_id, 'desc', description FROM d UNION ALL SELECT doc_id, 'body', words FROM d @MORE))"""
+_STEPS = f"""n1 AS (SELECT doc_id, field, i, regexp_replace(regexp_replace(regexp_replace(t, '[<{{][^>}}]*([>}}]|$)', '', 'g'), '[>}}]', '', 'g'), '&[^;]*;', '', 'g') AS t FROM raw),
 n2 AS (SELECT doc_id, field, i, regexp_replace(t, '^[{SPACE}{PUNCT}]+|[{SPACE}{PUNCT}]+$', '', 'g') AS t FROM n1),
 n3 AS (SELECT doc_id, field, i, CASE WHEN regexp_matches(t, '^[A-Z]{{2,}}$') THEN t ELSE translate(t, '{UP}', '{LOW}') END AS t
        FROM n2 WHERE NOT (regexp_matches(t, '^[0-9]*$|//|\\||=|www\\.|\\.com') OR strlen(t) > 64)),
 n4 AS (SELECT doc_id, field, i, regexp_replace(regexp_replace(t, '^[{PUNCT}]+', ''), '[{PUNCT}]+', ' ', 'g') AS token FROM n3),
 tok AS (SELECT doc_id, field, token, row_number() OVER (PARTITION BY doc_id, field ORDER BY i) - 1 AS pos FROM n4
         WHERE regexp_matches(token, '[A-Za-z]') AND NOT regexp_matches(hex(encode(token)), '^(..)*(80|FF)') AND NOT (field = 'body' AND token IN ({_q(STOP_WORDS)})))"""
+TOK = f"{DOCS}, {_RAW.replace('@MORE', '')}, {_STEPS}"
 POST = f"{TOK}, post AS (SELECT field, token, doc_id, count(*) AS freq FROM tok GROUP BY field, token, doc_id)"
 DICT = f"{POST}, dict AS (SELECT field, token, count(*) AS doc_freq, sum(freq)::BIGINT AS total_freq, round(avg(freq), 6) AS avg_freq FROM post GROUP BY field, token)"
 MAP = f"""{DOCS}, map AS (SELECT doc_id, url, array_to_string(title, ' ') AS title, len(words) AS body_len, len(title) AS title_len,
   len({_urlw}) AS url_len, len(description) AS desc_len, length(url) AS url_chars FROM d)"""
 
 
-def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    d = text_documents(spark, sf)
-    # a table in one file is one task otherwise
-    return d.repartition(spark.sparkContext.defaultParallelism) if d.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else d
+_docs = text_documents
+_stored: dict[tuple, str] = {}
 
 
 def _index(spark: SparkSession, sf: str) -> ix.Index:
-    return ix.Index.build(_docs(spark, sf))
+    """The stored index of the documents: built by the first query of a session that asks for it, read by all others. A table that
+    has changed since gets one of its own."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    state = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jvm)
+    key = spark.sparkContext.applicationId, sf, state.getModificationTime(), state.getLen()
+    if key not in _stored:
+        path = new_path(spark, "index")
+        ix.Index.create(_docs(spark, sf), path)
+        _stored[key] = path
+    return ix.Index.read(spark, _stored[key])
+
+
+def _postings(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).positions.select("field", "token", "doc_id", "freq")
+
+
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).term_dict
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,17 +96,17 @@ def _(spark, sf):
 
 @query("term_freq", f"WITH {POST} SELECT field, token, doc_id, freq FROM post")
 def _(spark, sf):
-    return ix.postings(_tokens(spark, sf))
+    return ix.postings(_docs(spark, sf))
 
 
 @query("doc_freq", f"WITH {DICT} SELECT field, token, doc_freq, total_freq FROM dict")
 def _(spark, sf):
-    return ix.term_dict(ix.postings(_tokens(spark, sf))).select("field", "token", "doc_freq", "total_freq")
+    return ix.term_dict(ix.postings(_docs(spark, sf))).select("field", "token", "doc_freq", "total_freq")
 
 
 @query("term_avg_freq", f"WITH {DICT} SELECT field, token, avg_freq FROM dict")
 def _(spark, sf):
-    return ix.term_dict(ix.postings(_tokens(spark, sf))).select("field", "token", F.round("avg_freq", 6).alias("avg_freq"))
+    return _terms(spark, sf).select("field", "token", F.round("avg_freq", 6).alias("avg_freq"))
 
 
 @query("doc_term_count", f"WITH {TOK} SELECT doc_id, count(*) AS terms, count(DISTINCT token) AS distinct_terms FROM tok GROUP BY doc_id")
@@ -100,7 +116,7 @@ def _(spark, sf):
 
 @query("top_terms", f"WITH {DICT} SELECT field, token, doc_freq, total_freq FROM dict ORDER BY doc_freq DESC, field, token LIMIT 20")
 def _(spark, sf):
-    return ix.top_terms(ix.term_dict(ix.postings(_tokens(spark, sf))))
+    return ix.top_terms(_terms(spark, sf))
 
 
 @query(
@@ -110,7 +126,7 @@ def _(spark, sf):
         SELECT bucket, terms, round(100.0::DOUBLE * terms / sum(terms) OVER (), 4) AS percent FROM h""",
 )
 def _(spark, sf):
-    return ix.df_histogram(ix.term_dict(ix.postings(_tokens(spark, sf))))
+    return ix.df_histogram(_terms(spark, sf))
 
 
 @query("doc_map", f"WITH {MAP} SELECT doc_id, url, title, body_len, title_len, url_len, desc_len, url_chars FROM map")
@@ -121,7 +137,7 @@ def _(spark, sf):
 
 @query("doc_lookup", f"WITH {MAP} SELECT doc_id, url FROM map WHERE url = 'https://src1.example.com/en/1'")
 def _(spark, sf):
-    return ix.doc_map(_docs(spark, sf)).filter(F.col("url") == "https://src1.example.com/en/1").select("doc_id", "url")
+    return _index(spark, sf).doc_map.filter(F.col("url") == "https://src1.example.com/en/1").select("doc_id", "url")
 
 
 @query(
@@ -148,7 +164,7 @@ def _(spark, sf):
 
 @query("positions_w1", f"WITH {TOK} SELECT field, token, doc_id, count(*) AS freq, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok GROUP BY field, token, doc_id")
 def _(spark, sf):
-    p = ix.positions(_tokens(spark, sf))
+    p = ix.positions(_docs(spark, sf))
     return p.select("field", "token", "doc_id", "freq", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
@@ -158,22 +174,22 @@ _KEEP = f"""CASE WHEN field IN ('title', 'desc') THEN true WHEN field = 'url' TH
 
 @query("position_policy", f"WITH {POST}, t AS (SELECT *, (sum(freq) OVER (PARTITION BY doc_id))::BIGINT AS doc_total FROM post) SELECT field, token, doc_id, freq FROM t WHERE {_KEEP}")
 def _(spark, sf):
-    return ix.stored_positions(ix.postings(_tokens(spark, sf))).select("field", "token", "doc_id", "freq")
+    return ix.stored_positions(_postings(spark, sf)).select("field", "token", "doc_id", "freq")
 
 
 @query("field_flags", f"WITH {POST} SELECT token, doc_id, sum(DISTINCT CASE field WHEN 'body' THEN 1 WHEN 'title' THEN 2 WHEN 'url' THEN 4 ELSE 16 END)::BIGINT AS flags FROM post GROUP BY token, doc_id")
 def _(spark, sf):
-    return ix.field_flags(ix.postings(_tokens(spark, sf))).withColumn("flags", F.col("flags").cast("long"))
+    return ix.field_flags(_postings(spark, sf)).withColumn("flags", F.col("flags").cast("long"))
 
 
 @query("posting_deltas", f"WITH {POST} SELECT field, token, doc_id, freq, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY field, token ORDER BY doc_id) AS delta FROM post")
 def _(spark, sf):
-    return ix.deltas(ix.postings(_tokens(spark, sf)))
+    return ix.deltas(_postings(spark, sf))
 
 
 @query("posting_undelta", f"WITH {POST} SELECT field, token, doc_id FROM post")
 def _(spark, sf):
-    gaps = ix.deltas(ix.postings(_tokens(spark, sf))).withColumnRenamed("doc_id", "n").drop("freq")
+    gaps = ix.deltas(_postings(spark, sf)).withColumnRenamed("doc_id", "n").drop("freq")
     return ix.undelta(gaps).select("field", "token", "doc_id")
 
 
@@ -182,7 +198,7 @@ def _(spark, sf):
     f"WITH {POST}, r AS (SELECT field, token, doc_id, row_number() OVER (PARTITION BY field, token ORDER BY doc_id) - 1 AS n FROM post) SELECT field, token, n, doc_id FROM r WHERE n % 128 = 0",
 )
 def _(spark, sf):
-    return ix.sync_points(ix.postings(_tokens(spark, sf))).withColumn("n", F.col("n").cast("long"))
+    return ix.sync_points(_postings(spark, sf)).withColumn("n", F.col("n").cast("long"))
 
 
 @query("term_scan", f"WITH {POST} SELECT field, doc_id, freq FROM post WHERE token = 'thon'")
@@ -442,15 +458,34 @@ def _(spark, sf):
     return p.filter(urls.language_ok(F.col("lang")))
 
 
-@query("html_words")
+# what the pages have: no section but style and script, no entity but these, no link but plain ones
+_UNTAG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<style>.*?</style>|<script>.*?</script>', ' ', 'g'), '(?s)<title>.*?</title>', ' ', 'g'), '(?s)<[^>]*(>|$)', ' ', 'g')"
+_ENTITY = lambda c: f"replace(replace(replace(replace({c}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+_PWORDS = _words(_ENTITY(_UNTAG))
+_HREF = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
+
+
+@query("html_words", f"SELECT page_id, len(w)::BIGINT AS n_words, md5(array_to_string(w, ' ')) AS words_md5, len({_HREF})::BIGINT AS n_links FROM (SELECT page_id, html, {_PWORDS} AS w FROM pages)")
 def _(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", html.parsed_html("html").alias("h"))
-    return p.select("page_id", F.size("h.words").alias("n_words"), F.md5(F.array_join("h.words", " ")).alias("words_md5"), F.size("h.links").alias("n_links"))
+    p = spread(table(spark, sf, "pages")).select("page_id", html.parsed_html("html").alias("h"))
+    return p.select("page_id", F.size("h.words").cast("long").alias("n_words"), F.md5(F.array_join("h.words", " ")).alias("words_md5"), F.size("h.links").cast("long").alias("n_links"))
+
+
+_LANG = "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)"
+# pages as documents; links begin with / in all of them
+PDOCS = f"""{PARSE}, pd AS (SELECT page_id AS doc_id, canonical AS url, {_words(_TITLE)} AS title, [] AS description, {_PWORDS} AS words, {_LANG} AS lang, site, html FROM can),
+pe AS (SELECT * FROM pd WHERE len(title) > 0 AND len(words) > 0)"""
+_ANCHORS = f"""UNION ALL SELECT doc_id, 'anchor', flatten(list_transform(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), lambda a: {_words(_ENTITY("a"))})) FROM d"""
+PTOK = f"{PDOCS}, d AS (SELECT * FROM pe WHERE regexp_matches(lower(lang), '^(en([-_].*)?)?$')), {_RAW.replace('@MORE', _ANCHORS)}, {_STEPS}"
 
 
-@query("page_index")
+@query(
+    "page_index",
+    f"""WITH {PTOK}, post AS (SELECT field, token, doc_id, count(*) AS freq FROM tok GROUP BY field, token, doc_id)
+        SELECT field, token, count(*) AS doc_freq, sum(freq)::BIGINT AS total_freq FROM post GROUP BY field, token""",
+)
 def _(spark, sf):
-    i = ix.Index.build(html.page_documents(table(spark, sf, "pages")), anchors=True)
+    i = ix.Index.build(html.page_documents(spread(table(spark, sf, "pages"))), anchors=True)
     return i.term_dict.select("field", "token", "doc_freq", "total_freq")
 
 
@@ -501,17 +536,44 @@ def _(spark, sf):
     return frontier.round_robin(frontier.score(frontier.fresh(table(spark, sf, "pages")))).select("url", "host", F.col("turn").cast("long").alias("turn"))
 
 
-@query("url_dedupe", f"WITH {PARSE} SELECT DISTINCT canonical AS url FROM can")
+# all URLs that a crawl meets: the pages' and those they link to, most of them many times
+_MET = f"""{PARSE.replace("p AS (SELECT page_id, url, html FROM pages)", """p0 AS (SELECT page_id, url, html, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS s FROM pages),
+p AS (SELECT page_id, url, html FROM p0 UNION ALL SELECT page_id, s || unnest(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: starts_with(h, '/') AND NOT starts_with(h, '//'))), '' FROM p0)""")}"""
+
+
+def _met(pages: DataFrame) -> DataFrame:
+    """url: of pages and of their links."""
+    p = pages.select("url", urls.parse(F.col("url")).alias("u"), html.parsed_html("html").alias("h")).filter("u is not null")
+    links = F.transform("h.links", lambda x: urls.absolute_link(F.col("u"), F.col("h.base"), x["url"]))
+    return p.select(F.explode(F.concat(F.array("url"), links)).alias("url")).filter("url is not null")
+
+
+_FRESH = f"WITH {_MET} SELECT DISTINCT canonical AS url FROM can WHERE length(url) BETWEEN 10 AND 2048 AND regexp_matches(url, '^[!-~]+$') AND NOT starts_with(bp, '/search')"
+
+
+@query("url_dedupe", _FRESH)
 def _(spark, sf):
-    return frontier.fresh(table(spark, sf, "pages")).select("url")
+    return frontier.fresh(_met(spread(table(spark, sf, "pages")))).select("url")
 
 
-@query("random_pop")
+def _pop_sql(k: int) -> str:
+    good = round(k * frontier.GOOD_SHARE)
+    parts = []
+    for n, name, cond in ((good, 0, "score >= 90"), (k - good, 1, "score < 90")):
+        most = int(frontier.OVERSAMPLE * n)
+        parts.append(
+            f"""SELECT url, score, n, n > {n} AS lent, {name} AS part FROM (SELECT *, row_number() OVER (ORDER BY i DESC, CASE WHEN i = 1 THEN -score END, CASE WHEN i = 0 THEN lot END, url) AS n
+            FROM (SELECT *, CASE WHEN r <= {most} THEN 1 ELSE 0 END AS i FROM (SELECT *, row_number() OVER (ORDER BY lot, url) AS r FROM lots WHERE {cond}) WHERE r <= {max(most, k)}))"""
+        )
+    return f"WITH {_SCORED}, lots AS (SELECT url, score, md5(url || '#0') AS lot FROM sc WHERE score >= 0), both_ AS ({' UNION ALL '.join(parts)}) SELECT url, score FROM both_ ORDER BY lent, n, part LIMIT {k}"
+
+
+@query("random_pop", _pop_sql(50))
 def _(spark, sf):
-    return frontier.random_pop(frontier.score(frontier.fresh(table(spark, sf, "pages"))), 50).select("url", "score")
+    return frontier.random_pop(frontier.score(frontier.fresh(table(spark, sf, "pages"))), 50).select("url", F.col("score").cast("long").alias("score"))
 
 
-@query("admission_sample")
+@query("admission_sample", f"WITH {PARSE}, s AS (SELECT DISTINCT canonical AS url FROM can) SELECT url FROM s WHERE ('0x' || substr(md5(url || '#0'), 1, 8))::BIGINT % 10000 < 5000")
 def _(spark, sf):
     return frontier.admit(frontier.fresh(table(spark, sf, "pages")), 5000).select("url")
 
@@ -556,14 +618,40 @@ def _(spark, sf):
     return graph.standardized(ranks).select("node", F.round("std_rank", 6).alias("std_rank"))
 
 
-@query("pagerank_converged")
+def _converged(edges: str) -> str:
+    """The steps until one changes the ranks by less than 1 / N, whose result isn't taken, 100 at most."""
+    return f"""RECURSIVE {edges}, r(k, node, rank, moved) AS (SELECT 0, node, 1.0::DOUBLE / c, 2.0::DOUBLE FROM n, c UNION ALL
+  SELECT k + 1, node, now, sum(abs(now - rank)) OVER () FROM (
+    SELECT r.k, r.node, r.rank, 0.15::DOUBLE / c + 0.85::DOUBLE * coalesce(g, 0) AS now FROM r LEFT JOIN (SELECT dst AS node, sum(rank * w) AS g FROM w JOIN r ON r.node = w.src GROUP BY dst) USING (node), c
+    WHERE r.k < {graph.MOST} AND r.moved >= 1 / c)),
+last AS (SELECT max(k) - CASE WHEN min(moved) < 1 / any_value(c) THEN 1 ELSE 0 END AS k FROM r, c)"""
+
+
+@query("pagerank_converged", f"WITH {_converged(_N)} SELECT node, round(rank, 9) AS rank FROM r JOIN last USING (k)")
 def _(spark, sf):
     return graph.pagerank(_edges(spark, sf)).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query("link_graph")
+_PEDGES = f"""{PDOCS}, le AS (SELECT DISTINCT url AS src, site || regexp_replace(regexp_replace(h, '#.*$', ''), '/+', '/', 'g') AS dst FROM (
+  SELECT url, site, unnest({_HREF}) AS h FROM pe WHERE regexp_matches(lower(lang), '^((en|de|fr|es)([-_].*)?)?$')) WHERE starts_with(h, '/') AND NOT starts_with(h, '//') AND NOT starts_with(h, '/search')),
+e AS (SELECT src, dst FROM le)"""
+_PN = _PEDGES + _N[len(_EDGES) :]
+
+
+@query("link_graph", f"WITH {_converged(_PN)} SELECT node, round(rank, 9) AS rank FROM r JOIN last USING (k)")
+def _(spark, sf):
+    pages = html.page_documents(spread(table(spark, sf, "pages")), allowed=("en", "de", "fr", "es"))
+    return graph.pagerank(graph.link_edges(pages)).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query(
+    "domain_ranks",
+    f"""WITH {_converged(_PEDGES.replace("e AS (SELECT src, dst FROM le)", "e AS (SELECT regexp_extract(src, '^([a-z]+://[^/]*)', 1) AS src, regexp_extract(dst, '^([a-z]+://[^/]*)', 1) AS dst FROM le)") + _N[len(_EDGES) :])}
+        SELECT node, round(rank, 9) AS rank FROM r JOIN last USING (k)""",
+)
 def _(spark, sf):
-    return graph.pagerank(graph.link_edges(html.page_documents(table(spark, sf, "pages"), allowed=("en", "de", "fr", "es")))).select("node", F.round("rank", 12).alias("rank"))
+    pages = html.page_documents(spread(table(spark, sf, "pages")), allowed=("en", "de", "fr", "es"))
+    return graph.pagerank(graph.domain_edges(graph.link_edges(pages))).select("node", F.round("rank", 9).alias("rank"))
 
 
 # ---- results
@@ -668,22 +756,24 @@ def _(spark, sf):
     return frontier.rate_limit(_requests(spark, sf), "user", count=3, window_ms=2000)
 
 
-@query("cooldown", f"WITH {_REQ}, g AS (SELECT event_id, ts_ms - lag(ts_ms) OVER (PARTITION BY key ORDER BY ts_ms, event_id) AS gap_ms FROM q) SELECT event_id, coalesce(gap_ms, -1) AS gap_ms, (gap_ms IS NULL OR gap_ms >= 500) AS ok FROM g")
+@query(
+    "cooldown",
+    f"""WITH RECURSIVE {_REQ}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms, event_id) AS k FROM q),
+        s AS (SELECT event_id, key, k, ts_ms AS last, 0::BIGINT AS wait_ms FROM o WHERE k = 1
+              UNION ALL SELECT o.event_id, o.key, o.k, CASE WHEN o.ts_ms >= s.last + 500 THEN o.ts_ms ELSE s.last END, greatest(0, s.last + 500 - o.ts_ms) FROM s JOIN o ON o.key = s.key AND o.k = s.k + 1)
+        SELECT event_id, key, wait_ms FROM s""",
+)
 def _(spark, sf):
-    return frontier.cooldown(_requests(spark, sf), "user", 500).select("event_id", F.coalesce("gap_ms", F.lit(-1)).alias("gap_ms"), "ok")
+    return frontier.cooldown(_requests(spark, sf), "user", 500)
 
 
-@query("stream_dedupe", f"WITH {PARSE} SELECT DISTINCT canonical AS url FROM can")
+@query("stream_dedupe", _FRESH)
 def _(spark, sf):
-    """The pages as a stream, each canonical URL once, in a table of its own."""
-    import tempfile
-    import uuid
-
+    """The pages as a stream, each canonical URL of theirs and their links once, in a table of its own."""
     from ..streaming.crawl import fresh_urls
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/lodestone-shared"
-    at = f"{base}/s-{uuid.uuid4().hex}"
+    at = new_path(spark, "s")
     pages = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "*.parquet").parquet(f"{sf}/pages.parquet*")
-    q = fresh_urls(pages.select("url")).select("url").writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/urls")
+    q = fresh_urls(_met(pages)).select("url").writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/urls")
     q.awaitTermination()
     return spark.read.parquet(f"{at}/urls")

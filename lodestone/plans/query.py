@@ -8,6 +8,8 @@ AND, OR and NOT are upper case; AND and OR bind alike, from the left; neighbours
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,17 @@ class Token:
     value: str
 
 
-def lex(query: str) -> list[Token]:
+@dataclass(frozen=True)
+class Syntax:
+    """Which words are operators and fields, and which words are no condition."""
+
+    operators: tuple[tuple[str, str], ...] = (("AND", "AND"), ("OR", "OR"), ("NOT", "NOT"))  # as it is written, and what it is
+    fields: tuple[str, ...] = FIELDS
+    stop_words: frozenset[str] = STOP_WORDS
+
+
+def lex(query: str, syntax: Syntax = Syntax()) -> list[Token]:  # noqa: B008
+    operators = dict(syntax.operators)
     out, i, n = [], 0, len(query)
     while i < n:
         c = query[i]
@@ -53,9 +65,9 @@ def lex(query: str) -> list[Token]:
             while end < n and query[end] not in SPACE + "()\"'":
                 end += 1
             w, i = query[i:end], end
-            field = next((f for f in FIELDS if w.startswith(f + ":") and len(w) > len(f) + 1), None)
-            if w in ("AND", "OR", "NOT"):
-                out.append(Token(w, w))
+            field = next((f for f in syntax.fields if w.startswith(f + ":") and len(w) > len(f) + 1), None)
+            if w in operators:
+                out.append(Token(operators[w], w))
             elif field:
                 out.append(Token(field.upper(), w[len(field) + 1 :]))
             else:
@@ -63,6 +75,11 @@ def lex(query: str) -> list[Token]:
     return [*out, Token("EOF", "")]
 
 
+def token_counts(query: str, syntax: Syntax = Syntax()) -> Counter:  # noqa: B008
+    """How often each word and each exact quote is in a query."""
+    return Counter(t.value for t in lex(query, syntax) if t.kind in ("WORD", "QUOTE"))
+
+
 @dataclass(frozen=True)
 class Term:
     token: str
@@ -112,8 +129,15 @@ def _many(kind: str, a, b) -> Many:
     return Many(kind, (*(a.of if isinstance(a, Many) and a.kind == kind else (a,)), b))
 
 
-def parse(query: str):
-    toks = lex(query)
+class Node:
+    """A node of one's own in a query's tree, such as a Many may have: tree() says what it is, as rewrite() does."""
+
+    def tree(self, stop_words: frozenset[str]):
+        raise NotImplementedError
+
+
+def parse(query: str, syntax: Syntax = Syntax()):  # noqa: B008
+    toks = lex(query, syntax)
     at = 0
 
     def part():
@@ -130,7 +154,7 @@ def parse(query: str):
             return inner
         if t.kind == "WORD":
             return Term(t.value)
-        if t.kind in ("TITLE", "URL", "ANCHOR", "DESC"):
+        if t.kind.lower() in syntax.fields:
             return Term(t.value, t.kind.lower())
         if t.kind == "QUOTE":
             return Quote(t.value)
@@ -172,8 +196,23 @@ class Leaf:
     field: str | None = None
 
 
+@dataclass(frozen=True)
+class Reader:
+    """A condition of one's own: ids(index) gives the doc_id of each document for which it holds."""
+
+    name: str
+    ids: Callable[[Index], DataFrame]
+    kind = "reader"
+    tokens: tuple[str, ...] = ()
+    field: str | None = None
+
+
 def rewrite(node, stop_words: frozenset[str] = STOP_WORDS):
-    """Leaf, ("not", x), ("and"/"or", [x, ...]) or IDENTITY. AND and OR with IDENTITY are the other side."""
+    """Leaf, Reader, ("not", x), ("and"/"or", [x, ...]) or IDENTITY. AND and OR with IDENTITY are the other side."""
+    if isinstance(node, Node):
+        return node.tree(stop_words)
+    if isinstance(node, Reader):
+        return node
     if isinstance(node, Term):
         if node.field is None and node.token in stop_words:
             return IDENTITY
@@ -190,10 +229,10 @@ def rewrite(node, stop_words: frozenset[str] = STOP_WORDS):
     return IDENTITY if not parts else parts[0] if len(parts) == 1 else (node.kind.lower(), parts)
 
 
-def leaves(tree) -> list[Leaf]:
-    if isinstance(tree, Leaf):
+def leaves(tree) -> list[Leaf | Reader]:
+    if isinstance(tree, (Leaf, Reader)):
         return [tree]
-    out: dict[Leaf, None] = {}
+    out: dict[Leaf | Reader, None] = {}
     if tree != IDENTITY and tree[0] in ("and", "or"):
         for x in tree[1]:
             out |= dict.fromkeys(leaves(x))
@@ -203,7 +242,7 @@ def leaves(tree) -> list[Leaf]:
 
 
 def _fold(tree, leaf, all_, not_, and_, or_):
-    if isinstance(tree, Leaf):
+    if isinstance(tree, (Leaf, Reader)):
         return leaf(tree)
     if tree[0] == "all":
         return all_
@@ -248,10 +287,11 @@ def distance(index: Index, first: str, second: str, d: int) -> DataFrame:
     return matches_tree(index, Leaf("distance", (first, second), str(d)))
 
 
-def matches(index: Index, query: str, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
-    """doc_id of the documents that match. A query that can't be parsed, or has only stop words, matches none."""
+def matches(index: Index, query, syntax: Syntax = Syntax()) -> DataFrame:  # noqa: B008
+    """doc_id of the documents that match a query, or a tree of nodes. A query that can't be parsed, or has only stop words, matches
+    none."""
     try:
-        tree = rewrite(parse(query), stop_words)
+        tree = rewrite(parse(query, syntax) if isinstance(query, str) else query, syntax.stop_words)
     except QueryError:
         tree = IDENTITY
     return matches_tree(index, tree)
@@ -267,25 +307,32 @@ def matches_tree(index: Index, tree) -> DataFrame:
         return ids
     found = leaves(tree)
     words_ = sorted({t for x in found for t in x.tokens})
-    spans = any(x.kind != "term" for x in found)
+    readers = {x: i for i, x in enumerate(x for x in found if isinstance(x, Reader))}
+    spans = any(x.kind not in ("term", "reader") for x in found)
     p = index.positions.filter(F.col("token").isin(*words_)) if words_ else index.positions.limit(0)
     if found and all(x.kind == "term" and x.field for x in found):
         p = p.filter(F.col("field").isin(*sorted({x.field for x in found})))
     name = {x: f"l{i}" for i, x in enumerate(found)}
     flags, arrays = [], {}
+    if readers:
+        p = p.select("doc_id", "field", "token", "positions", F.lit(None).cast("int").alias("reader"))
+        for x, i in readers.items():
+            p = p.unionByName(x.ids(index).select("doc_id", F.lit(i).alias("reader")), allowMissingColumns=True)
     for x in found:
-        if x.kind == "term":
+        if x.kind == "reader":
+            flags.append(F.bool_or(F.coalesce(F.col("reader") == readers[x], F.lit(False))).alias(name[x]))
+        elif x.kind == "term":
             c = (F.col("token") == x.tokens[0]) & ((F.col("field") == x.field) if x.field else F.lit(True))
             flags.append(F.bool_or(c).alias(name[x]))
     if spans:
-        for w in sorted({t for x in found if x.kind != "term" for t in x.tokens}):
+        for w in sorted({t for x in found if x.kind not in ("term", "reader") for t in x.tokens}):
             arrays[w] = f"p{len(arrays)}"
             c = (F.col("token") == w) & (F.col("field") == "body")
             flags.append(F.coalesce(F.any_value(F.when(c, F.col("positions")), True), F.array().cast("array<int>")).alias(arrays[w]))
     by_doc = p.groupBy("doc_id").agg(*flags)
 
-    def leaf(x: Leaf) -> Column:
-        if x.kind == "term":
+    def leaf(x: Leaf | Reader) -> Column:
+        if x.kind in ("term", "reader"):
             return F.coalesce(F.col(name[x]), F.lit(False))
         lists = [F.coalesce(F.col(arrays[t]), F.array().cast("array<int>")) for t in x.tokens]
         if x.kind == "distance":

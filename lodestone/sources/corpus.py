@@ -26,7 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table: the title is the first 15 words of the first line, the description the second line."""
-    d = table(spark, sf_dir, "documents")
+    return from_texts(spread(table(spark, sf_dir, "documents")))
+
+
+def spread(d: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores over all of them; any other as it is."""
+    n = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(n) if d.rdd.getNumPartitions() < n else d
+
+
+def from_texts(d: DataFrame) -> DataFrame:
+    """doc_id, text, lang, source as documents to index."""
     text = F.coalesce("text", F.lit(""))
     return d.select(
         F.col("doc_id").cast("long").alias("doc_id"),

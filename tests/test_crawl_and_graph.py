@@ -52,12 +52,28 @@ def test_rate_limit_by_batch_and_stream(spark, tmp_path):
     q = crawl.rate_limited(s, 4, 1000).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r.event_id: r.wait_ms for r in spark.table("limited").collect()}
-    assert got.keys() == want.keys()
+    assert got == want
 
 
-def test_cooldown_by_batch(spark):
-    df = spark.createDataFrame([(1, "a", 0), (2, "a", 400), (3, "a", 900), (4, "b", 10)], "event_id long, key string, ts_ms long")
-    assert {r.event_id: r.ok for r in frontier.cooldown(df, "key", 500).collect()} == {1: True, 2: False, 3: True, 4: True}
+def test_cooldown_by_batch_and_stream(spark, tmp_path):
+    rows = requests()
+    last, want = {}, {}
+    for e, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[e] = max(0, last[k] + 150 - t) if k in last else 0
+        last[k] = last[k] if want[e] else t
+    df = spark.createDataFrame(rows, "event_id long, key string, ts_ms long")
+    assert {r.event_id: r.wait_ms for r in frontier.cooldown(df, "key", 150).collect()} == want
+    for part in range(3):
+        spark.createDataFrame(rows[part * 150 : part * 150 + 150], df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/b={part}")
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/b=*")
+    crawl.cooled(s, 150).writeStream.format("memory").queryName("cooled").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert {r.event_id: r.wait_ms for r in spark.table("cooled").collect()} == want
+
+
+def test_requests_without_key_or_time(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, "a", None), (3, "a", 7), (4, "a", 8)], "event_id long, key string, ts_ms long")
+    assert {r.event_id: r.wait_ms for r in frontier.rate_limit(df, "key", 1, 10).collect()} == {1: None, 2: None, 3: 0, 4: 9}
+    assert frontier.cooldown(df.limit(0), "key", 5).collect() == []
 
 
 def test_stream_dedupe_is_batch_dedupe(spark, tmp_path):
@@ -82,7 +98,7 @@ def test_urls_wait_for_their_rules(spark, tmp_path):
     def run(rows, n):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b={n}")
         s = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/b=*")
-        crawl.push(s.select("host", "url", "path"), "", f"{tmp_path}/wait", f"{tmp_path}/queue", rules_of, f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        crawl.push(s.select("host", "url", "path"), str(tmp_path), rules_of, f"{tmp_path}/c", scorer=lambda u: F.lit(1)).trigger(availableNow=True).start().awaitTermination()
 
     run([("a", "a/yes", "/yes"), ("a", "a/no", "/no"), ("b", "b/x", "/x")], 0)
     known += ["a"]
@@ -91,6 +107,56 @@ def test_urls_wait_for_their_rules(spark, tmp_path):
     known += ["b"]
     run([("c", "c/z", "/z")], 2)
     assert {r.url for r in spark.read.parquet(f"{tmp_path}/queue").collect()} == {"a/yes", "b/x", "b/y"}
+    run([("a", "a/z", "/z")], 3)
+    assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/queue").collect()) == ["a/yes", "a/z", "b/x", "b/y"]
+
+
+def test_the_crawl_as_one_stream_goes_on_after_a_restart(spark, tmp_path):
+    known = ["a.com"]
+
+    def rules_of():
+        return spark.createDataFrame([(h,) for h in known], "host string"), spark.createDataFrame([("a.com", "disallow", "^/no[^/]*(/|$)", 3)], "host string, type string, regex string, length int")
+
+    seen = spark.createDataFrame([("https://a.com/old",)], "url string")
+    blocked = spark.createDataFrame([("bad.org",)], "host string")
+
+    def run(urls, n):
+        spark.createDataFrame([(u,) for u in urls], "url string").coalesce(1).write.parquet(f"{tmp_path}/in/b={n}")
+        s = spark.readStream.schema("url string").parquet(f"{tmp_path}/in/b=*")
+        crawl.crawl(s.select("url"), f"{tmp_path}/t", rules_of, f"{tmp_path}/c", seen=seen, blocked=blocked).trigger(availableNow=True).start().awaitTermination()
+
+    queue = lambda: sorted(r.url for r in spark.read.parquet(f"{tmp_path}/t/queue").collect())
+    run(["https://a.com/x", "https://a.com/x#f", "https://A.com:443/x", "https://a.com/old", "https://a.com/no", "https://www.bad.org/y", "nonsense", "https://b.com/1"], 0)
+    assert queue() == ["https://a.com/x"]
+    known.append("b.com")  # each run is a new query on the same checkpoint: what was seen and what waits is remembered
+    run(["https://a.com/x", "https://b.com/1", "https://b.com/2"], 1)
+    assert queue() == ["https://a.com/x", "https://b.com/1", "https://b.com/2"]
+    next_ = crawl.next_urls(spark.read.parquet(f"{tmp_path}/t/queue"), spark.createDataFrame([("https://b.com/1",)], "url string"), per_host=1)
+    assert sorted(r.url for r in next_.collect()) == ["https://a.com/x", "https://b.com/2"]
+
+
+def test_rules_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([("a", "u1", "/no/x"), ("a", "u2", "/yes"), ("b", "u3", "/no/x")], "host string, url string, path string").write.parquet(f"{tmp_path}/in")
+    rules = spark.createDataFrame([("a", "disallow", "^/no[^/]*(/|$)", 3)], "host string, type string, regex string, length int")
+    s = spark.readStream.schema("host string, url string, path string").parquet(f"{tmp_path}/in")
+    crawl.with_rules(s, rules).writeStream.format("memory").queryName("ruled").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert {r.url for r in spark.table("ruled").collect()} == {"u2", "u3"}
+
+
+def test_a_short_class_is_filled_from_the_other(spark):
+    few = spark.createDataFrame([(f"u{i}", 95 if i < 3 else i % 80) for i in range(40)], "url string, score int")
+    got = frontier.random_pop(few, 20).collect()
+    assert len(got) == len({r.url for r in got}) == 20 and sum(r.score >= 90 for r in got) == 3
+    assert {r.url for r in frontier.random_pop(few, 20).collect()} == {r.url for r in got} != {r.url for r in frontier.random_pop(few, 20, seed=1).collect()}
+    assert frontier.random_pop(few, 100).count() == 40 and frontier.random_pop(few.limit(0), 5).count() == 0
+    many = spark.range(20_000).select(F.concat(F.lit("http://x/"), "id").alias("url"))
+    assert abs(frontier.admit(many, 2500).count() - 5000) < 300 and frontier.admit(many, 0).count() == 0 and frontier.admit(many, 10_000).count() == 20_000
+
+
+def test_scorer_and_filter_of_ones_own(spark):
+    u = spark.createDataFrame([("http://a.com/x",), ("http://a.com/y",), ("http://b.com/x",)], "url string")
+    got = frontier.score(u, scorer=lambda c: F.when(c.endswith("y"), -1).otherwise(7), keep=F.col("url").contains("//a"))
+    assert [(r.url, r.score) for r in got.collect()] == [("http://a.com/x", 7)]
 
 
 def test_pagerank_against_plain_python(spark):
@@ -113,6 +179,22 @@ def test_pagerank_against_plain_python(spark):
     same = graph.standardized(spark.createDataFrame([("a", 0.5), ("b", 0.5)], "node string, rank double"))
     assert {x.std_rank for x in same.collect()} == {0.0}
     assert graph.pagerank(df.limit(0)).collect() == []
+    graph.HUB, hub = 3, graph.HUB  # sources in several parts give the same ranks
+    try:
+        parts = {x.node: x.rank for x in graph.pagerank(df, iterations=5).collect()}
+    finally:
+        graph.HUB = hub
+    assert parts.keys() == got.keys() and all(abs(parts[k] - got[k]) < 1e-12 for k in got)
+    hosts = graph.domain_edges(spark.createDataFrame([("http://a.com/x", "https://b.com/y/z"), ("http://a.com/", "http://a.com/q")], "src string, dst string"))
+    assert sorted((r.src, r.dst) for r in hosts.collect()) == [("http://a.com", "http://a.com"), ("http://a.com", "https://b.com")]
+
+
+def test_edges_stay_where_they_are(spark):
+    t, name = graph._bucketed(spark.createDataFrame([(f"s{i % 5}", f"d{i}") for i in range(50)], "src string, dst string"))
+    ranks = t.select("src", "part").distinct().withColumn("rank", F.lit(1.0))
+    plan = t.join(ranks.hint("merge"), ["src", "part"])._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "SelectedBucketsCount" in plan
+    spark.sql(f"DROP TABLE {name}")
 
 
 def test_snippets(spark):

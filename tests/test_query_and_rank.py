@@ -106,3 +106,65 @@ def test_ordered_title(spark):
     v = lambda title, toks: spark.createDataFrame([(title,)], "t array<string>").select(rank.ordered_title(F.col("t"), toks).alias("v")).first().v
     assert v(["Big", "cat"], ["big", "cats"]) == 1.0 and v(["cat", "Big"], ["big", "cats"]) == 0.5 and v([], ["a"]) == 0.0
     assert math.isclose(v(["b", "c"], ["bee", "cee", "dee"]), 2 / 3)
+
+
+def test_lists_of_results_merge(spark):
+    a, b = ([(i, i * 7 % 10) for i in x] for x in (range(0, 20, 2), range(1, 20, 2)))
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, score int")
+    got = [(r.doc_id, r.score) for r in rank.merge_top([df(a), df(b)], 6).collect()]
+    assert got == sorted(a + b, key=lambda r: (-r[1], -r[0]))[:6]
+
+
+def test_a_syntax_nodes_and_readers_of_ones_own(index):
+    own = ql.Syntax(operators=(("und", "AND"), ("oder", "OR"), ("nicht", "NOT")), fields=("title",), stop_words=frozenset({"alpha"}))
+    both = lambda q, s=own: {r.doc_id for r in ql.matches(index, q, s).collect()}
+    assert both("gamma oder epsilon") == {0, 1, 3} and both("beta nicht gamma") == {2, 5, 6} and both("alpha") == set() and both("gamma AND") == set()
+
+    class Either(ql.Node):
+        def tree(self, stop_words):
+            return ql.rewrite(ql.Many("OR", (ql.Term("gamma"), ql.Term("epsilon"))), stop_words)
+
+    even = ql.Reader("even", lambda i: i.doc_map.filter("doc_id % 2 = 0").select("doc_id"))
+    assert both(ql.Many("AND", (Either(), ql.Term("alpha"))), ql.Syntax()) == {0, 1, 3}
+    assert both(ql.Many("AND", (even, ql.Term("alpha"))), ql.Syntax()) == {0, 2, 6} and both(ql.Not(even), ql.Syntax()) == {1, 3, 5} and both(even, ql.Syntax()) == {0, 2, 4, 6}
+    assert both(ql.Many("AND", (even, ql.Quote("beta alpha"))), ql.Syntax()) == {2}
+
+
+def test_token_counts():
+    assert ql.token_counts('a b a "x y" \'z\' title:a AND "x y"') == {"a": 2, "b": 1, "x y": 2}
+
+
+def test_weights_from_a_file(index):
+    from lodestone.sources import config
+
+    w = config.ranking_weights("# presence\nquery_in_title: 7\nbm25: 1.5\n\npagerank: 3\n")
+    assert w == rank.WEIGHTS | {"in_title": 7.0, "bm25": 1.5, "pagerank": 3.0}
+    assert rank.search(index, "alpha", weights=w).count() == 6
+    assert config.static_points("HttpsScore: 1\nDepthPagePenalty: 2")["depth_step"] == 2
+    for bad in ("nothing", "what: 1", "bm25: x"):
+        with pytest.raises(config.ConfigError):
+            config.ranking_weights(bad)
+
+
+def test_a_crawl_from_a_file(tmp_path):
+    from lodestone.sources import config
+
+    (tmp_path / "seeds").write_text("# start\nhttps://a.com/\n\nhttps://b.com/\n")
+    text = "docs_directory=d\nstate_directory = s\n# c\nsnapshot_directory=n\nseed_url_file=seeds\nseed_url=https://c.com/?a=b\nblacklist_host=x.org\nratelimit_bucket_count=5\nworkers=2\nmiddle_queue.utilization_target=0.5\n"
+    c = config.crawl_config(text, str(tmp_path))
+    assert (c.docs, c.state, c.snapshot, c.window_requests, c.utilization, c.other["workers"]) == ("d", "s", "n", 5, 0.5, "2")
+    assert c.seeds == ["https://a.com/", "https://b.com/", "https://c.com/?a=b"] and c.blocked_hosts == ["x.org"]
+    for bad in ("", text.replace("=d", "="), text + "x=1", text + "workers=0", text + "ratelimit_bucket_ms=a", text + "line"):
+        with pytest.raises(config.ConfigError):
+            config.crawl_config(bad, str(tmp_path))
+
+
+def test_the_index_is_stored_once(spark, tmp_path):
+    from lodestone.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    a = catalogue._index(spark, sf)
+    n = len(catalogue._stored)
+    plan = catalogue._index(spark, sf).find("thon")._jdf.queryExecution().toString()
+    assert len(catalogue._stored) == n and "PushedFilters" in plan and "EqualTo(token,thon)" in plan and "MapInArrow" not in plan
+    assert a.positions.count() == catalogue._index(spark, sf).positions.count() > 0

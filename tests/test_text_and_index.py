@@ -21,6 +21,16 @@ def test_normalisation_in_spark_and_python(spark):
         assert tx.normalize_py(t, False) == want, t
 
 
+def test_spark_and_python_agree_on_any_token(spark):
+    import random
+
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abZQ09.,-<>{}&;|=/é’ \u00b5wcom") for _ in range(rng.randint(0, 9))).replace(" ", "") for _ in range(2000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "i int, t string")
+    for r in df.select("t", tx.normalize(F.col("t"), False).alias("n")).collect():
+        assert tx.normalize_py(r.t, False) == r.n, r.t
+
+
 def test_stop_words_go_in_the_body_only(spark):
     df = spark.createDataFrame([("the",), ("The",), ("US",), ("house",)], "t string")
     got = df.select(tx.normalize(F.col("t"), True).alias("b"), tx.normalize(F.col("t"), False).alias("a")).collect()
@@ -44,7 +54,7 @@ def docs(spark):
 
 
 def test_positions_count_what_is_left(docs):
-    got = {(r.field, r.token, r.doc_id): (r.freq, r.positions) for r in ix.positions(ix.tokens(docs)).collect()}
+    got = {(r.field, r.token, r.doc_id): (r.freq, r.positions) for r in ix.positions(docs).collect()}
     assert got["body", "cats", 0] == (3, [0, 2, 5]) and got["body", "dogs", 0] == (1, [3]) and got["body", "like", 0] == (2, [1, 4])
     assert ("body", "the", 0) not in got and got["desc", "about", 0] == (1, [0]) and got["url", "example", 2][0] == 1
 
@@ -63,10 +73,38 @@ def test_positions_of_long_texts(spark):
 
 def test_frequencies_sum_to_tokens_and_deltas_invert(docs):
     toks = ix.tokens(docs)
-    post = ix.postings(toks)
+    post = ix.postings(docs)
     assert post.agg(F.sum("freq")).first()[0] == toks.count()
-    back = ix.undelta(ix.deltas(post).withColumnRenamed("doc_id", "n"))
-    assert {(r.field, r.token, r.doc_id) for r in back.collect()} == {(r.field, r.token, r.doc_id) for r in post.collect()}
+    for span in (1, 2, ix.SPAN):  # pieces of one id, of some, and all in one
+        back = ix.undelta(ix.deltas(post, span).withColumnRenamed("doc_id", "n"), span=span)
+        assert {(r.field, r.token, r.doc_id) for r in back.collect()} == {(r.field, r.token, r.doc_id) for r in post.collect()}
+
+
+def test_lists_in_pieces(spark):
+    import random
+
+    rng = random.Random(1)
+    ids = {t: sorted(rng.sample(range(400), k)) for t, k in (("a", 250), ("b", 7), ("c", 1))}
+    post = spark.createDataFrame([("body", t, i, 1) for t, x in ids.items() for i in x], "field string, token string, doc_id long, freq long")
+    want = {(t, i, i - (x[k - 1] if k else 0)) for t, x in ids.items() for k, i in enumerate(x)}
+    points = {(t, k, i) for t, x in ids.items() for k, i in enumerate(x) if k % 16 == 0}
+    for span in (16, 100, ix.SPAN):
+        assert {(r.token, r.doc_id, r.delta) for r in ix.deltas(post, span).collect()} == want
+        assert {(r.token, r.n, r.doc_id) for r in ix.sync_points(post, 16, span).collect()} == points
+
+
+def test_documents_with_nulls_and_none(spark):
+    form = "doc_id long, url string, title array<string>, description array<string>, words array<string>, forward_links array<string>"
+    d = spark.createDataFrame([(0, None, None, None, None, None), (None, "https://a.b/", ["X"], [], ["apple", None, "pear", "apple"], []), (2, "https://a.b/", [], [], [], [])], form)
+    got = {(r.field, r.token, r.doc_id): r.positions for r in ix.positions(d).collect()}
+    assert got["body", "apple", None] == [0, 2] and got["body", "pear", None] == [1] and got["title", "x", None] == [0]
+    assert ix.positions(d.limit(0)).count() == ix.tokens(d.limit(0)).count() == 0
+
+
+def test_ranks_reach_the_document_map(spark, docs):
+    ranks = spark.createDataFrame([("https://a.example.com/x", 0.75)], "node string, std_rank double")
+    got = {r.doc_id: r.pagerank for r in ix.Index.build(docs, ranks=ranks).doc_map.collect()}
+    assert got == {0: 0.75, 1: 0.0, 2: 0.0}
 
 
 def test_stats_of_no_documents(spark, docs):

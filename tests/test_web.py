@@ -87,7 +87,7 @@ def test_html_scanner(spark):
     for odd in (None, "", "<", "<a", "a < b", "<title>", "<script>x", "<!-- open", "<a href=", "<a href='x", "<p title='>'>z</p>", "</", "<script>a</scriptx>b</script>c"):
         html.parse_html(odd)
     assert html.parse_html("<p title='>'>z</p>")["words"] == ["z"] and html.parse_html("<script>a</scriptx>b</script>c")["words"] == ["c"]
-    assert len(html.parse_html("<a href='/x'>y</a>" * 6000)["links"]) == html.MAX_LINKS
+    assert len(html.parse_html("<a href='/x'>y</a>" * 6000)["links"]) == 6000 and len(html.parse_html("<a href='/x'>y</a>" * 6000, 5000)["links"]) == 5000
 
 
 def test_pages_that_are_indexed(spark):
@@ -132,5 +132,55 @@ def test_responses(spark):
     assert r.status == 200 and r.headers == {"content-type": "text/html; charset=x", "x": "2", "location": "http://a:80/b"}
     assert col(spark, "nonsense", http.parse_response) is None and col(spark, None, http.parse_response) is None
     ok = lambda h, body: spark.createDataFrame([(h, body)], "h string, b string").select(http.acceptable(http.parse_response(F.col("h")), F.col("b")).alias("r")).first().r
-    assert ok(head, "x") and not ok(head, "x" * (http.MAX_BYTES + 1)) and not ok("HTTP/1.1 200 OK\nContent-Type: image/png", "x") and not ok(head + "Content-Language: de\r\n", "x")
+    assert ok(head, "x") and ok(head, "x" * 9) and not ok("HTTP/1.1 200 OK\nContent-Type: image/png", "x") and not ok(head + "Content-Language: de\r\n", "x")
     assert col(spark, "a+b%20c", http.form_decode) == "a b c"
+
+
+def test_links_to_blocked_hosts_are_left_out(spark):
+    doc = "<html lang='en'><title>T</title>w <a href='http://bad.org/1'>x</a><a href='http://sub.bad.org/2'>x</a><a href='http://notbad.org/3'>x</a>"
+    got = html.page_documents(spark.createDataFrame([(1, "http://a.com/", doc), (2, None, doc), (3, "http://a.com/n", None)], "page_id long, url string, html string"), blocked_hosts=("bad.org",)).collect()
+    assert [(r.doc_id, r.forward_links) for r in got] == [(1, ["http://notbad.org/3"])]
+    few = html.page_documents(spark.createDataFrame([(1, "http://a.com/", doc)], "page_id long, url string, html string"), max_links=1).collect()
+    assert len(few[0].forward_links) == 1 and html.page_documents(spark.createDataFrame([(1, "http://a.com/", doc)], "page_id long, url string, html string"), max_bytes=10).count() == 0
+
+
+def test_tag_actions():
+    assert [html.tag_action(t) for t in ("A", "script", "Style", "title", "p", "made-up", "!--")] == ["anchor", "section", "section", "title", "discard", "discard", "comment"]
+
+
+def test_rules_of_long_files(spark):
+    txt = "User-agent: *\nDisallow: /é" + "\nDisallow: /b"
+    f = spark.createDataFrame([("h", txt), ("n", None)], "host string, txt string")
+    at = len("User-agent: *\nDisallow: /é".encode())
+    assert [r.value for r in robots.rules(f, "x").orderBy("n").collect()] == ["/é", "/b"] and [r.value for r in robots.rules(f, "x", max_bytes=at).collect()] == ["/é"]
+
+
+def test_rules_expire(spark):
+    from datetime import datetime
+
+    d = spark.createDataFrame([(datetime(2020, 1, 1), False), (datetime(2020, 1, 1), True)], "t timestamp, failed boolean")
+    assert [r.e.hour for r in d.select(robots.expires(F.col("t"), F.col("failed")).alias("e")).collect()] == [robots.TTL_HOURS, robots.FAILED_HOURS]
+
+
+def test_titles_json_and_stop_words(spark):
+    import json
+
+    from lodestone.functions import text as tx
+
+    d = spark.createDataFrame([(["a"] * 16,), (["a", "b"],), ([],), (None,)], "t array<string>")
+    assert [r.s for r in d.select(tx.short_title(F.col("t")).alias("s")).collect()] == [" ".join(["a"] * 15) + "...", "a b", "Untitled Document", "Untitled Document"]
+    odd = 'a"b\\c\n\u0001é'
+    assert json.loads(col(spark, odd, tx.json_text)) == {"v": odd}
+    w = tx.StopWords(frozenset({"the"})).add("of")
+    assert "the" in w and "of" in w and w.current() == {"the", "of"} and "the" not in w.remove("the")
+    w.enabled = False
+    assert "of" not in w and w.current() == frozenset()
+
+
+def test_snippet_at_places(spark):
+    from lodestone.operators import snippets
+
+    text = "One. " + "x " * 200 + "Here it is. " + "y " * 200
+    at = text.index("Here")
+    got = spark.createDataFrame([(text, [3, at, 700])], "t string, p array<int>").select(snippets.snippet_at(F.col("t"), F.col("p")).alias("s")).first().s
+    assert "Here it is." in got and got.startswith("...") and got.endswith("...")
