@@ -75,73 +75,90 @@ def _bias(far: np.ndarray, stride: int) -> np.ndarray:
     return np.where(d >= 0, far[np.maximum(d, 0)], far.dtype.type(-1e9))
 
 
-def _softmax(a: np.ndarray) -> np.ndarray:
-    """Over the last axis, in place; numbers above 80 count as 80, which spares looking for the greatest."""
+def _exp(a: np.ndarray) -> np.ndarray:
+    """In place; numbers above 80 count as 80, which spares looking for the greatest. The reciprocal of the sums over the last axis."""
     np.minimum(a, a.dtype.type(80), out=a)
     np.exp(a, out=a)
-    a /= (a @ np.ones(a.shape[-1], a.dtype) + a.dtype.type(1e-30))[..., None]
-    return a
+    return 1 / (a @ np.ones(a.shape[-1], a.dtype) + a.dtype.type(1e-30))
+
+
+_D = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+_PAST = np.flatnonzero(_D >= 0)
+_HOW_FAR = _D.ravel()[_PAST]
 
 
 def step(p: dict, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict, np.ndarray]:
     """Mean loss over the windows' places, its gradient, and the rows of the embedding that g["emb"] is for. rows: of the input at
     each place; target: class of the id after it, -1 where there is none."""
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    x = p["emb"][rows]
-    w = np.concatenate([p["q"] * WIDTH**-0.5, p["k"], p["v"]], 1).astype(x.dtype)
-    qkv = (flat(x) @ w).reshape(*rows.shape, 3 * WIDTH)
-    q, k, v = (np.ascontiguousarray(qkv[..., i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
+    at_rows = rows.ravel()
+    x = p["emb"].take(at_rows, 0)
+    kind = x.dtype.type
+    wq = p["q"] * kind(WIDTH**-0.5)
+    q, k, v = ((x @ w).reshape(*rows.shape, WIDTH) for w in (wq, p["k"], p["v"]))
     a = q @ k.transpose(0, 2, 1)
     a += _bias(p["far"], WINDOW)
-    _softmax(a)
+    a *= _exp(a)[..., None]
     c = a @ v
-    h = flat(np.concatenate([x, c], 2))
-    z = h @ p["o"]
-    z += p["b"]
-    _softmax(z)
+    h = np.concatenate([x, flat(c), np.ones((len(x), 1), x.dtype)], 1)
+    z = h @ np.concatenate([p["o"], p["b"][None]])
+    over = _exp(z)
     to = target.ravel()
     at = np.flatnonzero(to >= 0)
     n = max(1, len(at))
-    loss = float(-np.log(np.maximum(z[at, to[at]], 1e-12)).sum() / n)
-    z[at, to[at]] -= 1
+    place = at * z.shape[1] + to[at]
+    loss = float(-np.log(np.maximum(z.ravel().take(place) * over[at], 1e-12)).sum() / n)
     if len(at) < len(to):
-        z[to < 0] = 0
-    z *= z.dtype.type(1 / n)
-    g = {"o": h.T @ z, "b": z.sum(0)}
-    dh = (z @ p["o"].T).reshape(*rows.shape, 2 * WIDTH)
-    dx, dc = dh[..., :WIDTH], np.ascontiguousarray(dh[..., WIDTH:])
+        over[to < 0] = 0
+    z *= (over * kind(1 / n))[:, None]
+    z.ravel()[place] -= kind(1 / n)
+    both = h.T @ z
+    g = {"o": both[:-1], "b": both[-1]}
+    dh = z @ p["o"].T
+    dc = np.ascontiguousarray(dh[:, WIDTH:]).reshape(c.shape)
     da = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    da -= (dc * c).sum(2, keepdims=True)  # the mean of da under a
+    da -= np.einsum("wik,wik->wi", dc, c)[..., None]  # the mean of da under a
     da *= a
-    d = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-    g["far"] = np.bincount(d[d >= 0], weights=da.sum(0)[d >= 0], minlength=WINDOW).astype(x.dtype)
-    dqkv = flat(np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], 2))
-    dw = flat(x).T @ dqkv
-    g |= {"q": dw[:, :WIDTH] * WIDTH**-0.5, "k": dw[:, WIDTH : 2 * WIDTH], "v": dw[:, 2 * WIDTH :]}
-    dx = flat(dx) + dqkv @ w.T
-    order = np.argsort(rows.ravel(), kind="stable")
-    sorted_ = rows.ravel()[order]
+    g["far"] = np.bincount(_HOW_FAR, weights=da.sum(0).ravel().take(_PAST), minlength=WINDOW).astype(x.dtype)
+    dq, dk = flat(da @ k), flat(da.transpose(0, 2, 1) @ q)
+    dv = flat(dv)
+    g |= {"q": x.T @ dq * kind(WIDTH**-0.5), "k": x.T @ dk, "v": x.T @ dv}
+    dx = dh[:, :WIDTH] + dq @ wq.T
+    dx += dk @ p["k"].T
+    dx += dv @ p["v"].T
+    order = np.argsort(at_rows, kind="stable")
+    sorted_ = at_rows.take(order)
     first = np.flatnonzero(np.diff(sorted_, prepend=-1))
-    g["emb"] = np.add.reduceat(dx[order], first, axis=0)
-    return loss, g, sorted_[first]
+    g["emb"] = np.add.reduceat(dx.take(order, 0), first, axis=0)
+    return loss, g, sorted_.take(first)
+
+
+def _adam(ms: np.ndarray, g: np.ndarray, t: int) -> np.ndarray:
+    """What to take off the parameters; ms: their means and squares, one after another on the last axis, which go on in place."""
+    w = g.shape[-1]
+    m, s = ms[..., :w], ms[..., w:]
+    m += np.float32(0.1) * (g - m)
+    s += np.float32(0.01) * (g * g - s)
+    return np.float32(RATE / (1 - 0.9**t)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-6))
 
 
 def train(p: dict, rows: np.ndarray, target: np.ndarray, seed: int) -> dict:
     """Adam, once over the windows in a fixed random order; of the embedding only the rows that a step has."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    names = [k for k in p if k != "emb"]
+    cuts = np.cumsum([0] + [p[k].size for k in names])
+    dense = np.concatenate([p[k].ravel() for k in names])
+    now = {k: dense[i:j].reshape(p[k].shape) for k, i, j in zip(names, cuts[:-1], cuts[1:])} | {"emb": p["emb"].copy()}
+    ms, ms_emb = np.zeros(2 * dense.size, dense.dtype), np.zeros((ROWS, 2 * WIDTH), dense.dtype)
     order = np.random.default_rng(seed).permutation(len(rows))
     for t, i in enumerate(range(0, len(order), BATCH), 1):
         at = order[i : i + BATCH]
-        _, g, used = step(p, rows[at], target[at])
-        for k in p:
-            u = used if k == "emb" else slice(None)
-            m_ = m[k][u] + np.float32(0.1) * (g[k] - m[k][u])
-            s_ = s[k][u] + np.float32(0.01) * (g[k] * g[k] - s[k][u])
-            m[k][u], s[k][u] = m_, s_
-            p[k][u] -= np.float32(RATE / (1 - 0.9**t)) * m_ / (np.sqrt(s_ * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-6))
-    return p
+        _, g, used = step(now, rows[at], target[at])
+        dense -= _adam(ms, np.concatenate([g[k].ravel() for k in names]), t)
+        some = ms_emb.take(used, 0)
+        now["emb"][used] = now["emb"].take(used, 0) - _adam(some, g["emb"], t)
+        ms_emb[used] = some
+    return {k: now[k] for k in p}
 
 
 def before(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,12 +204,13 @@ def score(p: dict, t: Tables, ids: list[np.ndarray]) -> np.ndarray:
     safe = safe and wide * float(np.linalg.norm(p["o"], axis=0).max()) + float(np.abs(p["b"]).max()) < 80
     nll = np.zeros(len(rows), np.float32)
     h = np.ones((AT_ONCE * STRIDE, 2 * WIDTH + 1), np.float32)
+    line = np.arange(AT_ONCE * STRIDE) * CLASSES
     for lo in range(lead, len(rows) // STRIDE, AT_ONCE):
         hi = min(lo + AT_ONCE, len(rows) // STRIDE)
         all_, new = rows[(lo - lead) * STRIDE : hi * STRIDE], rows[lo * STRIDE : hi * STRIDE]
-        k, v = key[all_], value[all_]
+        k, v = key.take(all_, 0), value.take(all_, 0)
         view = lambda x: as_strided(x, (hi - lo, WINDOW, x.shape[1]), (STRIDE * x.strides[0], *x.strides))  # noqa: B023, E731
-        a = query[new].reshape(hi - lo, STRIDE, -1) @ view(k).transpose(0, 2, 1)
+        a = query.take(new, 0).reshape(hi - lo, STRIDE, -1) @ view(k).transpose(0, 2, 1)
         a += bias
         if not safe:
             a -= a.max(2, keepdims=True)
@@ -200,15 +218,15 @@ def score(p: dict, t: Tables, ids: list[np.ndarray]) -> np.ndarray:
         c = a @ view(v)
         c /= (a @ np.ones(WINDOW, np.float32) + np.float32(1e-30))[:, :, None]
         x = h[: len(new)]
-        x[:, :WIDTH] = emb[new]
+        x[:, :WIDTH] = emb.take(new, 0)
         x[:, WIDTH : 2 * WIDTH] = c.reshape(-1, WIDTH)
         z = x @ out
         if not safe:
             z -= z.max(1, keepdims=True)
         mine = own[lo * STRIDE : hi * STRIDE]
-        picked = z[np.arange(len(new)), t.cls[mine]]
+        picked = z.ravel().take(line[: len(new)] + t.cls.take(mine))
         np.exp(z, out=z)
-        nll[lo * STRIDE : hi * STRIDE] = np.log(z @ np.ones(CLASSES, np.float32)) - picked + t.within[mine]
+        nll[lo * STRIDE : hi * STRIDE] = np.log(z @ np.ones(CLASSES, np.float32)) - picked + t.within.take(mine)
     return np.bincount(np.repeat(np.arange(len(ids)), n), weights=nll[place], minlength=len(ids)).astype(np.float64)
 
 

@@ -286,3 +286,30 @@ def test_pipeline_against_slow_version(spark, tmp_path):
     out = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.window_id)
     assert [i for r in out for i in r.ids] == flat
     assert list(dict.fromkeys(s.doc_id for r in out for s in r.segments)) == sorted(r.doc_id for r in rows)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    some = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    plain = [r for r in some if r[1]]
+    long = (10_001, " ".join(r[1] for r in plain) + " and more of it" * 50, "en")
+    odd = [(None, plain[0][1], "en"), (None, plain[0][1], "en"), (10_002, None, "en"), (10_003, "", None), plain[1], plain[1], (10_004, plain[2][1], plain[2][2]), long, (10_005, "you idiot moron scum " * 3, "en"), (10_006, "жжж щщщ ыыы", None)]
+    form = "doc_id long, text string, lang string, source string, TEXT2 string, toxic int, n_tokens string"
+    df = spark.createDataFrame([(*r, "s", "x", 1, "y") for r in some + odd], form)
+    df.write.parquet(f"{tmp_path}/a/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, None if i == 3 else 0) for i in [*range(20), None]], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/a")
+        assert docs.columns == df.columns, name
+        docs = spark.createDataFrame(docs.collect(), df.schema)
+    ids = [r.doc_id for r in docs.collect()]
+    assert ids.count(None) == 2 and 10_001 in ids and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    assert sorted({10_002, 10_003, 10_004, 10_005, 10_006} & set(ids)) == []
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert {s.doc_id for r in got for s in r.segments} == set(ids)
+    df.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
