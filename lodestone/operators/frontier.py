@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.url_rank import with_crawl_rank
 from ..functions.urls import canonical_urls, host_suffixes
+from ..sources.store import stored
 
 QUOTA = 25
 #: Requests in a window of so many milliseconds, by address.
@@ -44,10 +47,40 @@ def host_quota(urls: DataFrame, most: int = QUOTA) -> DataFrame:
     return urls.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+def placed(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """rows with the place of each, from 1 on, among those of its key: `name`. Ranges of key and order count on their own, and a key
+    that goes on from one range to the next is told how many came before, so that a common key is many tasks' work."""
+    fields = [f for f in rows.schema if f.name not in ("_p", "_n")]
+    cols = [f.name for f in fields]
+    ranged = stored(rows.select(*cols).repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order).withColumn("_p", F.spark_partition_id()).mapInArrow(_count_runs(key), StructType([*fields, StructField("_p", IntegerType()), StructField("_n", LongType())])))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy(key, "_p").agg(F.max("_n").alias("_k")).withColumn("_b", before).filter("_b > 0").select(F.col(key).alias("_key"), F.col("_p").alias("_q"), "_b")
+    out = ranged.join(F.broadcast(parts), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_p") == F.col("_q")), "left")  # a row for each range at most
+    return out.select(*cols, (F.col("_n") + F.coalesce("_b", F.lit(0))).alias(name))
+
+
+def _count_runs(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(key).dictionary_encode()
+            code = np.asarray(keys.indices.fill_null(-1))
+            first = np.flatnonzero(np.diff(code, prepend=-2))
+            n = np.arange(1, len(code) + 1) - np.repeat(first, np.diff(first, append=len(code)))
+            value = b.column(key)
+            if value[0].as_py() == last:
+                n[: first[1] if len(first) > 1 else len(n)] += count
+            last, count = value[len(code) - 1].as_py(), int(n[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=[*b.schema.names, "_n"])
+
+    return run
+
+
 def round_robin(urls: DataFrame, passes: int | None = None) -> DataFrame:
     """turn and url: one URL of each host in each pass, hosts in order."""
-    w = Window.partitionBy("host").orderBy(F.desc("score"), "url")
-    out = urls.withColumn("turn", F.row_number().over(w))
+    out = placed(urls, "host", [F.desc("score"), F.asc("url")], "turn")
     return (out.filter(F.col("turn") <= passes) if passes else out).orderBy("turn", "host")
 
 

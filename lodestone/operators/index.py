@@ -61,7 +61,8 @@ def _numbers(row: np.ndarray) -> np.ndarray:
 
 
 def _pass(docs: DataFrame, anchors: bool, stop_words: frozenset[str], make, schema: str) -> DataFrame:
-    """make(doc_ids, row, pos, code, terms, field) for each field of each slice of the documents."""
+    """make(doc_ids, row, pos, code, terms, field, total) for each field of each slice of the documents; total: the terms that each
+    document has in all fields."""
     d, names = _fields(docs, anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,10 +75,11 @@ def _pass(docs: DataFrame, anchors: bool, stop_words: frozenset[str], make, sche
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE, "right")))
                 part = b.slice(lo, hi - lo)
                 lo = hi
-                for f in names:
-                    row, code, terms = _normalised(part.column(f), f == "body", stop_words, known)
+                found = [(f, *_normalised(part.column(f), f == "body", stop_words, known)) for f in names]
+                total = sum(np.bincount(row, minlength=part.num_rows) for _, row, _, _ in found)
+                for f, row, code, terms in found:
                     if len(row):
-                        yield make(part.column("doc_id"), row, _numbers(row), code, terms, f)
+                        yield make(part.column("doc_id"), row, _numbers(row), code, terms, f, total)
 
     return d.mapInArrow(run, schema)
 
@@ -85,17 +87,17 @@ def _pass(docs: DataFrame, anchors: bool, stop_words: frozenset[str], make, sche
 def tokens(docs: DataFrame, anchors: bool = False, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
     """doc_id, field, token, pos: pos counts the tokens of a field that are left after normalisation. Needs no shuffle."""
 
-    def make(ids, row, pos, code, terms, field):
+    def make(ids, row, pos, code, terms, field, total):
         return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.repeat(field, len(row)), terms.take(pa.array(code)), pa.array(pos.astype(np.int32))], names=["doc_id", "field", "token", "pos"])
 
     return _pass(docs, anchors, stop_words, make, "doc_id long, field string, token string, pos int")
 
 
-def positions(docs: DataFrame, anchors: bool = False, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
-    """field, token, doc_id, freq, positions (sorted, all of them), one row for each term of a document. Needs no shuffle: doc_ids
-    are of one row each. Rows with a null doc_id are as one document each."""
+def positions(docs: DataFrame, anchors: bool = False, stop_words: frozenset[str] = STOP_WORDS, totals: bool = False) -> DataFrame:
+    """field, token, doc_id, freq, positions (sorted, all of them), one row for each term of a document; with totals also doc_total,
+    the document's terms in all fields. Needs no shuffle: each row of docs is a document, also those of a null or repeated doc_id."""
 
-    def make(ids, row, pos, code, terms, field):
+    def make(ids, row, pos, code, terms, field, total):
         key = row * len(terms) + code
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -103,9 +105,13 @@ def positions(docs: DataFrame, anchors: bool = False, stop_words: frozenset[str]
         cuts = np.append(first, len(key))
         lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(pos[order].astype(np.int32)))
         cols = [pa.repeat(field, len(first)), terms.take(pa.array(key[first] % len(terms))), ids.take(pa.array(key[first] // len(terms))), pa.array(np.diff(cuts)), lists]
-        return pa.RecordBatch.from_arrays(cols, names=["field", "token", "doc_id", "freq", "positions"])
+        names = ["field", "token", "doc_id", "freq", "positions"]
+        if totals:
+            cols.append(pa.array(total[key[first] // len(terms)]))
+            names.append("doc_total")
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _pass(docs, anchors, stop_words, make, "field string, token string, doc_id long, freq long, positions array<int>")
+    return _pass(docs, anchors, stop_words, make, "field string, token string, doc_id long, freq long, positions array<int>" + ", doc_total long" * totals)
 
 
 def postings(docs: DataFrame, **how) -> DataFrame:
@@ -159,9 +165,8 @@ def keeps_positions(field, token, freq, doc_total):
 
 
 def stored_positions(pos: DataFrame) -> DataFrame:
-    """positions() under the compact policy."""
-    total = F.sum("freq").over(Window.partitionBy("doc_id"))
-    return pos.withColumn("doc_total", total).filter(keeps_positions(F.col("field"), F.col("token"), F.col("freq"), F.col("doc_total"))).drop("doc_total")
+    """positions() with totals under the compact policy."""
+    return pos.filter(keeps_positions(F.col("field"), F.col("token"), F.col("freq"), F.col("doc_total"))).drop("doc_total")
 
 
 def field_flags(post: DataFrame) -> DataFrame:
@@ -239,7 +244,7 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, compact: bool = False, ranks: DataFrame | None = None, **how) -> Index:
         """Lazy: what is asked of it tokenises the documents anew. ranks (node: a url, std_rank) are the documents' PageRank."""
-        return cls._of(docs, positions(docs, **how), compact, ranks)
+        return cls._of(docs, positions(docs, totals=compact, **how), compact, ranks)
 
     @classmethod
     def _of(cls, docs: DataFrame, pos: DataFrame, compact: bool, ranks: DataFrame | None) -> Index:
@@ -253,7 +258,7 @@ class Index:
     @classmethod
     def create(cls, docs: DataFrame, path: str, compact: bool = False, ranks: DataFrame | None = None, **how) -> Index:
         """Builds an index and stores it at path; the documents are tokenised once."""
-        pos = stored(positions(docs, **how))
+        pos = stored(positions(docs, totals=compact, **how))
         cls._of(docs, pos, compact, ranks).write(path)
         discard(pos)
         return cls.read(docs.sparkSession, path)

@@ -174,7 +174,7 @@ _KEEP = f"""CASE WHEN field IN ('title', 'desc') THEN true WHEN field = 'url' TH
 
 @query("position_policy", f"WITH {POST}, t AS (SELECT *, (sum(freq) OVER (PARTITION BY doc_id))::BIGINT AS doc_total FROM post) SELECT field, token, doc_id, freq FROM t WHERE {_KEEP}")
 def _(spark, sf):
-    return ix.stored_positions(_postings(spark, sf)).select("field", "token", "doc_id", "freq")
+    return ix.stored_positions(ix.positions(_docs(spark, sf), totals=True)).select("field", "token", "doc_id", "freq")
 
 
 @query("field_flags", f"WITH {POST} SELECT token, doc_id, sum(DISTINCT CASE field WHEN 'body' THEN 1 WHEN 'title' THEN 2 WHEN 'url' THEN 4 ELSE 16 END)::BIGINT AS flags FROM post GROUP BY token, doc_id")

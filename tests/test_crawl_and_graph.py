@@ -245,3 +245,19 @@ def test_result_shaping(spark, shared):
         assert [x.grp for x in frontier.domain_groups(r).orderBy("rank").collect()] == [1, 1, 3, 4, 5]
     else:
         assert [x.rank for x in frontier.distinct_results(r).orderBy("rank").collect()] == [1, 2, 3, 4]
+
+
+def test_places_across_ranges(spark):
+    rng = random.Random(4)
+    rows = [(f"u{i}", "hot" if i % 3 else rng.choice(["a", "b", None]), rng.randint(0, 9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "url string, host string, score int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that a key lies in several ranges
+    try:
+        got = {r.url: r.turn for r in frontier.placed(df, "host", [F.desc("score"), F.asc("url")], "turn").collect()}
+        assert frontier.placed(df.limit(0), "host", [F.asc("url")], "turn").collect() == []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for host in ("hot", "a", "b", None):
+        want |= {u: i for i, (u, _, _) in enumerate(sorted((r for r in rows if r[1] == host), key=lambda r: (-r[2], r[0])), 1)}
+    assert got == want
