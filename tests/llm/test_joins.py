@@ -107,6 +107,36 @@ def test_a_group_of_many_near_copies(spark, monkeypatch):
     assert got == slow_classes(rows, 3, 0.6) and got[500][1] >= 99 and got[599][2] > 100
 
 
+@pytest.mark.parametrize("seed,t,n", [(6, 0.6, 3), (7, 0.8, 2), (8, 0.6, 1)])
+def test_classes_and_pairs_are_exact_among_crowds(spark, monkeypatch, seed, t, n):
+    for name, value in {"CROWD": 3, "TILE": 4, "WEIGHT": 1000, "AT_ONCE": 50, "CROWDED": 60}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(seed)
+    rows = corpus(seed, 60) + ODD
+    for k in range(4):  # of which two are near each other
+        base = [rng.choice(WORDS) for _ in range(100)] if k != 1 else base[:75] + [rng.choice(WORDS) for _ in range(25)]
+        rows += [(5000 + 100 * k + i, " ".join(rng.choice(WORDS) if rng.random() < 0.02 else w for w in base)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert jaccard._crowds(jaccard._reps(jaccard._sets(df, n))).count() > 20
+    assert {r.doc_id: (r.class_id, r.copies, r.links) for r in jaccard.jaccard_classes(df, n, t).collect()} == slow_classes(rows, n, t)
+    assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in jaccard.jaccard_join(df, n, t).collect()} == slow_pairs(rows, n, t)
+
+
+def test_near_copies_by_thousands_are_not_listed_as_pairs(spark, monkeypatch):
+    stored, rows = jaccard.stored, []
+    monkeypatch.setattr(jaccard, "stored", lambda df, *a: (out := stored(df, *a), rows.append(out.count()))[0])
+    rng = random.Random(9)
+    base = [f"x{i}" for i in range(200)]
+    texts = [" ".join(f"y{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base) for _ in range(2000)]
+    got = jaccard.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
+    sets = [*word_sets([(0, x) for x in texts], 3).values()]
+    for r in rng.sample([r for r in got if not r.copies], 20):
+        own = next(iter(word_sets([(0, texts[r.doc_id])], 3).values()))
+        assert r.links == sum(len(own & x) >= 0.375 * (len(own) + len(x)) - 1e-9 for x in sets) - 1
+    assert max(rows) < 60_000  # there are two million pairs
+
+
 def groups(nodes, pairs):
     root = {n: n for n in nodes}
     for _ in nodes:
