@@ -137,6 +137,20 @@ def test_near_copies_by_thousands_are_not_listed_as_pairs(spark, monkeypatch):
     assert max(rows) < 60_000  # there are two million pairs
 
 
+def test_the_pipeline_keeps_one_of_a_large_cluster_without_its_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    stored, rows = jaccard.stored, []
+    monkeypatch.setattr(jaccard, "stored", lambda df, *a: (out := stored(df, *a), rows.append(out.count()))[0])
+    rng = random.Random(12)
+    texts = [" ".join(f"y{rng.randrange(10**6)}" if rng.random() < 0.02 else f"x{i}" for i in range(200)) for _ in range(700)]
+    other = [(1000 + k, " ".join(f"z{k}x{i}" for i in range(50)), 0) for k in range(30)]
+    docs = spark.createDataFrame([(i, x, i) for i, x in enumerate(texts)] + other + [(None, texts[0], -1)], "doc_id long, text string, unit int")
+    kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["None", "0", *(str(d) for d, _, _ in other)])
+    assert max(rows) < 20_000  # there are 244,650 pairs
+
+
 def groups(nodes, pairs):
     root = {n: n for n in nodes}
     for _ in nodes:
