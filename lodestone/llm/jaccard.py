@@ -36,8 +36,8 @@ SKETCH, BLOCK, TILE = 1 << 22, 1_000_000, 1024
 #: An n-gram in the prefixes of more sets than this pairs crowds; sets of equal min-hashes that are more than this are one. n-grams in
 #: a tile of a crowd. Sets in crowds at most (the largest crowds; any others are paired one by one, so this is no limit on the result).
 CROWD, WEIGHT, CROWDED = 64, 1 << 20, 1 << 20
-#: Pairs that a block counts at a time.
-AT_ONCE = 1 << 20
+#: Pairs that a block counts, and postings or n-grams that a task has in arrays, at a time: two workers share what the JVM leaves of an executor.
+AT_ONCE, HELD = 1 << 18, 1 << 18
 _PARTS = 16
 _U = np.uint64
 _SIGNS = ("s0", "s1", "s2")
@@ -135,11 +135,11 @@ def _ranks(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
             for s in gram_sets(b.column("text"), n):
                 held.append(s)
                 k += len(s)
-                if k > 1 << 20:
-                    c += np.bincount((np.concatenate(held) >> _U(42)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                if k > HELD:
+                    np.add.at(c, (np.concatenate(held) >> _U(42)).astype(np.int64), np.uint32(1))
                     held, k = [], 0
         if k:
-            c += np.bincount((np.concatenate(held) >> _U(42)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            np.add.at(c, (np.concatenate(held) >> _U(42)).astype(np.int64), np.uint32(1))
         if c.any():
             yield _packed(c.reshape(_PARTS, width))
 
@@ -160,49 +160,79 @@ def _ranks(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return ranks, sum(p.n for p in parts)
 
 
+def _block(held: list) -> tuple[np.ndarray, ...]:
+    """Of a block's messages: its different fingerprints and their sizes; n-grams, and the place of the fingerprint, of its postings."""
+    fps, sizes, grams, docs_, base = [], [], [], [], 0
+    for x in held:
+        m, k = (int(v) for v in np.frombuffer(x, np.int64, 2))
+        fps.append(np.frombuffer(x, np.int64, m, 16))
+        sizes.append(np.frombuffer(x, np.int32, m, 16 + 8 * m))
+        grams.append(np.frombuffer(x, np.uint32, k, 16 + 12 * m))
+        docs_.append(np.frombuffer(x, np.uint32, k, 16 + 12 * m + 4 * k) + np.uint32(base))
+        base += m
+    gram, doc = np.concatenate(grams), np.concatenate(docs_)
+    del docs_
+    every = np.concatenate(fps)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.diff(every, prepend=every[:1]) != 0
+    new[:1] = True
+    same = np.empty(len(order), np.int32)
+    same[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return every[new], np.concatenate(sizes)[order[new]].astype(np.int64), gram, same[doc]
+
+
 def _multiply(gram: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float, crowd: np.ndarray, many: int, at_once: int) -> Iterator[tuple]:
     """Of documents in a block: 0, pairs (as doc_i * n + doc_j, i < j) and how many n-grams they share here, a pair perhaps in several
     parts; and 1, pairs of units that share an n-gram of more than `many` documents (as unit_i * m + unit_j, i < j; a unit
     is a document of no crowd, or n + its place for a crowd; m is the number of both), and None. Those of one crowd aren't in pairs."""
     n = len(size)
-    order = np.lexsort((doc, size[doc], gram))
-    g, d = gram[order], doc[order]
-    fresh = np.ones(len(g), bool)
-    fresh[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])  # copies give the same postings
-    g, d = g[fresh], d[fresh]
-    cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else np.zeros(1, np.int64)
-    common = np.repeat(np.diff(cuts) > many, np.diff(cuts)) & (crowd[d] >= 0)
-    if common.any():
-        yield from _units(cuts, common, d, crowd, n, at_once)
-        g, d = g[~common], d[~common]
-    z, c = size[d], crowd[d]
+    order = np.argsort(gram, kind="stable")
     keys, counts, held, k = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
     def fold(keys, counts, held):
         x = np.concatenate([keys, *held])
+        held.clear()
         w = np.concatenate([counts, np.ones(len(x) - len(keys), np.int64)])
         u, at = np.unique(x, return_inverse=True)
         return u, np.bincount(at, weights=w, minlength=len(u)).astype(np.int64)
 
-    first = np.arange(len(g))
-    step = 1
-    while True:
-        first = first[first + step < len(g)]
-        # sizes grow within an n-gram: where one partner is too large, so are all after it
-        first = first[(g[first] == g[first + step]) & (z[first] >= t * z[first + step] - 1e-9)]
-        if not len(first):
-            break
-        at = first[(c[first] < 0) | (c[first] != c[first + step])]
-        i, j = d[at], d[at + step]
-        held.append(np.minimum(i, j) * n + np.maximum(i, j))
-        k += len(at)
-        if k > at_once:
-            keys, counts = fold(keys, counts, held)
-            held, k = [], 0
-            if len(keys) > at_once:
-                yield 0, keys, counts
-                keys, counts = keys[:0], counts[:0]
-        step += 1
+    lo = 0
+    while lo < len(order):  # whole n-grams, about HELD postings
+        hi = int(np.searchsorted(gram, gram[order[min(lo + HELD, len(order)) - 1]], "right", sorter=order))
+        at, lo = order[lo:hi], hi
+        g, d = gram[at], doc[at]
+        z = size[d]
+        at = np.lexsort((d, z, g))
+        g, d, z = g[at], d[at], z[at]
+        fresh = np.ones(len(g), bool)
+        fresh[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])  # copies give the same postings
+        g, d, z = g[fresh], d[fresh], z[fresh]
+        cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+        c = crowd[d]
+        common = np.repeat(np.diff(cuts) > many, np.diff(cuts)) & (c >= 0)
+        if common.any():
+            yield from _units(cuts, common, d, crowd, n, at_once)
+            g, d, z, c = (x[~common] for x in (g, d, z, c))
+        first = np.arange(len(g))
+        step = 1
+        while True:
+            first = first[first + step < len(g)]
+            # sizes grow within an n-gram: where one partner is too large, so are all after it
+            first = first[(g[first] == g[first + step]) & (z[first] >= t * z[first + step] - 1e-9)]
+            if not len(first):
+                break
+            at = first[(c[first] < 0) | (c[first] != c[first + step])]
+            i, j = d[at].astype(np.int64), d[at + step].astype(np.int64)
+            held.append(np.minimum(i, j) * n + np.maximum(i, j))
+            k += len(at)
+            if k > at_once:
+                keys, counts = fold(keys, counts, held)
+                k = 0
+                if len(keys) > at_once:
+                    yield 0, keys, counts
+                    keys, counts = keys[:0], counts[:0]
+            step += 1
     if held:
         keys, counts = fold(keys, counts, held)
     if len(keys):
@@ -249,7 +279,7 @@ def _candidates(docs: DataFrame, n: int, t: float, crowds: DataFrame) -> DataFra
                 key = (rank[(s >> _U(42)).astype(np.int64)].astype(_U) << _U(56)) | (s >> _U(8))
                 held.append((_fp(s), len(s), s[np.argsort(key, kind="stable")[:p]]))
                 k += p
-                if k > 1_000_000:
+                if k > HELD:
                     yield _postings(held)
                     held, k = [], 0
         if held:
@@ -277,23 +307,12 @@ def _candidates(docs: DataFrame, n: int, t: float, crowds: DataFrame) -> DataFra
                 if block != now and held:
                     yield from _pairs(held)
                 now = block
-                held.append(data.as_py())
+                held.append(data.as_buffer())
         if held:
             yield from _pairs(held)
 
-    def _pairs(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        fps, sizes, grams, docs_, base = [], [], [], [], 0
-        for x in held:
-            m, k = np.frombuffer(x, np.int64, 2)
-            fps.append(np.frombuffer(x, np.int64, m, 16))
-            sizes.append(np.frombuffer(x, np.int32, m, 16 + 8 * m))
-            grams.append(np.frombuffer(x, np.uint32, k, 16 + 12 * m))
-            docs_.append(np.frombuffer(x, np.uint32, k, 16 + 12 * m + 4 * k).astype(np.int64) + base)
-            base += m
-        fp, first, same = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)
-        size = np.concatenate(sizes)[first].astype(np.int64)
-        gram, doc = np.concatenate(grams), same[np.concatenate(docs_)]
-        del fps, sizes, grams, docs_, same
+    def _pairs(held: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
+        fp, size, gram, doc = _block(held)
         held.clear()
         crowd = units.value.of(fp)
         for kind, keys, counts in _multiply(gram, doc, size, t, crowd, many, at_once):
@@ -449,7 +468,7 @@ def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFram
                     if may_hold(bits, f):
                         ids.append(i), fps.append(f), data.append(s.tobytes())
                         room += 8 * len(s)
-                if room > 1 << 24:
+                if room > 8 * HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(data, pa.binary())], names=["rep", "fp", "grams"])
                     ids, fps, data, room = [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(data, pa.binary())], names=["rep", "fp", "grams"])
@@ -521,21 +540,26 @@ def _crossed(sets: dict, one: list, two: list, t: float, pairs_out: bool) -> pa.
 def _product(sets: list[np.ndarray], rows: int, start: int) -> np.ndarray:
     """How many n-grams each of the first `rows` sets shares with each of those from `start` on."""
     n = len(sets)
-    gram, col = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    often = np.bincount(col) > 1
-    new = np.cumsum(often) - 1
-    keep = often[col]
-    row, col = row[keep], new[col[keep]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
     acc = np.zeros((rows, n - start), np.float32)
     width = max(64, min(4096, (1 << 22) // n))
-    for lo in range(0, int(often.sum()), width):
-        x, y = np.searchsorted(col, (lo, lo + width))
-        tile = np.zeros((n, width), np.float32)
-        tile[row[x:y], col[x:y] - lo] = 1
-        acc += tile[:rows] @ tile[start:].T
+    parts = max(1, sum(map(len, sets)) // HELD)  # ranges of hashes, which spread evenly
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], _U)
+    cuts = [(0, *np.searchsorted(s, edges).tolist(), len(s)) for s in sets]
+    for k in range(parts):
+        some = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]
+        gram, col = np.unique(np.concatenate(some), return_inverse=True)
+        row = np.repeat(np.arange(n), [len(s) for s in some])
+        often = np.bincount(col) > 1
+        new = np.cumsum(often) - 1
+        keep = often[col]
+        row, col = row[keep], new[col[keep]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for lo in range(0, int(often.sum()), width):
+            x, y = np.searchsorted(col, (lo, lo + width))
+            tile = np.zeros((n, width), np.float32)
+            tile[row[x:y], col[x:y] - lo] = 1
+            acc += tile[:rows] @ tile[start:].T
     return acc
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -151,6 +152,28 @@ def test_the_pipeline_keeps_one_of_a_large_cluster_without_its_pairs(spark, monk
     assert max(rows) < 20_000  # there are 244,650 pairs
 
 
+def test_arrays_of_a_block_and_of_a_group_are_bounded():
+    """Two workers have what the JVM leaves of an executor: pieces of a block, and ranges of hashes of a group, are held at a time."""
+    rng = np.random.default_rng(3)
+    n, k = 200_000, 1_000_000
+    gram = rng.integers(0, 1 << 32, k).astype(np.uint32)
+    gram[: k // 2] = gram[rng.integers(k // 2, k, k // 2)]
+    doc, size, crowd = rng.integers(0, n, k), rng.integers(5, 500, n), np.where(rng.random(n) < 0.01, 0, -1)
+    base = rng.integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.where(rng.random(900) < 0.1, rng.integers(0, 1 << 63, 900).astype(np.uint64), base)) for _ in range(1200)]
+    tracemalloc.start()
+    pairs = sum(int(c.sum()) for _, _, c in jaccard._multiply(gram, doc, size, 0.6, crowd, 64, jaccard.AT_ONCE) if c is not None)
+    block = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    shared = jaccard._product(sets, 600, 600)
+    group = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("MB:", block / 1e6, group / 1e6)
+    assert pairs > 100_000 and block < 60e6 and group < 50e6
+    for i, j in ((0, 0), (599, 599), (17, 400)):
+        assert shared[i, j] == len(np.intersect1d(sets[i], sets[600 + j]))
+
+
 def groups(nodes, pairs):
     root = {n: n for n in nodes}
     for _ in nodes:
