@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import math
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,28 @@ def sweep() -> None:
             _written.pop(path, None)
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system. Spark uses a Python worker again for later tasks, also those of other
+    stages, and the allocator would keep what an earlier one took at most."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives back memory before its first and after its last batch."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64."""
     h = h ^ (h >> _U(30))

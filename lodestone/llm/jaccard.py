@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, components, gram_sets, gram_text, least_labels, may_hold, mix, numbered, position, stored, table, take
+from .common import bloom_filter, components, gram_sets, gram_text, least_labels, may_hold, mix, numbered, position, stored, table, take, tidy
 
 #: Words in an n-gram and the least Jaccard similarity.
 GRAM, THRESHOLD = 3, 0.6
@@ -78,7 +78,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 low.append((s * _ODD).min(1, initial=_U((1 << 64) - 1)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, _signs(low).T)], names=["doc_id", "fp", "size", *_SIGNS])
 
-    return _base(docs).mapInArrow(run, "doc_id long, fp long, size long, " + ", ".join(f"{s} long" for s in _SIGNS)).filter("size > 0")
+    return _base(docs).mapInArrow(tidy(run), "doc_id long, fp long, size long, " + ", ".join(f"{s} long" for s in _SIGNS)).filter("size > 0")
 
 
 def _reps(meta: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _ranks(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
         rank = np.minimum(255, np.floor(6 * np.log2(np.maximum(c, 1).astype(float)))).astype(np.uint8)
         return pa.table({"part": t.column("part")[:1], "data": pa.array([zlib.compress(rank.tobytes(), 1)], pa.binary()), "n": pa.array([int(c.sum())], pa.int64())})
 
-    parts = _base(docs).mapInArrow(count, "part int, data binary").groupBy("part").applyInArrow(total, "part int, data binary, n long").collect()
+    parts = _base(docs).mapInArrow(tidy(count), "part int, data binary").groupBy("part").applyInArrow(total, "part int, data binary, n long").collect()
     ranks = np.zeros(SKETCH, np.uint8)
     for p in parts:
         ranks[p.part * width : (p.part + 1) * width] = np.frombuffer(zlib.decompress(p.data), np.uint8)
@@ -390,8 +390,8 @@ def _candidates(docs: DataFrame, n: int, t: float, crowds: DataFrame) -> DataFra
 
     packed = "block long, data binary"
     own = F.col("block").cast("int")  # one block a task, however many there are
-    blocked = _base(docs).mapInArrow(index, packed).repartitionById(blocks, own).mapInArrow(product, packed)
-    return blocked.repartitionById(blocks, own).mapInArrow(total, "a long, b long, kind int")
+    blocked = _base(docs).mapInArrow(tidy(index), packed).repartitionById(blocks, own).mapInArrow(tidy(product), packed)
+    return blocked.repartitionById(blocks, own).mapInArrow(tidy(total), "a long, b long, kind int")
 
 
 def _grouped(cand: DataFrame) -> DataFrame:
@@ -501,12 +501,12 @@ def _verified(docs: DataFrame, n: int, t: float, cand: DataFrame, reps: DataFram
                 i = j
         yield from close()
 
-    grams = _base(docs).mapInArrow(wanted, "rep long, fp long, grams binary").join(members.hint("merge"), ["fp", "rep"])
+    grams = _base(docs).mapInArrow(tidy(wanted), "rep long, fp long, grams binary").join(members.hint("merge"), ["fp", "rep"])
     rows = grams.select("k1", "k2", "k3", "kind", F.col("fp").alias("a"), "rep", "grams").unionByName(
         pairs.select("k1", "k2", "k3", F.lit(1).alias("kind"), "a", F.col("b").alias("rep"), F.lit(None).cast("binary").alias("grams"))
     )
     out = "doc_id_a long, doc_id_b long, overlap long, jaccard double" if pairs_out else "fp long, rep long, root long, links long"
-    return rows.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "kind").mapInArrow(check, out)
+    return rows.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "kind").mapInArrow(tidy(check), out)
 
 
 def _overlaps(sets: dict, todo: list, t: float, pairs_out: bool) -> pa.RecordBatch:

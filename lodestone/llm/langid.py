@@ -6,13 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import buffers, keep_where, mix, slices, table, take
+from .common import buffers, give_back, keep_where, mix, slices, table, take
 
 #: Hash buckets, embedding width, byte n-grams, passes and step of the training.
 BUCKETS, WIDTH, GRAMS, EPOCHS, RATE = 1 << 18, 8, (3, 4), 3, 2.0
@@ -184,12 +183,14 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
-    @F.pandas_udf("boolean")
-    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for s in batches:
-            best, conf = identify(pa.array(s, pa.string()), m)
-            yield pd.Series((best >= 0) & (conf >= (m.threshold if m else 1.0)))
+        give_back()
+        for b in batches:
+            best, conf = identify(b, m)
+            yield pa.array((best >= 0) & (conf >= (m.threshold if m else 1.0)))
+        give_back()
 
     return keep_where(docs, lambda text: known(_lower(text)), "text")
 

@@ -2,7 +2,10 @@
 
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ import pytest
 from lodestone.llm import embeddings, jaccard, licenses
 from lodestone.llm.common import components
 
+ROOT = Path(__file__).parents[2]
 WORDS = [f"w{i}" for i in range(40)]
 
 
@@ -174,6 +178,27 @@ def test_arrays_of_a_block_and_of_a_group_are_bounded():
         assert shared[i, j] == len(np.intersect1d(sets[i], sets[600 + j]))
 
 
+def test_a_worker_gives_back_what_it_freed():
+    """The third stage runs in workers that earlier stages used; what those took at most would be kept. In a process of its own, as the allocator's state counts."""
+    code = """
+import os, re
+import numpy as np
+from lodestone.llm.common import tidy
+rss = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+def run(batches):
+    global pin
+    held = [np.ones(8000) for _ in range(4000)]
+    pin = held[-1]
+    del held
+    yield from batches
+start = rss()
+print(list(tidy(run)(iter([1, 2]))), rss() - start)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=60)
+    assert out.stdout.startswith("[1, 2] "), out.stderr
+    assert float(out.stdout.split()[-1]) < 60, out.stdout  # it took 256 MB
+
+
 def groups(nodes, pairs):
     root = {n: n for n in nodes}
     for _ in nodes:
