@@ -33,6 +33,8 @@ WINDOW, STRIDE = 32, 16
 ROUNDS, BATCH, RATE, SHARD, PIECE = 2, 64, 0.02, 1_000_000, 4096
 #: Parameters are added up as whole numbers of this many a unit; numbers of one message.
 UNIT, MESSAGE = 1 << 20, 16_384
+#: Length of the output layer's inner products: embedding, context, 1 for the bias, and zeros, as multiples of 4 are quicker.
+INNER = 2 * WIDTH + 4
 #: Blocks of STRIDE places that are scored at a time, so that all of it stays near the core.
 AT_ONCE = 128
 
@@ -69,26 +71,33 @@ def fresh(t: Tables, counts: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+_D = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+_PAST = np.flatnonzero(_D >= 0)
+_HOW_FAR = _D.ravel()[_PAST]
+_LATER = np.where(_D >= 0, 0, -1e9)
+_D = np.maximum(_D, 0)
+
+
 def _bias(far: np.ndarray, stride: int) -> np.ndarray:
     """For the last `stride` places of a window and all places: the bias of the distance, or -1e9 for what comes later."""
-    d = np.arange(WINDOW - stride, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-    return np.where(d >= 0, far[np.maximum(d, 0)], far.dtype.type(-1e9))
+    return far.take(_D[-stride:]) + _LATER[-stride:].astype(far.dtype)
 
 
 def _exp(a: np.ndarray) -> np.ndarray:
-    """In place; numbers above 80 count as 80, which spares looking for the greatest. The reciprocal of the sums over the last axis."""
-    np.minimum(a, a.dtype.type(80), out=a)
+    """In place; numbers above 80 count as 80, which spares taking the greatest off. The reciprocal of the sums over the last axis."""
+    if not a.max(initial=0) <= 80:  # rare; looking for it is far cheaper than np.minimum
+        np.minimum(a, a.dtype.type(80), out=a)
     np.exp(a, out=a)
     return 1 / (a @ np.ones(a.shape[-1], a.dtype) + a.dtype.type(1e-30))
 
 
-_D = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-_PAST = np.flatnonzero(_D >= 0)
-_HOW_FAR = _D.ravel()[_PAST]
+def _out(p: dict) -> np.ndarray:
+    """The output layer with its bias as INNER rows."""
+    return np.concatenate([p["o"], p["b"][None], np.zeros((INNER - 2 * WIDTH - 1, CLASSES), p["o"].dtype)])
 
 
-def step(p: dict, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict, np.ndarray]:
-    """Mean loss over the windows' places, its gradient, and the rows of the embedding that g["emb"] is for. rows: of the input at
+def step(p: dict, rows: np.ndarray, target: np.ndarray, want_loss: bool = True) -> tuple[float | None, dict, np.ndarray]:
+    """Mean loss over the windows' places if wanted, its gradient, and the rows of the embedding that g["emb"] is for. rows: of the input at
     each place; target: class of the id after it, -1 where there is none."""
     flat = lambda t: t.reshape(-1, t.shape[-1])
     at_rows = rows.ravel()
@@ -100,44 +109,46 @@ def step(p: dict, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict, np
     a += _bias(p["far"], WINDOW)
     a *= _exp(a)[..., None]
     c = a @ v
-    h = np.concatenate([x, flat(c), np.ones((len(x), 1), x.dtype)], 1)
-    z = h @ np.concatenate([p["o"], p["b"][None]])
+    ends = np.zeros((len(x), INNER - 2 * WIDTH), x.dtype)
+    ends[:, 0] = 1
+    h, out = np.concatenate([x, flat(c), ends], 1), _out(p)
+    z = h @ out
     over = _exp(z)
     to = target.ravel()
     at = np.flatnonzero(to >= 0)
     n = max(1, len(at))
     place = at * z.shape[1] + to[at]
-    loss = float(-np.log(np.maximum(z.ravel().take(place) * over[at], 1e-12)).sum() / n)
+    loss = float(-np.log(np.maximum(z.ravel().take(place) * over[at], 1e-12)).sum() / n) if want_loss else None
     if len(at) < len(to):
         over[to < 0] = 0
     z *= (over * kind(1 / n))[:, None]
     z.ravel()[place] -= kind(1 / n)
     both = h.T @ z
-    g = {"o": both[:-1], "b": both[-1]}
+    g = {"o": both[: 2 * WIDTH], "b": both[2 * WIDTH]}
     dh = z @ p["o"].T
     dc = np.ascontiguousarray(dh[:, WIDTH:]).reshape(c.shape)
     da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
+    dv = flat(a.transpose(0, 2, 1) @ dc)
     da -= np.einsum("wik,wik->wi", dc, c)[..., None]  # the mean of da under a
     da *= a
     g["far"] = np.bincount(_HOW_FAR, weights=da.sum(0).ravel().take(_PAST), minlength=WINDOW).astype(x.dtype)
-    dq, dk = flat(da @ k), flat(da.transpose(0, 2, 1) @ q)
-    dv = flat(dv)
-    g |= {"q": x.T @ dq * kind(WIDTH**-0.5), "k": x.T @ dk, "v": x.T @ dv}
-    dx = dh[:, :WIDTH] + dq @ wq.T
-    dx += dk @ p["k"].T
-    dx += dv @ p["v"].T
+    d = np.concatenate([flat(da @ k), flat(da.transpose(0, 2, 1) @ q), dv], 1)
+    g["q"], g["k"], g["v"] = np.split(x.T @ d, 3, axis=1)
+    g["q"] = g["q"] * kind(WIDTH**-0.5)
+    dx = d @ np.concatenate([wq, p["k"], p["v"]], 1).T
+    dx += dh[:, :WIDTH]
     order = np.argsort(at_rows, kind="stable")
     sorted_ = at_rows.take(order)
-    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
-    g["emb"] = np.add.reduceat(dx.take(order, 0), first, axis=0)
+    new = np.ones(len(order), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    pairs = np.result_type(dx, np.complex64)  # as complex numbers, two are added at a time
+    g["emb"] = np.add.reduceat(dx.view(pairs).take(order, 0), first, axis=0).view(dx.dtype)
     return loss, g, sorted_.take(first)
 
 
-def _adam(ms: np.ndarray, g: np.ndarray, t: int) -> np.ndarray:
-    """What to take off the parameters; ms: their means and squares, one after another on the last axis, which go on in place."""
-    w = g.shape[-1]
-    m, s = ms[..., :w], ms[..., w:]
+def _adam(m: np.ndarray, s: np.ndarray, g: np.ndarray, t: int) -> np.ndarray:
+    """What to take off the parameters; m, s: their means and squares, which go on in place."""
     m += np.float32(0.1) * (g - m)
     s += np.float32(0.01) * (g * g - s)
     return np.float32(RATE / (1 - 0.9**t)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-6))
@@ -149,15 +160,15 @@ def train(p: dict, rows: np.ndarray, target: np.ndarray, seed: int) -> dict:
     cuts = np.cumsum([0] + [p[k].size for k in names])
     dense = np.concatenate([p[k].ravel() for k in names])
     now = {k: dense[i:j].reshape(p[k].shape) for k, i, j in zip(names, cuts[:-1], cuts[1:])} | {"emb": p["emb"].copy()}
-    ms, ms_emb = np.zeros(2 * dense.size, dense.dtype), np.zeros((ROWS, 2 * WIDTH), dense.dtype)
+    ms, ms_emb = np.zeros((2, dense.size), dense.dtype), np.zeros((2, ROWS, WIDTH), dense.dtype)
     order = np.random.default_rng(seed).permutation(len(rows))
     for t, i in enumerate(range(0, len(order), BATCH), 1):
         at = order[i : i + BATCH]
-        _, g, used = step(now, rows[at], target[at])
-        dense -= _adam(ms, np.concatenate([g[k].ravel() for k in names]), t)
-        some = ms_emb.take(used, 0)
-        now["emb"][used] = now["emb"].take(used, 0) - _adam(some, g["emb"], t)
-        ms_emb[used] = some
+        _, g, used = step(now, rows[at], target[at], want_loss=False)
+        dense -= _adam(*ms, np.concatenate([g[k].ravel() for k in names]), t)
+        m, s = (x.take(used, 0) for x in ms_emb)
+        now["emb"][used] -= _adam(m, s, g["emb"], t)
+        ms_emb[0][used], ms_emb[1][used] = m, s
     return {k: now[k] for k in p}
 
 
@@ -196,14 +207,17 @@ def score(p: dict, t: Tables, ids: list[np.ndarray]) -> np.ndarray:
     query = pad(p["emb"] @ p["q"] * np.float32(WIDTH**-0.5), 0)
     query[:, WIDTH] = 1
     emb = np.concatenate([p["emb"], np.zeros((1, WIDTH), np.float32)])
-    out = np.concatenate([p["o"], p["b"][None]])
+    out = _out(p)
     bias = _bias(p["far"], STRIDE)
     # exp can't overflow below these bounds, so that no maximum is needed
     safe = float(np.linalg.norm(query[:, :WIDTH], axis=1).max() * np.linalg.norm(key[:-1], axis=1).max() + np.abs(p["far"]).max()) < 80
     wide = float(np.linalg.norm(np.concatenate([emb, value], 1), axis=1).max() * 2)
     safe = safe and wide * float(np.linalg.norm(p["o"], axis=0).max()) + float(np.abs(p["b"]).max()) < 80
-    nll = np.zeros(len(rows), np.float32)
-    h = np.ones((AT_ONCE * STRIDE, 2 * WIDTH + 1), np.float32)
+    cls = t.cls.take(own)
+    sums, picked = np.ones(len(rows), np.float32), np.zeros(len(rows), np.float32)
+    h, room = np.zeros((AT_ONCE * STRIDE, INNER), np.float32), np.empty((AT_ONCE * STRIDE, CLASSES), np.float32)
+    h[:, 2 * WIDTH] = 1
+    ones = np.ones(CLASSES, np.float32)
     line = np.arange(AT_ONCE * STRIDE) * CLASSES
     for lo in range(lead, len(rows) // STRIDE, AT_ONCE):
         hi = min(lo + AT_ONCE, len(rows) // STRIDE)
@@ -216,17 +230,17 @@ def score(p: dict, t: Tables, ids: list[np.ndarray]) -> np.ndarray:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         c = a @ view(v)
-        c /= (a @ np.ones(WINDOW, np.float32) + np.float32(1e-30))[:, :, None]
-        x = h[: len(new)]
+        x, z = h[: len(new)], room[: len(new)]
         x[:, :WIDTH] = emb.take(new, 0)
-        x[:, WIDTH : 2 * WIDTH] = c.reshape(-1, WIDTH)
-        z = x @ out
+        np.multiply(c, (1 / (a @ ones[:WINDOW] + np.float32(1e-30)))[:, :, None], out=x.reshape(hi - lo, STRIDE, INNER)[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(x, out, out=z)
         if not safe:
             z -= z.max(1, keepdims=True)
-        mine = own[lo * STRIDE : hi * STRIDE]
-        picked = z.ravel().take(line[: len(new)] + t.cls.take(mine))
+        here = slice(lo * STRIDE, hi * STRIDE)
+        picked[here] = z.ravel().take(line[: len(new)] + cls[here])
         np.exp(z, out=z)
-        nll[lo * STRIDE : hi * STRIDE] = np.log(z @ np.ones(CLASSES, np.float32)) - picked + t.within.take(mine)
+        np.matmul(z, ones, out=sums[here])
+    nll = np.log(sums) - picked + t.within.take(own)
     return np.bincount(np.repeat(np.arange(len(ids)), n), weights=nll[place], minlength=len(ids)).astype(np.float64)
 
 
@@ -336,9 +350,9 @@ def fit(tokens: DataFrame) -> tuple[dict, Tables]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = np.zeros(IDS, np.int64)
-    for b in batches:
-        for x in _ids(b):
-            c += np.bincount(x, minlength=IDS)
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 200):  # not by row, as each count goes over all ids
+            c += np.bincount(np.concatenate(_ids(whole.slice(lo, 200))), minlength=IDS)
     some = np.flatnonzero(c)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(c[some])], names=["id", "n"])
 
