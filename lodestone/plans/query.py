@@ -300,7 +300,7 @@ def matches(index: Index, query, syntax: Syntax = Syntax()) -> DataFrame:  # noq
 def matches_tree(index: Index, tree) -> DataFrame:
     """One scan of the postings of all the query's terms and one aggregation by document, whatever the query; with a NOT that
     can hold where no term does, a left join from the documents."""
-    ids = index.doc_map.select("doc_id")
+    ids = index.ids
     if tree == IDENTITY:
         return ids.limit(0)
     if tree == ("all",):
