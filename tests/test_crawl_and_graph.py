@@ -261,3 +261,24 @@ def test_places_across_ranges(spark):
     for host in ("hot", "a", "b", None):
         want |= {u: i for i, (u, _, _) in enumerate(sorted((r for r in rows if r[1] == host), key=lambda r: (-r[2], r[0])), 1)}
     assert got == want
+
+
+def test_all_steps_of_a_graph_that_fits_in_one_task(spark, monkeypatch):
+    """One task and buckets give the same ranks, over chunks and partitions; and one task needs as many jobs for 3 steps as for 60."""
+    rng = random.Random(7)
+    edges = spark.createDataFrame([(f"n{rng.randint(0, 40)}", f"n{rng.randint(0, 60)}") for _ in range(500)] + [("a", None), (None, "b"), ("loop", "loop")], "src string, dst string")
+    monkeypatch.setattr(graph, "CHUNK", 64)
+    tracker = spark.sparkContext.statusTracker()
+
+    def run(**how):
+        spark.sparkContext.setJobGroup(name := str(rng.random()), "")
+        got = {r.node: r.rank for r in graph.pagerank(edges, **how).collect()}
+        return got, len(tracker.getJobIdsForGroup(name))
+
+    (few, jobs), (many, as_many), (done, _) = run(iterations=3), run(iterations=60), run()
+    assert jobs == as_many
+    monkeypatch.setattr(graph, "ONE", 0)
+    for got, how in ((few, {"iterations": 3}), (done, {})):
+        want, _ = run(**how)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert many.keys() == done.keys()
